@@ -94,8 +94,6 @@ def train(
             featuresCol="_features",
             labelCol="_label",
             weightCol="_weight",
-            probabilityCol="_probability",
-            rawPredictionCol="_raw",
             predictionCol="_prediction",
             maxIter=trees,
             maxDepth=depth,
@@ -117,7 +115,7 @@ def predict(model: PipelineModel, features: DataFrame, rule_rows: DataFrame | No
     columns = model_columns(model)
     rows = features.withColumn("_in", F.struct(*[F.col(c) for c in columns]))
     scored = model.transform(fill_nulls(rows, columns))
-    score = vector_to_array("_probability")[1]
+    score = vector_to_array("probability")[1]
     kept = [F.col(f"_in.{c}").alias(c) if c in columns else F.col(c) for c in features.columns]
     out = scored.select(*kept, score.alias("anomaly_score")).withColumn(
         "is_anomaly", F.when(F.col("anomaly_score") >= THRESHOLD, 1).otherwise(0)

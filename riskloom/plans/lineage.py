@@ -22,3 +22,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark, name: str) -> str:
+    """A fresh folder for tables written on the way, beside the checkpoints; private only in local runs."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="riskloom-scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
