@@ -88,12 +88,12 @@ def combined_score(spark, d):
     return _parts(spark, d, "combined", "combined")
 
 
-def _amount_part(spark, d, make, name):
+def _amount_part(spark, d, expression, name):
     """One score of the amount against its signal's profile."""
     f = scoring_features(spark, d)
     prof = baseline.learn_profile(f).filter("feature = 'amount'").drop("feature")
     rows = f.join(F.broadcast(prof), baseline.SIGNAL).filter(F.col("amount").isNotNull())  # one row per signal
-    return rounded(rows.select("event_id", make().alias(name)), [name])
+    return rounded(rows.select("event_id", F.expr(expression).alias(name)), [name])
 
 
 def _amount_sql(expr: str, name: str) -> str:
@@ -104,14 +104,12 @@ def _amount_sql(expr: str, name: str) -> str:
 
 @query("iqr_score", _amount_sql("i", "iqr_score"))
 def iqr_score(spark, d):
-    make = lambda: baseline.iqr_score(F.col("amount"), F.col("p25"), F.col("p75"), F.col("iqr"))
-    return _amount_part(spark, d, make, "iqr_score")
+    return _amount_part(spark, d, baseline.iqr_score("amount", "p25", "p75", "iqr"), "iqr_score")
 
 
 @query("percentile_score", _amount_sql("p", "percentile_score"))
 def percentile_score(spark, d):
-    make = lambda: baseline.percentile_score(F.col("amount"), {p: F.col(p) for p in baseline.PERCENTILES})
-    return _amount_part(spark, d, make, "percentile_score")
+    return _amount_part(spark, d, baseline.percentile_score("amount"), "percentile_score")
 
 
 @query("baseline_score", with_scores(f"select event_id, {r6('baseline_score')} as baseline_score from scored"))
@@ -277,10 +275,17 @@ def class_weight(spark, d):
     return rounded(model.class_weight(rows), ["class_weight"])
 
 
-def fitted(spark, d, trees=model.TREES):
-    """Trained model and the split it was trained on, one row per event."""
-    data = model.stratified_split(model.training_set(features(spark, d), labels(spark, d), one_row_per_event=True)).persist()
-    return model.train(data.filter(~F.col("is_test")), trees=trees), data
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def fitted(spark, d):
+    """Model and its split, one row per event; trained once per application and data folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FITTED:
+        rows = model.training_set(features(spark, d), labels(spark, d), one_row_per_event=True)
+        data = model.stratified_split(rows).persist()
+        _FITTED[at] = (model.train(data.filter(~F.col("is_test"))), data)
+    return _FITTED[at]
 
 
 @query("train_model")

@@ -12,6 +12,7 @@ from riskloom.functions.expressions import MICROS, epoch_micros, micros_to_ts
 from riskloom.plans.hotkeys import SkewLimits, find_hot, running
 from riskloom.plans.lineage import cut_lineage
 from riskloom.plans.sampling import top_per_group
+from riskloom.plans.small import has_rows
 
 
 def severity(score: Column | str) -> Column:
@@ -64,7 +65,7 @@ def dedup_alerts(
         .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
         .select("entity_id", F.explode(F.aggregate("_ts", start, step)["kept"]).alias("_t"))
     )
-    if crowded.take(1):
+    if has_rows(crowded):
         kept = kept.unionByName(_follow(times.join(crowded, "entity_id", "left_semi"), width, fold_rows))
     w_key = ["entity_id", "_t"]
     chosen = alerts.withColumn("_t", epoch_micros("ts")).join(kept, w_key, "left_semi")

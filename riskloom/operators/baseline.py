@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import config as C
@@ -82,37 +82,32 @@ def learn_calendar(features: DataFrame, sample_size: int | None = None) -> DataF
     )
 
 
-def zscore(v: Column, mean: Column, std: Column) -> Column:
-    return F.when(v.isNull() | (std == 0), 0.0).otherwise(F.abs((v - mean) / std))
+# Score rules as SQL text over operand texts: one parse per feature instead of a Column per operator.
 
 
-def iqr_score(v: Column, q1: Column, q3: Column, iqr: Column) -> Column:
+def zscore(v: str, mean: str, std: str) -> str:
+    return f"CASE WHEN {v} IS NULL OR {std} = 0 THEN 0D ELSE abs(({v} - {mean}) / {std}) END"
+
+
+def iqr_score(v: str, q1: str, q3: str, iqr: str) -> str:
     """Distance beyond the whiskers in units of the interquartile range, at most 5."""
-    low, high = q1 - iqr * 1.5, q3 + iqr * 1.5
+    low, high = f"({q1} - 1.5D * {iqr})", f"({q3} + 1.5D * {iqr})"
     return (
-        F.when(v.isNull() | (iqr == 0), 0.0)
-        .when(v < low, F.least((low - v) / iqr, F.lit(5.0)))
-        .when(v > high, F.least((v - high) / iqr, F.lit(5.0)))
-        .otherwise(0.0)
+        f"CASE WHEN {v} IS NULL OR {iqr} = 0 THEN 0D"
+        f" WHEN {v} < {low} THEN least(({low} - {v}) / {iqr}, 5D)"
+        f" WHEN {v} > {high} THEN least(({v} - {high}) / {iqr}, 5D) ELSE 0D END"
     )
 
 
-def percentile_score(v: Column, p: dict[str, Column]) -> Column:
-    def outside(low: str, high: str) -> Column:
-        return (v <= p[low]) | (v >= p[high])
+def percentile_score(v: str, at: str = "") -> str:
+    """Band of a value between the profile percentiles p1..p99, whose names follow the prefix `at`."""
+    bands = [("p1", "p99", "1D"), ("p5", "p95", "0.7D"), ("p25", "p75", "0.3D")]
+    cases = " ".join(f"WHEN {v} <= {at}{lo} OR {v} >= {at}{hi} THEN {points}" for lo, hi, points in bands)
+    return f"CASE {cases} ELSE 0D END"
 
-    return (
-        F.when(v.isNull(), 0.0)
-        .when(outside("p1", "p99"), 1.0)
-        .when(outside("p5", "p95"), 0.7)
-        .when(outside("p25", "p75"), 0.3)
-        .otherwise(0.0)
-    )
 
-
-def combined_score(z: Column, iqr: Column, pct: Column) -> Column:
-    one = F.lit(1.0)
-    return F.least(z / 5, one) * 0.4 + F.least(iqr / 3, one) * 0.3 + pct * 0.3
+def combined_score(z: str, iqr: str, pct: str) -> str:
+    return f"0.4D * least(({z}) / 5, 1D) + 0.3D * least(({iqr}) / 3, 1D) + 0.3D * ({pct})"
 
 
 def wide_profile(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -138,25 +133,23 @@ def score_events(
     rows = features.join(side, SIGNAL, "left")
     z, combined = {}, {}
     for c in present:
-        s, v = F.col(f"_s_{c}"), F.col(c).cast("double")
-        usable = v.isNotNull() & s.isNotNull()
-        zc = zscore(v, s["mean"], s["std"])
-        pct = percentile_score(v, {n: s[n] for n in PERCENTILES})
-        z[c] = F.when(usable, zc)
-        combined[c] = F.when(usable, combined_score(zc, iqr_score(v, s["p25"], s["p75"], s["iqr"]), pct))
-    rows = rows.select(
-        "*", *[z[c].alias(f"{c}_zscore") for c in present if parts], *[combined[c].alias(f"{c}_combined") for c in present]
-    )
-    scores = [F.col(f"{c}_combined") for c in present]
-    n = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in scores), F.lit(0))
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
-    rows = rows.withColumn("baseline_score_mean", F.when(n > 0, total / n)).withColumn(
-        "baseline_score_max", F.greatest(*scores)
-    )
-    score = F.coalesce(F.col("baseline_score_mean") * 0.6 + F.col("baseline_score_max") * 0.4, F.lit(0.0))
+        v, at = f"CAST(`{c}` AS DOUBLE)", f"`_s_{c}`."
+        usable = f"`{c}` IS NOT NULL AND `_s_{c}` IS NOT NULL"
+        zc = zscore(v, f"{at}mean", f"{at}std")
+        ic = iqr_score(v, f"{at}p25", f"{at}p75", f"{at}iqr")
+        z[c] = f"CASE WHEN {usable} THEN {zc} END AS `{c}_zscore`"
+        combined[c] = f"CASE WHEN {usable} THEN {combined_score(zc, ic, percentile_score(v, at))} END AS `{c}_combined`"
+    rows = rows.selectExpr("*", *[z[c] for c in present if parts], *combined.values())
+    scores = [f"`{c}_combined`" for c in present]
+    n = " + ".join(f"if({s} IS NULL, 0, 1)" for s in scores)
+    total = " + ".join(f"coalesce({s}, 0D)" for s in scores)
+    rows = rows.selectExpr("*", f"{n} AS _n", f"{total} AS _total", f"greatest({', '.join(scores)}) AS baseline_score_max")
     extra = [f"{c}_{k}" for c in present for k in ("zscore", "combined")] if parts else []
-    return rows.withColumn("baseline_score", score).select(
-        *features.columns, *extra, "baseline_score_mean", "baseline_score_max", "baseline_score"
+    return rows.selectExpr("*", "CASE WHEN _n > 0 THEN _total / _n END AS baseline_score_mean").selectExpr(
+        *[f"`{c}`" for c in [*features.columns, *extra]],
+        "baseline_score_mean",
+        "baseline_score_max",
+        "coalesce(0.6D * baseline_score_mean + 0.4D * baseline_score_max, 0D) AS baseline_score",
     )
 
 

@@ -65,10 +65,9 @@ def stat_outliers(df: DataFrame, value: str = "amount") -> DataFrame:
     """Table-wide z-score and interquartile score of a column."""
     basics = df.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
     q = {r["q"]: r["quantile"] for r in exact_quantiles(df, [], value, [0.25, 0.75]).collect()}
-    v = F.col(value)
     if basics["s"] is None or not q:
         return df.withColumn("global_z", F.lit(0.0)).withColumn("global_iqr", F.lit(0.0))
-    q1, q3 = F.lit(q[0.25]), F.lit(q[0.75])
-    return df.withColumn("global_z", zscore(v, F.lit(basics["m"]), F.lit(basics["s"]))).withColumn(
-        "global_iqr", iqr_score(v, q1, q3, F.lit(q[0.75] - q[0.25]))
-    )
+    v = f"CAST(`{value}` AS DOUBLE)"
+    z = zscore(v, f"{basics['m']!r}D", f"{basics['s']!r}D")
+    outside = iqr_score(v, f"{q[0.25]!r}D", f"{q[0.75]!r}D", f"{q[0.75] - q[0.25]!r}D")
+    return df.selectExpr("*", f"{z} AS global_z", f"{outside} AS global_iqr")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import MICROS
+from riskloom.plans.small import has_rows, local_if_small
 
 WHOLE_KEY = 4 * 10**18
 CARRY_TIME = -(2**62)
@@ -72,7 +73,7 @@ def find_hot(
     for k in key:
         narrow = narrow.filter(F.col(k).isNotNull())
     crowded = narrow.groupBy(*key).count().filter(F.col("count") > limits.window_rows).drop("count")
-    if not crowded.take(1):
+    if not has_rows(crowded):
         return None
 
     day = 86_400 * MICROS
@@ -113,12 +114,10 @@ def find_hot(
     dense = (F.col("peak_window") > limits.window_rows) | (F.col("total") > cap)
     table = totals.filter(dense).select(*key, seg_us.cast("long").alias("_seg_us"))
 
-    rows = table.take(limits.local_table_rows + 1)
-    if not rows:
-        return None
-    if len(rows) <= limits.local_table_rows:
-        return HotKeys(key, df.sparkSession.createDataFrame(rows, table.schema), True)
-    return HotKeys(key, table.persist(), False)
+    local = local_if_small(table, limits.local_table_rows)
+    if local is None:
+        return HotKeys(key, table.persist(), False)
+    return HotKeys(key, local, True) if has_rows(local) else None
 
 
 def running(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import hash_order, unit_from_hex
+from riskloom.plans.small import has_rows
 
 # Below this many rows the built-in per-partition limit is already cheap.
 DIRECT_LIMIT = 10_000
@@ -50,7 +51,7 @@ def sample_per_group(
         return top_per_group(df, group, [order, F.col(id_col)], n)
     sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
     big = sizes.filter(F.col("_size") > n)
-    if not big.take(1):
+    if not has_rows(big):
         return df
     margin = F.lit(n + 8.0 * math.sqrt(n) + 16.0)
     widen = 1.0
@@ -64,7 +65,7 @@ def sample_per_group(
         short = (
             near.groupBy(*group).agg(F.count("*").alias("_kept")).join(big, group).filter(F.col("_kept") < n)
         )
-        if not short.take(1):
+        if not has_rows(short):
             break
         widen *= 2
     return _ranked(near, group, [order, F.col(id_col)], n)
