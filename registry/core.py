@@ -124,7 +124,7 @@ from lng join prof using (source_dataset, entity_type, feature))"""
 COMBINED_CTE = (
     "comb as (select event_id, feature, z, i, p, cast(0.4 * least(z / 5, 1) + 0.3 * least(i / 3, 1) + 0.3 * p as double) as c from parts)"
 )
-SCORE_CTE = """scored as materialized (select feat.*, coalesce(s.score, 0.0) as baseline_score from feat left join
+SCORE_CTE = f"""scored as materialized (select feat.*, round(coalesce(s.score, 0.0), {SCORE_DIGITS}) as baseline_score from feat left join
  (select event_id, 0.6 * avg(c) + 0.4 * max(c) as score from comb group by event_id) s using (event_id))"""
 SCORE_CTES = (LONG_CTE, PROFILE_CTE, PARTS_CTE, COMBINED_CTE, SCORE_CTE)
 

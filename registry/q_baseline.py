@@ -9,6 +9,7 @@ from registry.core import (
     LONG_CTE,
     PARTS_CTE,
     PROFILE_CTE,
+    SCORE_DIGITS,
     query,
     rounded,
     with_features,
@@ -18,11 +19,12 @@ from registry.core import (
 )
 from registry.fixtures import labels, r6, raw_events
 from registry.q_features import LABEL_ANY_SQL, features
-from registry.q_reports import scores, scoring_features
+from registry.q_reports import scored, scores, scoring_features
 from riskloom import config as C
 from riskloom.operators import baseline, evaluate, impact, model
 from riskloom.operators import labels as lab
 from riskloom.operators.reports import top_anomalies
+from riskloom.plans.lineage import cut_lineage
 
 _STATS = baseline.STATS
 _PROFILE_OUT = ", ".join(f"{r6(s)} as {s}" for s in _STATS)
@@ -104,7 +106,7 @@ def _amount_sql(expr: str, name: str) -> str:
 
 @query("iqr_score", _amount_sql("i", "iqr_score"))
 def iqr_score(spark, d):
-    return _amount_part(spark, d, baseline.iqr_score("amount", "p25", "p75", "iqr"), "iqr_score")
+    return _amount_part(spark, d, baseline.iqr_score("amount", *[f"({w})" for w in baseline.whiskers()], "iqr"), "iqr_score")
 
 
 @query("percentile_score", _amount_sql("p", "percentile_score"))
@@ -114,12 +116,12 @@ def percentile_score(spark, d):
 
 @query("baseline_score", with_scores(f"select event_id, {r6('baseline_score')} as baseline_score from scored"))
 def baseline_score(spark, d):
-    return rounded(scores(spark, d).select("event_id", "baseline_score"), ["baseline_score"])
+    return rounded(scores(spark, d).select("event_id", F.round("baseline_score", SCORE_DIGITS).alias("baseline_score")), ["baseline_score"])
 
 
 @query("profile_join", with_scores("select source_dataset, entity_type, count(*) as events, count(*) filter (baseline_score > 0) as scored from scored group by all"))
 def profile_join(spark, d):
-    s = scores(spark, d)
+    s = scored(spark, d)
     return s.groupBy(*baseline.SIGNAL).agg(F.count("*").alias("events"), F.count_if(F.col("baseline_score") > 0).alias("scored"))
 
 
@@ -128,26 +130,24 @@ def profile_join(spark, d):
     with_scores(f"select event_id, {r6('baseline_score')} as baseline_score from scored where baseline_score >= 0.5"),
 )
 def baseline_anomalies(spark, d):
-    f = scoring_features(spark, d)
-    out = baseline.baseline_anomalies(f, baseline.learn_profile(f))
+    out = top_anomalies(scored(spark, d), "baseline_score", 0.5)
     return rounded(out.select("event_id", "baseline_score"), ["baseline_score"])
 
 
 @query(
     "top_anomalies",
     with_scores(
-        f"""select event_id, {r6('s')} as baseline_score from (select event_id, round(baseline_score, 9) as s from scored
- where round(baseline_score, 9) >= 0.5 order by s desc, event_id limit 20)"""
+        f"""select event_id, {r6('s')} as baseline_score from (select event_id, baseline_score as s from scored
+ where baseline_score >= 0.5 order by s desc, event_id limit 20)"""
     ),
 )
 def q_top_anomalies(spark, d):
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", 9))
-    return rounded(top_anomalies(s, "baseline_score", 0.5, 20).select("event_id", "baseline_score"), ["baseline_score"])
+    return rounded(top_anomalies(scored(spark, d), "baseline_score", 0.5, 20).select("event_id", "baseline_score"), ["baseline_score"])
 
 
 # --- evaluation over the baseline score --------------------------------------------------------
 
-_EVAL_CTE = "ev as materialized (select s.event_id, round(s.baseline_score, 9) as score, a.is_anomaly as y from scored s join anyl a using (event_id))"
+_EVAL_CTE = "ev as materialized (select s.event_id, s.baseline_score as score, a.is_anomaly as y from scored s join anyl a using (event_id))"
 
 
 def _with_eval(body: str, *ctes: str) -> str:
@@ -155,8 +155,8 @@ def _with_eval(body: str, *ctes: str) -> str:
 
 
 def labelled_scores(spark, d):
-    s = lab.label_any(scores(spark, d), labels(spark, d))
-    return s.select("event_id", "source_dataset", F.round("baseline_score", 9).alias("score"), F.col("is_anomaly").alias("y"))
+    s = lab.label_any(scored(spark, d), labels(spark, d))
+    return cut_lineage(s.select("event_id", F.col("baseline_score").alias("score"), F.col("is_anomaly").alias("y")), "labelled")
 
 
 _CELLS = """count(*) filter (score >= 0.5 and y > 0) as tp, count(*) filter (score >= 0.5 and y = 0) as fp,
@@ -222,11 +222,12 @@ def eval_pr_auc(spark, d):
     ),
 )
 def compare_detectors(spark, d):
-    s = lab.label_any(scores(spark, d), labels(spark, d)).select(
-        F.round("baseline_score", 9).alias("baseline"),
+    s = scored(spark, d).select(
+        "source_dataset", "event_id", "entity_id", "ts", "ingest_batch_id",
+        F.col("baseline_score").alias("baseline"),
         F.round(F.least(F.abs(F.coalesce("metric_z_24h", F.lit(0.0))) / 5, F.lit(1.0)), 9).alias("amount_z"),
-        F.col("is_anomaly").alias("y"),
     )
+    s = lab.label_any(s, labels(spark, d)).withColumnRenamed("is_anomaly", "y")
     return rounded(evaluate.compare_detectors(s, ["baseline", "amount_z"], "y"), ["precision", "recall", "accuracy"])
 
 
@@ -282,7 +283,7 @@ def fitted(spark, d):
     """Model and its split, one row per event; trained once per application and data folder."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _FITTED:
-        rows = model.training_set(features(spark, d), labels(spark, d), one_row_per_event=True)
+        rows = cut_lineage(model.training_set(features(spark, d), labels(spark, d), one_row_per_event=True))
         data = model.stratified_split(rows).persist()
         _FITTED[at] = (model.train(data.filter(~F.col("is_test"))), data)
     return _FITTED[at]

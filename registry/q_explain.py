@@ -8,7 +8,7 @@ from registry.core import micros, query, rounded, with_features, with_raw, with_
 from registry.fixtures import labels, r6, raw_events
 from registry.q_baseline import fitted
 from registry.q_features import LABEL_ANY_SQL, features
-from registry.q_reports import scores
+from registry.q_reports import scored
 from riskloom import config as C
 from riskloom.operators import explain, feedback, impact, model, reports, synth
 from riskloom.operators import labels as lab
@@ -94,7 +94,7 @@ def _phrase_sql() -> str:
 @query(
     "summary_text",
     with_scores(
-        """select event_id, 'Anomaly (score: ' || printf('%.2f', round(baseline_score, 9) * 100) || '%) due to ' || reason || '.' as summary
+        """select event_id, 'Anomaly (score: ' || printf('%.2f', baseline_score * 100) || '%) due to ' || reason || '.' as summary
  from scored join (select event_id, string_agg(phrase, ' and ' order by rank) as reason from phrases where rank <= 2 group by event_id) using (event_id)""",
         _STATS_CTE,
         *_CONTRIB_CTES,
@@ -102,8 +102,8 @@ def _phrase_sql() -> str:
     ),
 )
 def summary_text(spark, d):
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", 9))
-    stats = explain.stats_dict(explain.feature_stats(features(spark, d)))
+    s = scored(spark, d, every_feature=True)
+    stats = explain.stats_dict(explain.feature_stats(s))
     return explain.explain(s, stats, WEIGHTS, "baseline_score").select("event_id", "summary")
 
 
@@ -117,8 +117,9 @@ def summary_text(spark, d):
     ),
 )
 def explain_anomalies(spark, d):
-    stats = explain.stats_dict(explain.feature_stats(features(spark, d)))
-    out = explain.explain_anomalies(scores(spark, d), stats, WEIGHTS, "baseline_score")
+    s = scored(spark, d, every_feature=True)
+    stats = explain.stats_dict(explain.feature_stats(s))
+    out = explain.explain_anomalies(s, stats, WEIGHTS, "baseline_score")
     top = F.col("top_contributors")[0]
     out = out.select("event_id", "baseline_score", top["feature"].alias("top_feature"), top["contribution"].alias("top_contribution"))
     return rounded(out, ["baseline_score", "top_contribution"])
@@ -261,7 +262,7 @@ def cost_label(spark, d):
     ),
 )
 def impact_exposure(spark, d):
-    hits = scores(spark, d).filter("baseline_score >= 0.5")
+    hits = scored(spark, d).filter("baseline_score >= 0.5")
     return impact.exposure(hits, impact.rules(spark))
 
 
@@ -269,7 +270,7 @@ def impact_exposure(spark, d):
     "top_anomalies_with_impact",
     with_scores(
         f"""select t.event_id, t.entity_id, {r6('t.s')} as baseline_score, m.scenario, m.risk_level, m.category from
- (select *, round(baseline_score, 9) as s from scored where round(baseline_score, 9) >= 0.5 order by s desc, event_id limit 100) t
+ (select *, baseline_score as s from scored where baseline_score >= 0.5 order by s desc, event_id limit 100) t
  left join matched m using (source_dataset, entity_type)""",
         RULES_CTE,
         MATCH_CTE,
@@ -277,8 +278,7 @@ def impact_exposure(spark, d):
 )
 def top_anomalies_with_impact(spark, d):
     """Flagship: features, baselines, scores, ranking, impact."""
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", 9))
-    top = reports.top_anomalies(s, "baseline_score", 0.5, 100)
+    top = reports.top_anomalies(scored(spark, d), "baseline_score", 0.5, 100)
     out = impact.attach_impact(top, impact.rules(spark))
     return rounded(out.select("event_id", "entity_id", "baseline_score", "scenario", "risk_level", "category"), ["baseline_score"])
 
@@ -301,7 +301,7 @@ def _with_log(body: str) -> str:
 
 
 def _predictions(spark, d):
-    s = scores(spark, d).withColumn("is_anomaly", F.when(F.col("baseline_score") >= 0.35, 1).otherwise(0))
+    s = scored(spark, d).withColumn("is_anomaly", F.when(F.col("baseline_score") >= 0.35, 1).otherwise(0))
     return feedback.log_predictions(s, RUN, LOGGED, score="baseline_score")
 
 

@@ -8,7 +8,7 @@ from registry.core import micros, query, rounded, with_features, with_labels, wi
 from registry.fixtures import labels, r6, raw_events
 from registry.q_explain import WEIGHTS
 from registry.q_features import features
-from registry.q_reports import scores
+from registry.q_reports import scored
 from riskloom import config as C
 from riskloom.operators import alerts, drift, ensemble, explain, graph, narrate, state, timeseries
 from riskloom.operators.entity_windows import KEYS, entity_windows
@@ -43,17 +43,16 @@ for _kind in KEYS:
 
 _SEVERITY_SQL = "case when s >= 0.9 then 'critical' when s >= 0.7 then 'high' when s >= 0.5 then 'medium' when s >= 0.3 then 'low' end"
 _ALERTS_CTE = f"""al as materialized (select event_id, ts, epoch_us(ts) as t, entity_id, entity_type, source_dataset, s as score, {_SEVERITY_SQL} as severity
- from (select *, round(baseline_score, 9) as s from scored) where s >= 0.3)"""
+ from (select *, baseline_score as s from scored) where s >= 0.3)"""
 
 
 def _alerts(spark, d):
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", 9))
-    return alerts.make_alerts(s)
+    return alerts.make_alerts(scored(spark, d))
 
 
-@query("severity", with_scores(f"select event_id, {_SEVERITY_SQL} as severity from (select event_id, round(baseline_score, 9) as s from scored)"))
+@query("severity", with_scores(f"select event_id, {_SEVERITY_SQL} as severity from (select event_id, baseline_score as s from scored)"))
 def severity(spark, d):
-    return scores(spark, d).select("event_id", alerts.severity(F.round("baseline_score", 9)).alias("severity"))
+    return scored(spark, d).select("event_id", alerts.severity("baseline_score").alias("severity"))
 
 
 @query(
@@ -104,7 +103,7 @@ def alert_volume(spark, d):
 
 DRIFT_DAYS = 10  # the events cover one month: the last ten days against the rest
 _SHARE_CTES = (
-    f"""cur as materialized (select round(baseline_score, 9) as score, epoch_us(ts) > (select max(epoch_us(ts)) from raw) - {DRIFT_DAYS} * 86400000000 as c from scored)""",
+    f"""cur as materialized (select baseline_score as score, epoch_us(ts) > (select max(epoch_us(ts)) from raw) - {DRIFT_DAYS} * 86400000000 as c from scored)""",
     "edges as (" + " union all ".join(f"select quantile_cont(score, {i / 10}) as e from cur where not c" for i in range(1, 10)) + ")",
     "binned as (select c, (select count(*) from edges where cur.score > e) as bin from cur)",
     """share as (select b.bin, coalesce(count(*) filter (not c), 0) / (select count(*) from cur where not c) as p,
@@ -113,7 +112,7 @@ _SHARE_CTES = (
 
 
 def _shares(spark, d):
-    s = scores(spark, d).select("ts", F.round("baseline_score", 9).alias("score"))
+    s = scored(spark, d).select("ts", F.col("baseline_score").alias("score"))
     return drift.bin_shares(drift.split_at(s, DRIFT_DAYS))
 
 
@@ -429,8 +428,8 @@ def timeline(spark, d):
 
 @query("evidence_pack")
 def evidence_pack(spark, d):
-    s = scores(spark, d)
-    stats = explain.stats_dict(explain.feature_stats(features(spark, d)))
+    s = scored(spark, d, every_feature=True)
+    stats = explain.stats_dict(explain.feature_stats(s))
     hits = explain.explain_anomalies(s, stats, WEIGHTS, "baseline_score")
     out = narrate.evidence_pack(hits, raw_events(spark, d))
     return out.select("event_id", "entity_id", F.to_json("evidence").alias("evidence"))

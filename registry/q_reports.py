@@ -22,6 +22,7 @@ from registry.q_features import features
 from riskloom import config as C
 from riskloom.operators import baseline, reports
 from riskloom.operators import labels as lab
+from riskloom.plans.lineage import cut_lineage
 from riskloom.schema import EVENT_COLUMNS
 
 
@@ -32,11 +33,24 @@ def scoring_features(spark, d):
 
 
 def scores(spark, d, parts=False):
-    """Events scored against profiles learnt from the same table."""
-    f = scoring_features(spark, d)
+    """Events scored against profiles learnt from the same, once written, feature table."""
+    f = cut_lineage(scoring_features(spark, d), "features")
     return baseline.score_events(f, baseline.learn_profile(f), parts=parts)
 
 
+# What consumers of scores read: written once, so that filtering and ranking by a score neither
+# recompute it nor carry its long expression through the optimizer.
+SCORED_COLUMNS = [
+    "event_id", "ts", "entity_type", "entity_id", "event_type", "source_dataset", "ingest_batch_id", "metric_z_24h",
+]
+
+
+def scored(spark, d, every_feature=False):
+    """Score table, the score cut to the digits the checks use."""
+    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", SCORE_DIGITS))
+    return cut_lineage(s if every_feature else s.select(*SCORED_COLUMNS, "baseline_score"), "scored")
+
+
 @query(
     "source_summary",
     with_raw(
@@ -181,8 +195,7 @@ def entity_span(spark, d):
     ),
 )
 def score_histogram(spark, d):
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", 9))
-    return reports.score_histogram(s)
+    return reports.score_histogram(scored(spark, d))
 
 
 def _quartile_sql(by: str) -> str:
@@ -195,13 +208,13 @@ def _quartile_sql(by: str) -> str:
 
 @query("score_quartiles_by_source", _quartile_sql("source_dataset"))
 def score_quartiles_by_source(spark, d):
-    out = reports.score_quartiles(scores(spark, d), "baseline_score", "source_dataset")
+    out = reports.score_quartiles(scored(spark, d), "baseline_score", "source_dataset")
     return rounded(out, ["min", "max", "mean", "p25", "p50", "p75"])
 
 
 @query("score_quartiles_by_type", _quartile_sql("entity_type"))
 def score_quartiles_by_type(spark, d):
-    out = reports.score_quartiles(scores(spark, d), "baseline_score", "entity_type")
+    out = reports.score_quartiles(scored(spark, d), "baseline_score", "entity_type")
     return rounded(out, ["min", "max", "mean", "p25", "p50", "p75"])
 
 
@@ -214,7 +227,7 @@ def score_quartiles_by_type(spark, d):
     ),
 )
 def score_distribution(spark, d):
-    out = reports.describe(scores(spark, d), ["baseline_score"])
+    out = reports.describe(scored(spark, d), ["baseline_score"])
     return rounded(out, ["mean", "std", "min", "p25", "p50", "p75", "max"], 3)
 
 
@@ -226,7 +239,7 @@ def score_distribution(spark, d):
     ),
 )
 def anomaly_rate(spark, d):
-    return rounded(reports.anomaly_rate(scores(spark, d)), ["rate"])
+    return rounded(reports.anomaly_rate(scored(spark, d)), ["rate"])
 
 
 @query(

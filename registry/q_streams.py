@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from registry.core import CALENDAR, WINDOWED, feature_frame, feature_select, micros, query, with_features, with_raw
 from registry.fixtures import raw_events
 from registry.q_explain import WEIGHTS
-from registry.q_features import features
-from registry.q_reports import scores
+from registry.q_reports import scored
 from riskloom.operators import explain, impact
 from riskloom.plans.lineage import scratch_folder
 from riskloom.schema import RAW_EVENTS
@@ -73,10 +72,10 @@ def stream_features(spark, d):
 
 def _scored_stream(spark, d):
     """Baseline-scored feature rows landing as files, run through the scoring stream."""
-    rows = scores(spark, d).select("*", F.round("baseline_score", 9).alias("anomaly_score"))
+    rows = scored(spark, d, every_feature=True).withColumn("anomaly_score", F.col("baseline_score"))
     rows = rows.withColumn("is_anomaly", F.when(F.col("anomaly_score") >= 0.5, 1).otherwise(0))
     path = landing(rows, scratch_folder(spark, "landing"))
-    stats = explain.stats_dict(explain.feature_stats(features(spark, d)))
+    stats = explain.stats_dict(explain.feature_stats(rows))
     scoring = Scoring(lambda df: df, stats, WEIGHTS, impact.rules(spark))
     out = scratch_folder(spark, "scored")
     run_scoring_stream(spark, path, rows.schema, scoring, out, scratch_folder(spark, "checkpoint"), files_per_batch=1)

@@ -26,9 +26,10 @@ def severity(score: Column | str) -> Column:
 
 def make_alerts(scored: DataFrame, score: str = "baseline_score") -> DataFrame:
     """Scored events that reach the lowest severity."""
+    lowest = min(C.SEVERITY_THRESHOLDS.values())
     return (
-        scored.withColumn("severity", severity(score))
-        .filter(F.col("severity").isNotNull())
+        scored.filter(F.col(score) >= lowest)
+        .withColumn("severity", severity(score))
         .select("event_id", "ts", "entity_type", "entity_id", "source_dataset", F.col(score).alias("score"), "severity")
     )
 
@@ -47,6 +48,7 @@ def dedup_alerts(
     next-kept pointers in doubling steps, so no entity's history is gathered in one place.
     """
     width = window_hours * 3600 * MICROS
+    alerts = cut_lineage(alerts, "alerts")  # read several times below
     times = alerts.select("entity_id", epoch_micros("ts").alias("_t")).distinct()
     sizes = times.groupBy("entity_id").agg(F.count("*").alias("_n"))
     crowded = sizes.filter(F.col("_n") > fold_rows).select("entity_id")

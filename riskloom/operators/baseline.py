@@ -89,13 +89,11 @@ def zscore(v: str, mean: str, std: str) -> str:
     return f"CASE WHEN {v} IS NULL OR {std} = 0 THEN 0D ELSE abs(({v} - {mean}) / {std}) END"
 
 
-def iqr_score(v: str, q1: str, q3: str, iqr: str) -> str:
-    """Distance beyond the whiskers in units of the interquartile range, at most 5."""
-    low, high = f"({q1} - 1.5D * {iqr})", f"({q3} + 1.5D * {iqr})"
+def iqr_score(v: str, low: str, high: str, iqr: str) -> str:
+    """Distance beyond the whiskers `low` and `high` in units of the interquartile range, at most 5."""
     return (
         f"CASE WHEN {v} IS NULL OR {iqr} = 0 THEN 0D"
-        f" WHEN {v} < {low} THEN least(({low} - {v}) / {iqr}, 5D)"
-        f" WHEN {v} > {high} THEN least(({v} - {high}) / {iqr}, 5D) ELSE 0D END"
+        f" ELSE least(greatest({low} - {v}, {v} - {high}, 0D) / {iqr}, 5D) END"
     )
 
 
@@ -110,9 +108,18 @@ def combined_score(z: str, iqr: str, pct: str) -> str:
     return f"0.4D * least(({z}) / 5, 1D) + 0.3D * least(({iqr}) / 3, 1D) + 0.3D * ({pct})"
 
 
+# Statistics a score needs; the whiskers are worked out once per profile row.
+_SCORING = ["mean", "std", "iqr", "p1", "p5", "p25", "p75", "p95", "p99"]
+
+
+def whiskers() -> tuple[str, str]:
+    return "p25 - 1.5D * iqr", "p75 + 1.5D * iqr"
+
+
 def wide_profile(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per signal, one struct of statistics per feature."""
-    stats = F.struct(*STATS)
+    """One row per signal, one struct of scoring statistics per feature."""
+    low, high = whiskers()
+    stats = F.struct(*_SCORING, F.expr(low).alias("low"), F.expr(high).alias("high"))
     return profile.groupBy(*SIGNAL).agg(
         *[F.max(F.when(F.col("feature") == c, stats)).alias(f"_s_{c}") for c in columns]
     )
@@ -132,18 +139,18 @@ def score_events(
     side = broadcast_if_small(wide_profile(profile, present))
     rows = features.join(side, SIGNAL, "left")
     z, combined = {}, {}
+    usable = {c: f"(`{c}` IS NOT NULL AND `_s_{c}` IS NOT NULL)" for c in present}
     for c in present:
         v, at = f"CAST(`{c}` AS DOUBLE)", f"`_s_{c}`."
-        usable = f"`{c}` IS NOT NULL AND `_s_{c}` IS NOT NULL"
         zc = zscore(v, f"{at}mean", f"{at}std")
-        ic = iqr_score(v, f"{at}p25", f"{at}p75", f"{at}iqr")
-        z[c] = f"CASE WHEN {usable} THEN {zc} END AS `{c}_zscore`"
-        combined[c] = f"CASE WHEN {usable} THEN {combined_score(zc, ic, percentile_score(v, at))} END AS `{c}_combined`"
-    rows = rows.selectExpr("*", *[z[c] for c in present if parts], *combined.values())
+        ic = iqr_score(v, f"{at}low", f"{at}high", f"{at}iqr")
+        z[c] = f"CASE WHEN {usable[c]} THEN {zc} END AS `{c}_zscore`"
+        combined[c] = f"CASE WHEN {usable[c]} THEN {combined_score(zc, ic, percentile_score(v, at))} END AS `{c}_combined`"
+    n = " + ".join(f"if({usable[c]}, 1, 0)" for c in present)
+    rows = rows.selectExpr("*", f"{n} AS _n", *[z[c] for c in present if parts], *combined.values())
     scores = [f"`{c}_combined`" for c in present]
-    n = " + ".join(f"if({s} IS NULL, 0, 1)" for s in scores)
     total = " + ".join(f"coalesce({s}, 0D)" for s in scores)
-    rows = rows.selectExpr("*", f"{n} AS _n", f"{total} AS _total", f"greatest({', '.join(scores)}) AS baseline_score_max")
+    rows = rows.selectExpr("*", f"{total} AS _total", f"greatest({', '.join(scores)}) AS baseline_score_max")
     extra = [f"{c}_{k}" for c in present for k in ("zscore", "combined")] if parts else []
     return rows.selectExpr("*", "CASE WHEN _n > 0 THEN _total / _n END AS baseline_score_mean").selectExpr(
         *[f"`{c}`" for c in [*features.columns, *extra]],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import config as C
+from riskloom.plans.lineage import cut_lineage
 from riskloom.plans.ranks import exact_quantiles
 
 BINS = 10
@@ -24,6 +25,7 @@ def bin_shares(df: DataFrame, value: str = "score", bins: int = BINS) -> DataFra
 
     Bin i holds values above edge i and up to edge i+1; the outer bins are open.
     """
+    df = cut_lineage(df.select(value, "is_current"), "scores")  # read several times below
     reference = df.filter(~F.col("is_current"))
     probs = [i / bins for i in range(1, bins)]
     edges = sorted(r["quantile"] for r in exact_quantiles(reference, [], value, probs).collect())

@@ -151,7 +151,7 @@ def _sparse(base: DataFrame, labels: DataFrame | None, plan: FeaturePlan) -> Dat
             for w in plan.pct_windows
         ],
     )
-    return _finish(rows, plan)
+    return _finish(rows, plan, base.columns)
 
 
 def _lag_columns(rows: DataFrame, w, plan: FeaturePlan) -> DataFrame:
@@ -231,7 +231,7 @@ def _dense(base: DataFrame, labels: DataFrame | None, plan: FeaturePlan, hot: Ho
         *[_decimal_std(n).alias(f"_std_{n}") for n in plan.stat_windows],
         *[F.col(f"_lab_{t}") for t in plan.label_types],
     )
-    return _finish(out, plan)
+    return _finish(out, plan, base.columns)
 
 
 def _decimal_std(n: str) -> Column:
@@ -247,8 +247,8 @@ def _decimal_std(n: str) -> Column:
     return F.when(c > 1, F.sqrt(F.greatest(around.cast("double") - slack, F.lit(0.0)) / (c - 1)))
 
 
-def _finish(rows: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """Turn window totals into the named features."""
+def _finish(rows: DataFrame, plan: FeaturePlan, keep: Sequence[str]) -> DataFrame:
+    """Turn window totals into the named features, after the kept columns."""
     out = {}
     for w in plan.count_windows:
         out[f"event_count_{w}"] = F.col(f"_n_{w}")
@@ -278,8 +278,7 @@ def _finish(rows: DataFrame, plan: FeaturePlan) -> DataFrame:
     for t in plan.label_types:
         out[f"time_since_last_{t}_seconds"] = (F.col("_t") - F.col(f"_lab_{t}")) / F.lit(float(MICROS))
     wanted = plan.output_columns()
-    base = [c for c in rows.columns if not c.startswith("_")]
-    return rows.select(*base, *[out[c].alias(c) for c in wanted])
+    return rows.select(*keep, *[out[c].alias(c) for c in wanted])
 
 
 def features_asof(

@@ -53,7 +53,7 @@ def stratified_split(df: DataFrame, label: str = "is_anomaly", test_size: float
     tagged = df.withColumn("_stratum", strata.cast("int")).withColumn("_hash", hash_order(id_col))
     counts = tagged.groupBy("_stratum", "_hash").agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, ["_stratum"], ["_hash"], ["_n"])
-    sizes = counts.groupBy("_stratum").agg(F.round(F.sum("_n") * test_size).cast("long").alias("_want"))
+    sizes = ranked.groupBy("_stratum").agg(F.round(F.max("cum__n") * test_size).cast("long").alias("_want"))
     cuts = (
         ranked.join(F.broadcast(sizes), "_stratum")  # one row per class
         .filter(F.col("cum__n") <= F.col("_want"))

@@ -69,5 +69,6 @@ def stat_outliers(df: DataFrame, value: str = "amount") -> DataFrame:
         return df.withColumn("global_z", F.lit(0.0)).withColumn("global_iqr", F.lit(0.0))
     v = f"CAST(`{value}` AS DOUBLE)"
     z = zscore(v, f"{basics['m']!r}D", f"{basics['s']!r}D")
-    outside = iqr_score(v, f"{q[0.25]!r}D", f"{q[0.75]!r}D", f"{q[0.75] - q[0.25]!r}D")
+    iqr = q[0.75] - q[0.25]
+    outside = iqr_score(v, f"{q[0.25] - 1.5 * iqr!r}D", f"{q[0.75] + 1.5 * iqr!r}D", f"{iqr!r}D")
     return df.selectExpr("*", f"{z} AS global_z", f"{outside} AS global_iqr")

@@ -3,34 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a table written on the way, in the shared folder the session names.
 
-    A private folder is set only where none is configured and the master is local (tests).
+    A private folder is taken only where none is configured and the master is local (tests).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
-def scratch_folder(spark, name: str) -> str:
-    """A fresh folder for tables written on the way, beside the checkpoints; private only in local runs."""
-    import uuid
-
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="riskloom-scratch-")
+        shared = tempfile.mkdtemp(prefix="riskloom-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows, read back from a written table.
+
+    A table rather than a checkpoint of rows: later passes prune columns and push filters into it,
+    and lost executors cost only a re-read.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
