@@ -17,6 +17,7 @@ from riskloom.functions.expressions import (
     hour_of_day,
 )
 from riskloom.plans.hotkeys import DEFAULT_LIMITS, HotKeys, SkewLimits, find_hot, running, with_tail_rows
+from riskloom.plans.lineage import cut_lineage
 
 # Dense entities sum amounts as decimals, so a trailing sum is exact after rows leave the window.
 AMOUNT_SCALE = 6
@@ -176,7 +177,8 @@ def _dense(base: DataFrame, labels: DataFrame | None, plan: FeaturePlan, hot: Ho
     rows, part = with_tail_rows(base, hot, plan.key, ["_t", "event_id"], columns, 2)
     w = Window.partitionBy(*part).orderBy("_t", "event_id")
     rows = _lag_columns(rows.withColumn("_before", F.lag("_t").over(w)), w, plan)
-    rows = rows.filter(~F.col("_ghost")).drop("_ghost", "_seg", "_hot")
+    # The sweep reads these rows twice (totals per segment, then the sweep itself).
+    rows = cut_lineage(rows.filter(~F.col("_ghost")).drop("_ghost", "_seg", "_hot"), "dense-rows")
 
     names = list(dict.fromkeys([*plan.count_windows, *plan.proxy_windows, *plan.stat_windows, *plan.pct_windows]))
     x = F.col(plan.stat_column).cast(_AMOUNT)
@@ -340,7 +342,7 @@ def distinct_in_window(
     return (
         sparse(tagged.filter(~F.col("_hot")).drop("_hot"))
         .unionByName(_dense_distinct(tagged.filter("_hot").drop("_hot"), column, seconds, alias, hot))
-        .drop("_t")
+        .select(*events.columns, alias)
     )
 
 
