@@ -150,7 +150,7 @@ def score_events(
     rows = rows.selectExpr("*", f"{n} AS _n", *[z[c] for c in present if parts], *combined.values())
     scores = [f"`{c}_combined`" for c in present]
     total = " + ".join(f"coalesce({s}, 0D)" for s in scores)
-    rows = rows.selectExpr("*", f"{total} AS _total", f"greatest({', '.join(scores)}) AS baseline_score_max")
+    rows = rows.selectExpr("*", f"{total} AS _total", f"greatest({', '.join([*scores, scores[0]])}) AS baseline_score_max")
     extra = [f"{c}_{k}" for c in present for k in ("zscore", "combined")] if parts else []
     return rows.selectExpr("*", "CASE WHEN _n > 0 THEN _total / _n END AS baseline_score_mean").selectExpr(
         *[f"`{c}`" for c in [*features.columns, *extra]],

@@ -18,9 +18,9 @@ def ensemble_score(scores: Mapping[str, str], method: str = "weighted_average",
     weights = dict(weights or C.ENSEMBLE_WEIGHTS)
     cols = [F.col(c).cast("double") for c in scores.values()]
     if method == "max":
-        return F.greatest(*cols)
+        return F.greatest(*cols, cols[0])
     if method == "min":
-        return F.least(*cols)
+        return F.least(*cols, cols[0])
     if method == "weighted_average":
         w = [F.when(c.isNotNull(), F.lit(float(weights.get(d, 0.0)))).otherwise(0.0) for d, c in zip(scores, cols)]
         total = sum(w, F.lit(0.0))
