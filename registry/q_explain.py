@@ -56,7 +56,7 @@ def _explained(spark, d):
 def signed_z(spark, d):
     f = features(spark, d)
     stats = explain.stats_dict(explain.feature_stats(f))
-    return rounded(f.select("event_id", explain.signed_z("event_count_24h", stats).alias("z")), ["z"])
+    return rounded(f.select("event_id", F.expr(explain.signed_z("event_count_24h", stats)).alias("z")), ["z"])
 
 
 @query(

@@ -40,73 +40,71 @@ def stats_dict(stats: DataFrame) -> dict[str, tuple[float, float]]:
     return {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}
 
 
-def signed_z(column: str, stats: dict[str, tuple[float, float]]) -> Column:
+# Expressions over many features are SQL text: one parse instead of a Column object per operator.
+
+
+def _number(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _value(column: str) -> str:
+    return f"coalesce(CAST(`{column}` AS DOUBLE), 0D)"
+
+
+def signed_z(column: str, stats: dict[str, tuple[float, float]]) -> str:
     """Deviation in standard units; a missing value counts as 0, an unknown feature as no deviation."""
     if column not in stats:
-        return F.lit(0.0)
+        return "0D"
     mean, std = stats[column]
-    return (F.coalesce(F.col(column).cast("double"), F.lit(0.0)) - F.lit(mean)) / F.lit(std)
+    return f"(({_value(column)} - {_number(mean)}) / {_number(std)})"
 
 
 def display_name(column: str) -> str:
     return column.replace("_", " ").title()
 
 
-def _intensity(z: Column) -> Column:
-    return (
-        F.when(z > 2, "very high")
-        .when(z > 1, "high")
-        .when(z < -2, "very low")
-        .when(z < -1, "low")
-        .otherwise("unusual")
-    )
-
-
-def _phrase(column: str, value: Column, z: Column) -> Column:
-    word = _intensity(z)
-    if "count" in column:
-        amount = F.format_string("%d", value.cast("long"))
-        return F.concat(word, F.lit(f" {display_name(column)} ("), amount, F.lit(")"))
-    if "seconds" in column:
-        hours = value / 3600
-        long_gap = F.concat(word, F.lit(" time gap ("), F.format_string("%.1f", hours / 24), F.lit(" days)"))
-        short_gap = F.concat(word, F.lit(" time gap ("), F.format_string("%.1f", hours), F.lit("h)"))
-        return F.when(hours > 24, long_gap).otherwise(short_gap)
-    return F.concat(word, F.lit(f" {display_name(column)}"))
+def _kind(column: str) -> str:
+    return "count" if "count" in column else "seconds" if "seconds" in column else "plain"
 
 
 def contributions(
     columns: Sequence[str], stats: dict[str, tuple[float, float]], importance: dict[str, float], top_n: int = 5
 ) -> Column:
     """Array of the strongest contributors, largest first, ties in feature order."""
+    if not columns:
+        return F.expr("CAST(array() AS array<struct<feature:string,zscore:double,value:double,kind:string,label:string>>)")
     items = []
     for position, c in enumerate(columns):
-        value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        z = signed_z(c, stats)
-        weight = float(importance.get(c, 0.0))
+        z, weight = signed_z(c, stats), _number(importance.get(c, 0.0))
+        # The negated contribution and the position lead, so the natural order is the ranking.
         items.append(
-            F.struct(
-                (-F.abs(z) * F.lit(weight)).alias("_key"),
-                F.lit(position).alias("_position"),
-                F.lit(c).alias("feature"),
-                value.alias("value"),
-                z.alias("zscore"),
-                F.lit(weight).alias("importance"),
-                (F.abs(z) * F.lit(weight)).alias("contribution"),
-                F.when(z > 0, "high").otherwise("low").alias("direction"),
-                _phrase(c, value, z).alias("phrase"),
-            )
+            f"named_struct('_key', -abs({z}) * {weight}, '_position', {position}, 'feature', '{c}', 'value', {_value(c)},"
+            f" 'zscore', {z}, 'importance', {weight}, 'kind', '{_kind(c)}', 'label', '{display_name(c)}')"
         )
-    # The negated contribution and the position lead the struct, so natural order is the ranking.
-    return F.slice(F.array_sort(F.array(*items)), 1, top_n)
+    ranked = f"slice(array_sort(array({', '.join(items)})), 1, {int(top_n)})"
+    return F.expr(ranked)
+
 
+_CONTRIBUTOR = """named_struct('feature', c.feature, 'value', c.value, 'zscore', c.zscore, 'importance', c.importance,
+ 'contribution', abs(c.zscore) * c.importance, 'direction', CASE WHEN c.zscore > 0 THEN 'high' ELSE 'low' END)"""
 
-def summary_text(top: Column, score: Column) -> Column:
-    share = F.format_string("%.2f%%", score * 100)
-    reason = F.array_join(F.transform(F.slice(top, 1, 2), lambda c: c["phrase"]), " and ")
-    said = F.concat(F.lit("Anomaly (score: "), share, F.lit(") due to "), reason, F.lit("."))
-    none = F.concat(F.lit("Anomaly score: "), share, F.lit(". No significant contributors."))
-    return F.when(F.size(top) > 0, said).otherwise(none)
+_PHRASE = """concat(
+ CASE WHEN c.zscore > 2 THEN 'very high' WHEN c.zscore > 1 THEN 'high'
+  WHEN c.zscore < -2 THEN 'very low' WHEN c.zscore < -1 THEN 'low' ELSE 'unusual' END,
+ CASE WHEN c.kind = 'count' THEN concat(' ', c.label, ' (', format_string('%d', CAST(c.value AS BIGINT)), ')')
+  WHEN c.kind = 'seconds' AND c.value / 3600 > 24 THEN concat(' time gap (', format_string('%.1f', c.value / 3600 / 24), ' days)')
+  WHEN c.kind = 'seconds' THEN concat(' time gap (', format_string('%.1f', c.value / 3600), 'h)')
+  ELSE concat(' ', c.label) END)"""
+
+
+def summary_text(top: str, score: str) -> str:
+    """Sentence naming the two strongest contributors of the array column `top`."""
+    share = f"format_string('%.2f%%', `{score}` * 100)"
+    reason = f"array_join(transform(slice({top}, 1, 2), c -> {_PHRASE}), ' and ')"
+    return (
+        f"CASE WHEN size({top}) > 0 THEN concat('Anomaly (score: ', {share}, ') due to ', {reason}, '.')"
+        f" ELSE concat('Anomaly score: ', {share}, '. No significant contributors.') END"
+    )
 
 
 def explain(
@@ -119,12 +117,10 @@ def explain(
 ) -> DataFrame:
     """Add top_contributors and summary to every row; row-local, no shuffle."""
     present = [c for c in columns if c in df.columns]
-    kept = ["feature", "value", "zscore", "importance", "contribution", "direction"]
-    with_top = df.withColumn("_top", contributions(present, stats, importance, top_n))
-    return with_top.select(
-        *df.columns,
-        F.transform("_top", lambda c: F.struct(*[c[k].alias(k) for k in kept])).alias("top_contributors"),
-        summary_text(F.col("_top"), F.col(score)).alias("summary"),
+    ranked = df.withColumn("_top", contributions(present, stats, importance, top_n))
+    top = f"transform(_top, c -> {_CONTRIBUTOR})" if present else "_top"
+    return ranked.selectExpr(
+        *[f"`{c}`" for c in df.columns], f"{top} AS top_contributors", f"{summary_text('_top', score)} AS summary"
     )
 
 

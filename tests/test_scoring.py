@@ -136,6 +136,7 @@ def test_explanations(spark):
     assert a["top_contributors"][0]["zscore"] == pytest.approx(5.0) and a["top_contributors"][0]["direction"] == "high"
     assert a["summary"] == "Anomaly (score: 87.60%) due to very high Event Count 1H (150) and high time gap (2.1 days)."
     assert out["b"]["summary"] == "Anomaly (score: 50.00%) due to very low Event Count 1H (0) and low time gap (2.0h)."
+    assert explain.explain(df, stats, weights, "s", columns=[]).first()["summary"] == "Anomaly score: 87.60%. No significant contributors."
     tied = explain.explain(df, {c: (0.0, 1.0) for c in stats}, {c: 0.0 for c in stats}, "s", top_n=2).first()
     assert [c["feature"] for c in tied["top_contributors"]] == ["event_count_1h", "delta_1"]  # model feature order
 
