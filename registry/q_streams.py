@@ -19,35 +19,45 @@ from riskloom.streaming.source import deduplicated, stream_events
 SLICES = 3
 
 
-def landing(df, path: str, slices: int = SLICES) -> str:
-    """Files in time order: one append per equal slice of the time span."""
+ALL_FILES = 1_000_000  # one micro-batch per landed slice
+
+
+def land_in_slices(df, path: str, after_each, slices: int = SLICES) -> None:
+    """Append equal slices of the time span one after the other, calling `after_each` in between."""
     span = df.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
     width = (span["b"] - span["a"]) // slices + 1
     part = F.floor((F.unix_micros("ts") - F.lit(span["a"])) / F.lit(width))
     for i in range(slices):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.filter(part == i).write.mode("append").parquet(path)
+        after_each()
+
+
+def _drain(spark, df, make_stream, name):
+    """Land `df` in slices, run the stream over each into a table, and read the table."""
+    path, out, checkpoint = (scratch_folder(spark, f"{name}-{x}") for x in ("landing", "out", "checkpoint"))
+    schema = None
 
+    def run():
+        nonlocal schema
+        stream = make_stream(path)
+        schema = stream.schema
+        query_ = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query_.awaitTermination()
 
-def _drain(stream, spark, name):
-    """Run a stream over all waiting files into a table, and read it."""
-    out = scratch_folder(spark, name)
-    query_ = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_folder(spark, f"{name}-checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query_.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    land_in_slices(df, path, run)
+    return spark.read.schema(schema).parquet(out)
 
 
 @query("stream_source", with_raw("select event_id, epoch_us(ts) as ts from raw where source_dataset = 'CERT'"))
 def stream_source(spark, d):
-    path = landing(raw_events(spark, d), scratch_folder(spark, "landing"))
-    out = _drain(stream_events(spark, path, RAW_EVENTS, 1, "CERT"), spark, "arrived")
+    out = _drain(spark, raw_events(spark, d), lambda p: stream_events(spark, p, RAW_EVENTS, ALL_FILES, "CERT"), "arrived")
     return micros(out.select("event_id", "ts"), "ts")
 
 
@@ -55,8 +65,8 @@ def stream_source(spark, d):
 def stream_dedup(spark, d):
     """Every event lands twice; one copy passes."""
     ev = raw_events(spark, d)
-    path = landing(ev.unionByName(ev), scratch_folder(spark, "landing"))
-    return _drain(deduplicated(stream_events(spark, path, RAW_EVENTS, 1)), spark, "unique").select("event_id", "source_dataset")
+    make = lambda p: deduplicated(stream_events(spark, p, RAW_EVENTS, ALL_FILES))
+    return _drain(spark, ev.unionByName(ev), make, "unique").select("event_id", "source_dataset")
 
 
 _BOTH = [*WINDOWED, *CALENDAR]
@@ -64,9 +74,9 @@ _BOTH = [*WINDOWED, *CALENDAR]
 
 @query("stream_features", with_features(f"select event_id, {feature_select(_BOTH)} from feat"))
 def stream_features(spark, d):
-    path = landing(raw_events(spark, d), scratch_folder(spark, "landing"))
-    state, out = scratch_folder(spark, "state"), scratch_folder(spark, "features")
-    run_feature_stream(spark, path, state, out, scratch_folder(spark, "checkpoint"), files_per_batch=1)
+    path, state, out, checkpoint = (scratch_folder(spark, x) for x in ("landing", "state", "features", "checkpoint"))
+    run = lambda: run_feature_stream(spark, path, state, out, checkpoint, files_per_batch=ALL_FILES)
+    land_in_slices(raw_events(spark, d), path, run)
     return feature_frame(spark.read.parquet(out), _BOTH)
 
 
@@ -74,11 +84,11 @@ def _scored_stream(spark, d):
     """Baseline-scored feature rows landing as files, run through the scoring stream."""
     rows = scored(spark, d, every_feature=True).withColumn("anomaly_score", F.col("baseline_score"))
     rows = rows.withColumn("is_anomaly", F.when(F.col("anomaly_score") >= 0.5, 1).otherwise(0))
-    path = landing(rows, scratch_folder(spark, "landing"))
     stats = explain.stats_dict(explain.feature_stats(rows))
     scoring = Scoring(lambda df: df, stats, WEIGHTS, impact.rules(spark))
-    out = scratch_folder(spark, "scored")
-    run_scoring_stream(spark, path, rows.schema, scoring, out, scratch_folder(spark, "checkpoint"), files_per_batch=1)
+    path, out, checkpoint = (scratch_folder(spark, x) for x in ("landing", "scored-stream", "checkpoint"))
+    run = lambda: run_scoring_stream(spark, path, rows.schema, scoring, out, checkpoint, ALL_FILES)
+    land_in_slices(rows, path, run)
     return out
 
 
@@ -126,6 +136,5 @@ def session_counts(spark, d):
 @query("stream_counts")
 def stream_counts_(spark, d):
     """Hourly counts by the stream: only windows the watermark has closed."""
-    path = landing(raw_events(spark, d), scratch_folder(spark, "landing"))
-    stream = stream_counts.window_counts(stream_events(spark, path, RAW_EVENTS, 1))
-    return micros(_drain(stream, spark, "hourly"), "window_start", "window_end")
+    make = lambda p: stream_counts.window_counts(stream_events(spark, p, RAW_EVENTS, ALL_FILES))
+    return micros(_drain(spark, raw_events(spark, d), make, "hourly"), "window_start", "window_end")

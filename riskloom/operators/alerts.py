@@ -12,7 +12,7 @@ from riskloom.functions.expressions import MICROS, epoch_micros, micros_to_ts
 from riskloom.plans.hotkeys import SkewLimits, find_hot, running
 from riskloom.plans.lineage import cut_lineage
 from riskloom.plans.sampling import top_per_group
-from riskloom.plans.small import has_rows
+from riskloom.plans.small import broadcast_if_small, has_rows
 
 
 def severity(score: Column | str) -> Column:
@@ -51,7 +51,7 @@ def dedup_alerts(
     alerts = cut_lineage(alerts, "alerts")  # read several times below
     times = alerts.select("entity_id", epoch_micros("ts").alias("_t")).distinct()
     sizes = times.groupBy("entity_id").agg(F.count("*").alias("_n"))
-    crowded = sizes.filter(F.col("_n") > fold_rows).select("entity_id")
+    crowded = broadcast_if_small(sizes.filter(F.col("_n") > fold_rows).select("entity_id"))
     few = times.join(crowded, "entity_id", "left_anti")
 
     def step(acc, t):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import hash_order, unit_from_hex
-from riskloom.plans.small import has_rows
+from riskloom.plans.small import broadcast_if_small, has_rows
 
 # Below this many rows the built-in per-partition limit is already cheap.
 DIRECT_LIMIT = 10_000
@@ -58,7 +58,7 @@ def sample_per_group(
     while True:
         cuts = big.select(*group, (margin * widen / F.col("_size")).alias("_cut"))
         near = (
-            df.join(cuts, group, "left")
+            df.join(broadcast_if_small(cuts), group, "left")
             .filter(F.col("_cut").isNull() | (unit_from_hex(order) < F.col("_cut")))
             .drop("_cut")
         )

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.plans.small import broadcast_if_small
+
+# Splits held on the driver: about 25 TB of files at the usual split size; beyond it, a shuffle join.
+SPLIT_ROWS = 200_000
+
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """0-based position of each row over the files of a scan, in file and offset order.
@@ -25,6 +30,6 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     offsets = splits.select(
         "_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    return tagged.join(offsets, ["_path", "_start"]).select(
+    return tagged.join(broadcast_if_small(offsets, SPLIT_ROWS), ["_path", "_start"]).select(
         *df.columns, (F.col("_offset") + F.col("_mid") - F.col("_first")).alias(name)
     )

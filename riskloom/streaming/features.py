@@ -7,6 +7,7 @@ batch, so a replayed batch overwrites its own output.
 
 from __future__ import annotations
 
+from datetime import timedelta
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -20,11 +21,13 @@ from riskloom.streaming.source import stream_events
 
 LOOKBACK_ROWS = 2
 COMPACT_EVERY = 50
+# A batch that spans more days reads the history without naming its day folders.
+NAMED_DAYS = 90
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def _read(spark: SparkSession, path: str, base: str | None = None) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return (spark.read.option("basePath", base) if base else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -36,7 +39,7 @@ def _last_rows(rows: DataFrame) -> DataFrame:
 
 
 class FeatureStream:
-    """Folders under `state`: history (by day and batch), tails (last rows per entity and batch), late;
+    """Folders under `state`: history (by day, then batch), tails (last rows per entity and batch), late;
     features go to `out`."""
 
     def __init__(self, state: str, out: str, labels: DataFrame | None = None, settings: dict[str, Any] | None = None):
@@ -55,11 +58,21 @@ class FeatureStream:
             tails = base if tails is None else tails.unionByName(base)
         return tails
 
+    def _history(self, spark: SparkSession, first, last) -> DataFrame | None:
+        """Events of the days a batch can look back on; only their folders are listed."""
+        base = f"{self.state}/history"
+        start = (first - timedelta(seconds=self.seconds)).date()
+        days = (last.date() - start).days + 1
+        if days > NAMED_DAYS:
+            return _read(spark, base)
+        names = ",".join(str(start + timedelta(days=i)) for i in range(days))
+        return _read(spark, f"{base}/day={{{names}}}", base)
+
     def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Features of the batch's on-time rows; also updates the folders."""
         spark = batch.sparkSession
         batch = batch.select(*EVENT_COLUMNS).persist()
-        bounds = batch.agg(F.min("ts").alias("a"), F.count("*").alias("n")).first()
+        bounds = batch.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first()
         if bounds["n"] == 0:
             batch.unpersist()
             return batch
@@ -67,7 +80,7 @@ class FeatureStream:
         tails = self._earlier_tails(spark, batch_id)
         tails = None if tails is None else _last_rows(tails.join(entities, "entity_id", "left_semi")).persist()
         past = tails
-        history = _read(spark, f"{self.state}/history")
+        history = self._history(spark, bounds["a"], bounds["b"])
         if history is not None:
             since = F.lit(bounds["a"]) - F.make_dt_interval(secs=F.lit(float(self.seconds)))
             recent = (
@@ -92,8 +105,12 @@ class FeatureStream:
             features = features.filter(~late).drop("_seen")
         features.write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
         _last_rows(batch).write.mode("overwrite").parquet(f"{self.state}/tails/batch_id={batch_id}")
-        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(
-            f"{self.state}/history/batch_id={batch_id}"
+        (
+            batch.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch_id")
+            .parquet(f"{self.state}/history")
         )
         if batch_id > 0 and batch_id % COMPACT_EVERY == 0:
             self._compact(spark, batch_id)
