@@ -17,7 +17,7 @@ def spark():
     s = build_session(
         "riskloom-tests",
         "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.log.level": "ERROR"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.log.level": "ERROR", "spark.sql.codegen.wholeStage": "false"},
     )
     yield s
     s.stop()
