@@ -398,19 +398,14 @@ def stat_outliers(spark, d):
 @query(
     "nl_state",
     with_raw(
-        """select event_id, 'User has ' || n || ' events in the last 1 day; success rate is ' || printf('%.0f', 100.0 * k / n) || '%' as state_text from
+        """select event_id, 'User has ' || n || ' events in the last 1 day; success rate is ' || cast(round(k / n * 100) as bigint) || '%' as state_text from
  (select event_id, count(*) over w as n, sum(case when status = 'success' then 1 else 0 end) over w as k from raw where user_id is not null
- window w as (partition by user_id order by ts range between interval 24 hours preceding and current row)) where (200 * k) % n <> 0 or (100 * k) % n = 0"""
+ window w as (partition by user_id order by ts range between interval 24 hours preceding and current row))"""
     ),
 )
 def nl_state(spark, d):
-    """State sentences; rates exactly half-way between two whole percents print differently in the
-    two engines and are left out on both sides."""
     rows = entity_windows(raw_events(spark, d), "user", [24])
-    n = F.col("user_24h_event_count")
-    k = F.round(F.col("user_24h_success_rate") * n).cast("long")
-    clear = ((k * 200) % n != 0) | ((k * 100) % n == 0)
-    return narrate.describe_state(rows.filter(clear), "user", 24).select("event_id", "state_text")
+    return narrate.describe_state(rows, "user", 24).select("event_id", "state_text")
 
 
 @query(

@@ -31,7 +31,7 @@ def count_sentence(kind: str, hours: int, count: Column, baseline: Column | None
 
 
 def rate_sentence(rate: Column) -> Column:
-    return F.concat(F.lit("success rate is "), F.format_string("%.0f%%", rate * 100))
+    return F.concat(F.lit("success rate is "), F.round(rate * 100).cast("long").cast("string"), F.lit("%"))
 
 
 def describe_state(df: DataFrame, kind: str, hours: int, baseline: str | None = None) -> DataFrame:
