@@ -30,7 +30,7 @@ class SkewLimits:
     """Row limits that decide which plan a key takes."""
 
     window_rows: int = 2_000
-    segment_rows: int = 2_000_000
+    segment_rows: int = 200_000
     local_table_rows: int = 50_000
 
 
