@@ -13,11 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
     s = build_session(
         "riskloom-tests",
         "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.log.level": "ERROR", "spark.sql.codegen.wholeStage": "false"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.log.level": "ERROR", "spark.checkpoint.dir": shared, "spark.sql.codegen.wholeStage": "false"},
     )
     yield s
     s.stop()
