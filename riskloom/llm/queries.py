@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, html_text, near_join, packing
+from riskloom.llm import decontaminate, html_text, language, near_join, packing
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 4-word shingles, similarity 0.85."""
     return near_join.near_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
