@@ -206,19 +206,14 @@ def spans_of(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
     return out
 
 
-def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score[, spans] of every row of documents.
+class Predictor:
+    """Languages of a list of texts."""
 
-    lang_pred is the language with most letters in the labelled spans, score its share of all letters. A
-    null text, or one without letters, is `und` with score 0; so is everything if no language was learnt.
-    Text in a script that no language uses takes the most frequent language, score 0. Rows without doc_id
-    are predicted like others, held_out false. Repeated rows stay; an empty table gives no rows.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    def __init__(self, model: Model):
+        self.model = model
 
-    def predict(batch: pa.RecordBatch):
-        model, texts = sent.value, batch.column(2).to_pylist()
-        number: dict[str, int] = {}
+    def __call__(self, texts: list[str | None], with_spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:
+        model, number = self.model, {}
         sequences = [np.array([number.setdefault(w, len(number)) for w in words_of(t or "")], np.int64) for t in texts]
         lang, score, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if number and model.languages:
@@ -234,6 +229,21 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
                     lang[i], score[i] = model.languages[best], float(told[best] / own.sum())
                     if with_spans:
                         spans[i] = spans_of(texts[i], labels, model.languages)
+        return lang, score, spans
+
+
+def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score[, spans] of every row of documents.
+
+    lang_pred is the language with most letters in the labelled spans, score its share of all letters. A
+    null text, or one without letters, is `und` with score 0; so is everything if no language was learnt.
+    Text in a script that no language uses takes the most frequent language, score 0. Rows without doc_id
+    are predicted like others, held_out false. Repeated rows stay; an empty table gives no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(batch: pa.RecordBatch):
+        lang, score, spans = Predictor(sent.value)(batch.column(2).to_pylist(), with_spans)
         arrays = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
         names = ["doc_id", "held_out", "lang_pred", "score"]
         if with_spans:
@@ -248,3 +258,23 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     )
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     return arrow_map(source, predict, schema + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans)
+
+
+def kept(docs: DataFrame, model: Model, share: float) -> DataFrame:
+    """The rows of documents whose text has letters, at least `share` of them in its language. All columns stay.
+
+    If no language was learnt, every text with letters is kept.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def choose(batch: pa.RecordBatch):
+        texts = batch.column(place).to_pylist()
+        if sent.value.languages:
+            lang, score, _ = Predictor(sent.value)(texts)
+            good = [x != UNKNOWN and s >= share for x, s in zip(lang, score, strict=True)]
+        else:
+            good = [bool(words_of(t or "")) for t in texts]
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+    return arrow_map(docs, choose, docs.schema)

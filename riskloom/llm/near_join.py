@@ -105,8 +105,8 @@ def signatures(features: np.ndarray, plan: Plan) -> np.ndarray:
         small = counts < MIN_PART
         if spare and small.sum() <= spare:
             keep = keep[~small]
-        tag = np.uint64(band * 1_000_003)
-        out.append(mix(total[keep] * M1 + mix(keep.astype(np.uint64) + tag * M2) + counts[keep].astype(np.uint64)))
+        tag = np.uint64(band * 1_000_003 * int(M2) & (1 << 64) - 1)
+        out.append(mix(total[keep] * M1 + mix(keep.astype(np.uint64) + tag) + counts[keep].astype(np.uint64)))
     return np.concatenate(out)
 
 
