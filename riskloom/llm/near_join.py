@@ -9,17 +9,24 @@ for its own band and the next.
 The spare parts pay for leaving out parts of fewer than MIN_PART features, which many unlike sets share:
 a set with at most `spare` such parts signs the others only, a set with more signs all. Of a linked pair
 either one has at most `spare` small parts, and then some agreeing part is large in both, or both sign
-everything. Nothing is lost.
-
-Equal sets form a class first. Members of a signature are compared with its smallest class, which links
-groups of near copies without listing their pairs; components follow. Pairs that this leaves open (same
-signature, other components) are listed for signatures of at most SMALL_BUCKET members; members of larger
-ones are joined on their rarest features (prefix filter), which is exact too. Every candidate is checked
-against the whole sets.
+everything. Nothing is lost. What is left of `spare` is the set's slack under that band (0 if it signs all):
+it shares at least one signature more than that with every set it links with.
+
+Equal sets form a class first, named by a 64-bit hash. Members of a signature are compared with its
+smallest class, which links groups of near copies without listing their pairs; components follow. Pairs
+that this leaves open (same signature, other components) are listed for signatures of at most SMALL_BUCKET
+members. Larger open signatures are hot. A set with no more hot signatures than slack shares some other
+signature with every set it links with, so only sets with more remain; they are joined on their rarest
+features (prefix, length and positional filters), which is exact too.
+
+Candidates first compare histograms: how many features fall to each of BINS bins. The bins differ by no
+more than the sets, so a larger difference rules a link out. What passes is checked on the whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +37,9 @@ from riskloom.llm.common import arrow_map, components, written
 from riskloom.plans.small import broadcast_if_small
 
 MIN_PART = 2
-SMALL_BUCKET = 20
+SPARE_PERCENT = 20
+SMALL_BUCKET = 16
+BINS = 128
 LOCAL_IDS = 500_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -87,13 +96,14 @@ class Plan:
             low, high = self.bands[band]
             if band == own or 100 * size >= self.percent * low:
                 k = (100 - self.percent) * 2 * high // (100 + self.percent)
-                spare = -(-(k + 1) // 10) if k else 0
+                spare = -(-(k + 1) * SPARE_PERCENT // 100) if k else 0
                 out.append((band, k + 1 + spare, spare))
         return out
 
 
-def signatures(features: np.ndarray, plan: Plan) -> np.ndarray:
-    out = []
+def signatures(features: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[int]]:
+    """Signatures, whose last bit is that of their band, and the slack under even and odd bands."""
+    out, slack = [], [0, 0]
     spread = mix(features * M1)
     for band, parts, spare in plan.tags(len(features)):
         part = ((spread >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
@@ -105,9 +115,16 @@ def signatures(features: np.ndarray, plan: Plan) -> np.ndarray:
         small = counts < MIN_PART
         if spare and small.sum() <= spare:
             keep = keep[~small]
+            slack[band % 2] = spare - int(small.sum())
         tag = np.uint64(band * 1_000_003 * int(M2) & (1 << 64) - 1)
-        out.append(mix(total[keep] * M1 + mix(keep.astype(np.uint64) + tag) + counts[keep].astype(np.uint64)))
-    return np.concatenate(out)
+        sigs = mix(total[keep] * M1 + mix(keep.astype(np.uint64) + tag) + counts[keep].astype(np.uint64))
+        out.append(sigs >> np.uint64(1) << np.uint64(1) | np.uint64(band % 2))
+    return np.concatenate(out), slack
+
+
+def histogram(features: np.ndarray) -> bytes:
+    counts = np.bincount((mix(features + M3) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -116,26 +133,68 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def set_key(features: np.ndarray) -> int:
+    """The name of a class of equal sets."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(features.tobytes())).view(np.int64))
+
+
 def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, sigs): key names the set; sigs only at the first copy a slice meets."""
+    """(doc_id, n_shingles, key, sigs, slack, bins): key names the set; sigs only at the first copy a slice meets."""
     plan = Plan(percent)
 
     def sign(batch: pa.RecordBatch):
-        sizes, keys, sigs, seen = [], [], [], set()
+        sizes, keys, sigs, slacks, bins, seen = [], [], [], [], [], set()
         for text in batch.column(1).to_pylist():
             features = feature_set(text, words)
-            key = xxhash.xxh3_128_digest(features.tobytes()) if len(features) else None
-            sizes.append(len(features))
-            keys.append(key)
-            sigs.append(signatures(features, plan) if key and key not in seen else np.empty(0, np.uint64))
+            key = set_key(features) if len(features) else None
+            signed = signatures(features, plan) if key is not None and key not in seen else (np.empty(0, np.uint64), [0, 0])
+            for to, value in zip((sizes, keys, sigs, slacks), (len(features), key, *signed), strict=True):
+                to.append(value)
+            bins.append(histogram(features) if len(signed[0]) else None)
             seen.add(key)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(sigs)],
-            names=["doc_id", "n_shingles", "key", "sigs"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists(sigs), pa.array(slacks, pa.list_(pa.int32())), pa.array(bins, pa.binary())],
+            names=["doc_id", "n_shingles", "key", "sigs", "slack", "bins"],
         )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, sign, "doc_id long, n_shingles long, key binary, sigs array<long>")
+    return arrow_map(source, sign, "doc_id long, n_shingles long, key long, sigs array<long>, slack array<int>, bins binary")
+
+
+def shared_signatures(members: DataFrame) -> DataFrame:
+    """(sig, key) -> (sig, key, pivot) of the signatures with several classes; pivot is the smallest of them.
+
+    One exchange, sorted; a task walks through its rows and holds no more than a batch of them.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = last = pivot = None  # the run the last batch ended in
+        shown = True  # whether its pivot has been given out
+        for batch in batches:
+            sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            before_sig = np.concatenate([[sig[0] if at is None else at], sig[:-1]])
+            before_key = np.concatenate([[key[0] if last is None else last], key[:-1]])
+            starts = sig != before_sig
+            starts[0] |= at is None
+            new = starts | (key != before_key)
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), -1))
+            own = np.where(first >= 0, key[np.maximum(first, 0)], pivot if pivot is not None else 0)
+            more = new & ~starts  # members beside the pivot
+            held = np.zeros(len(sig), bool)
+            held[first[more & (first >= 0)]] = True
+            out = more | held
+            out_sig, out_key, out_pivot = sig[out], key[out], own[out]
+            if not shown and (more & (first < 0)).any():
+                out_sig, out_key, out_pivot = (np.concatenate([[v], c]) for v, c in ((at, out_sig), (pivot, out_key), (pivot, out_pivot)))
+                shown = True
+            if first[-1] >= 0:
+                pivot, shown = key[first[-1]], bool(held[first[-1]])
+            at, last = sig[-1], key[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_sig, out_key, out_pivot)], names=["sig", "key", "pivot"])
+
+    return members.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(runs, "sig long, key long, pivot long")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -143,11 +202,11 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def sets(batch: pa.RecordBatch):
         found = [(k, feature_set(t, words)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        found = [(k, s) for k, s in found if xxhash.xxh3_128_digest(s.tobytes()) == k]
-        keys = pa.array([k for k, _ in found], pa.binary())
+        found = [(k, s) for k, s in found if len(s) and set_key(s) == k]
+        keys = pa.array([k for k, _ in found], pa.int64())
         yield pa.RecordBatch.from_arrays([keys, lists([s for _, s in found])], names=["key", "features"])
 
-    return arrow_map(docs.select("key", "text"), sets, "key binary, features array<long>")
+    return arrow_map(docs.select("key", "text"), sets, "key long, features array<long>")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,6 +222,21 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that sizes and histograms do not rule out."""
+
+    def compare(batch: pa.RecordBatch):
+        n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+        bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 5)]
+        apart = np.abs(bins[0] - bins[1]).sum(1)
+        near = pa.array(apart * (100 + percent) <= n * (100 - percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(fits("na", "nb", percent))
+    return arrow_map(joined.select("a", "b", "na", "bins_a", "nb", "bins_b"), compare, "a long, b long")
+
+
 def fits(a: str, b: str, percent: int) -> F.Column:
     """Sizes alone allow a link."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -177,7 +251,11 @@ def texts_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def rare_feature_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share one of their rarest features."""
+    """Candidate pairs of different components that share one of their rarest features.
+
+    The smaller set of a linked pair shares one of its first n - ceil(2tn / (1 + t)) + 1 features (rarest
+    first) with the first m - ceil(tm) + 1 of the larger, t being the threshold.
+    """
     each = sets.join(roots, "key").select("key", "root", F.size("features").alias("n"), F.explode("features").alias("f"))
     count = each.groupBy("f").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     ordered = (
@@ -186,21 +264,17 @@ def rare_feature_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataF
         .agg(F.sort_array(F.collect_list(F.struct("df", "f", (F.col("lo") != F.col("hi")).alias("open")))).alias("fs"))
         .withColumn("fs", F.array_distinct("fs"))
     )
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    tokens = (
-        ordered.select("key", "root", "n", F.explode(F.slice("fs", F.lit(1), prefix.cast("int"))).alias("t"))
-        .filter("t.open")
-        .select("key", "root", "n", F.col("t.f").alias("f"))
-    )
-    tokens = written(tokens, "near-prefix")
-    other = tokens.select(F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "f")
-    return (
-        tokens.withColumnsRenamed({"key": "a", "root": "ra", "n": "na"})
-        .join(other, "f")
-        .filter((F.col("ra") < F.col("rb")) & fits("na", "nb", percent))
-        .select("a", "b")
-        .distinct()
-    )
+    n, t = F.col("n"), percent
+    probe = n - F.ceil(n * t / 100) + 1
+    index = n - F.ceil(n * (2 * t) / (100 + t)) + 1
+    tokens = ordered.select("key", "root", "n", F.posexplode(F.slice("fs", F.lit(1), probe.cast("int"))).alias("at", "t"))
+    tokens = written(tokens.filter("t.open").select("key", "root", "n", "at", F.col("t.f").alias("f")), "near-prefix")
+    small = tokens.filter(F.col("at") < index).select(F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "f")
+    large = tokens.select(F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "f")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    keep = (F.col("ra") != F.col("rb")) & (F.col("na") <= F.col("nb")) & fits("na", "nb", percent)
+    keep = keep & (most * (100 + t) >= (F.col("na") + F.col("nb")) * t)
+    return small.join(large, "f").filter(keep).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -213,26 +287,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     that has one, and else has component_id null. Extra columns are ignored. An empty table gives no rows.
     """
     signed = written(signed_sets(docs, words, percent), "near-sets")
-    classes = written(
-        signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id")),
-        "near-classes",
-    )
-    members = signed.filter(F.size("sigs") > 0).select("key", "n_shingles", F.explode("sigs").alias("sig"))
-    buckets = members.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.count("*").alias("size"))
-    buckets = written(buckets.filter(F.col("pivot") != F.col("last")).drop("last"), "near-buckets")
-    shared = written(
-        members.join(buckets, "sig").select("sig", "key", F.col("n_shingles").alias("n"), "pivot", "size").distinct(), "near-shared"
-    )
-    pivots = classes.select(F.col("key").alias("a"), F.col("n").alias("na"))
-    first = (
-        shared.filter(F.col("key") != F.col("pivot"))
-        .select(F.col("pivot").alias("a"), F.col("key").alias("b"), "n")
-        .distinct()
-        .join(pivots, "a")
-        .filter(fits("n", "na", percent))
-        .select("a", "b")
+    classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.max("slack").alias("slack"), F.max("bins").alias("bins")
     )
-    first = written(first, "near-pairs")
+    classes = written(classes, "near-classes")
+    shared = written(shared_signatures(signed.select(F.explode("sigs").alias("sig"), "key")), "near-shared")
+    first = shared.filter(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    first = written(plausible(first, classes, percent), "near-pairs")
     wanted = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
     sets = written(whole_sets(texts_of(docs, signed, wanted), words), "near-whole")
     links = written(checked(first, sets, percent), "near-links")
@@ -245,22 +306,27 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .filter((F.col("lo") != F.col("hi")) & (F.col("held") > 2))
         .select("sig", "held")
     )
-    left = written(known.join(open_sigs, "sig").filter(F.col("key") != F.col("pivot")).select("sig", "key", "n", "root", "held"), "near-open")
-    few = left.filter(F.col("held") <= SMALL_BUCKET)
+    left = written(known.join(written(open_sigs, "near-open-sigs"), "sig").select("sig", "key", "pivot", "root", "held"), "near-open")
+    few = left.filter((F.col("held") <= SMALL_BUCKET) & (F.col("key") != F.col("pivot")))
     listed = (
-        few.select("sig", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        .join(few.select("sig", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")), "sig")
-        .filter((F.col("ra") < F.col("rb")) & fits("na", "nb", percent))
+        few.select("sig", F.col("key").alias("a"), F.col("root").alias("ra"))
+        .join(few.select("sig", F.col("key").alias("b"), F.col("root").alias("rb")), "sig")
+        .filter(F.col("ra") < F.col("rb"))
         .select("a", "b")
+        .distinct()
     )
-    many = left.filter(F.col("held") > SMALL_BUCKET).select("key", "root").distinct()
-    pairs = written(listed.union(rare_feature_pairs(sets_for(docs, signed, sets, many, words), many, percent)).distinct(), "near-pairs2")
+    hot = left.filter(F.col("held") > SMALL_BUCKET).groupBy("key", "root", F.pmod("sig", F.lit(2)).alias("band")).agg(F.count("*").alias("hot"))
+    slack = F.coalesce(F.get("slack", F.col("band").cast("int")), F.lit(0))
+    many = hot.join(classes.select("key", "slack"), "key").filter(F.col("hot") > slack).select("key", "root").distinct()
+    many = written(many, "near-many")
+    rare = rare_feature_pairs(sets_for(docs, signed, sets, many, words), many, percent)
+    pairs = written(plausible(written(listed.union(rare).distinct(), "near-listed"), classes, percent), "near-pairs2")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     more = written(checked(pairs, sets_for(docs, signed, sets, wanted, words), percent), "near-links2")
     if more.limit(1).count():
         roots = components(links.union(more))
 
-    placed = signed.drop("sigs").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    placed = signed.select("doc_id", "n_shingles", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("root", F.coalesce("root", "key"))
     smallest = (
         classes.join(roots.withColumnRenamed("node", "key"), "key", "left")

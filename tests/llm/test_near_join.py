@@ -61,7 +61,7 @@ def planted(seed=5, n=160):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 20), (5, 80, 2), (1, 60, 3)])
+@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 16), (1, 60, 2)])
 def test_equals_brute_force(spark, monkeypatch, words, percent, bucket):
     monkeypatch.setattr(near_join, "SMALL_BUCKET", bucket)
     rows = planted()
@@ -90,7 +90,8 @@ def test_signatures_never_miss_a_linked_pair():
                 if r.random() < 0.005:
                     break
             sa, sb = (near_join.signatures(np.array(sorted(s), np.uint64), plan) for s in (a, b))
-            assert set(sa.tolist()) & set(sb.tolist())
+            both = set(sa[0].tolist()) & set(sb[0].tolist())
+            assert any(len([s for s in both if s % 2 == i]) > max(sa[1][i], sb[1][i]) for i in (0, 1))
 
 
 def test_edges(spark):
