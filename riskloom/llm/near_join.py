@@ -242,6 +242,11 @@ def fits(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(key): every class named in pairs (a, b)."""
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def texts_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, text): one document of each class named in `keys`."""
     ids = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -292,12 +297,23 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     classes = written(classes, "near-classes")
     shared = written(shared_signatures(signed.select(F.explode("sigs").alias("sig"), "key")), "near-shared")
+    # a set is compared with the smallest of its pivots first, and with others only across components
     first = shared.filter(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    first = written(plausible(first, classes, percent), "near-pairs")
-    wanted = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
-    sets = written(whole_sets(texts_of(docs, signed, wanted), words), "near-whole")
-    links = written(checked(first, sets, percent), "near-links")
+    first = written(first, "near-first")
+    nearest = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = written(plausible(nearest, classes, percent), "near-pairs")
+    sets = written(whole_sets(texts_of(docs, signed, ends_of(tried)), words), "near-whole")
+    links = written(checked(tried, sets, percent), "near-links")
     roots = components(links)
+    label = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    apart = first.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    tried = written(plausible(written(apart, "near-apart"), classes, percent), "near-pairs1")
+    sets = sets_for(docs, signed, sets, ends_of(tried), words)
+    more = written(checked(tried, sets, percent), "near-links1")
+    if more.limit(1).count():
+        links = written(links.union(more), "near-links")
+        roots = components(links)
 
     known = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_sigs = (
@@ -321,8 +337,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     many = written(many, "near-many")
     rare = rare_feature_pairs(sets_for(docs, signed, sets, many, words), many, percent)
     pairs = written(plausible(written(listed.union(rare).distinct(), "near-listed"), classes, percent), "near-pairs2")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    more = written(checked(pairs, sets_for(docs, signed, sets, wanted, words), percent), "near-links2")
+    more = written(checked(pairs, sets_for(docs, signed, sets, ends_of(pairs), words), percent), "near-links2")
     if more.limit(1).count():
         roots = components(links.union(more))
 
