@@ -111,26 +111,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = written(every.join(written(counted, "repeat-digests"), "digest", "left_semi"), "repeat-shared")
     earliest = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = shared.join(written(earliest, "repeat-first"), "digest").filter(F.struct("doc_id", "start") != F.col("first"))
-    spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = F.aggregate(
-        "spans",
-        F.struct(none.alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
-        lambda acc, x: F.when(
-            x["start"] <= acc["end"],
-            F.struct(acc["out"].alias("out"), acc["start"].alias("start"), F.greatest(acc["end"], x["end"]).alias("end")),
-        ).otherwise(
-            F.struct(
-                F.when(acc["end"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
-                .otherwise(acc["out"])
-                .alias("out"),
-                x["start"].alias("start"),
-                x["end"].alias("end"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))),
-    )
-    return spans.select("doc_id", joined.alias("spans"))
+    spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return arrow_map(spans, joined, "doc_id long, spans array<struct<start: int, end: int>>")
+
+
+def joined(batch: pa.RecordBatch):
+    """Overlapping and touching spans of a document as one, in order."""
+    column = batch.column(1)
+    flat = column.flatten()
+    start, end = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    order = np.lexsort((end, start, row))
+    start, end, row = start[order].astype(np.int64), end[order].astype(np.int64), row[order]
+    base = row * (int(end.max(initial=0)) + 2)  # documents apart on one line
+    reach = np.maximum.accumulate(end + base)
+    first = np.ones(len(start), bool)
+    first[1:] = start[1:] + base[1:] > reach[:-1]
+    last = np.append(first[1:], True)[: len(first)]
+    counts = np.bincount(row[first], minlength=len(column))
+    values = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array((reach - base)[last].astype(np.int32))], names=["start", "end"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "spans"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
