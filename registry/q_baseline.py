@@ -247,7 +247,7 @@ _J2 = """(e.entity_id = l.scope_id and e.ts >= l.ts_start and (l.ts_end is null
     ),
 )
 def training_set(spark, d):
-    return rounded(model.training_set(features(spark, d), labels(spark, d)), C.MODEL_FEATURES)
+    return rounded(model.training_set(features(spark, d), labels(spark, d), one_row_per_event=False), C.MODEL_FEATURES)
 
 
 @query(
@@ -283,7 +283,7 @@ def fitted(spark, d):
     """Model and its split, one row per event; trained once per application and data folder."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _FITTED:
-        rows = cut_lineage(model.training_set(features(spark, d), labels(spark, d), one_row_per_event=True))
+        rows = cut_lineage(model.training_set(features(spark, d), labels(spark, d)))
         data = model.stratified_split(rows).persist()
         _FITTED[at] = (model.train(data.filter(~F.col("is_test"))), data)
     return _FITTED[at]

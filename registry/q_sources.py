@@ -393,12 +393,13 @@ def q_sample_rows(spark, d):
     "sample_per_source",
     with_raw(
         """select event_id, source_dataset from (select *, row_number() over (partition by source_dataset order by md5(event_id), event_id) as rn from raw)
-where rn <= 1000 // 4 + 1"""
+where rn <= 1000 // 4 + 1 order by md5(event_id), event_id limit 1000"""
     ),
 )
 def sample_per_source(spark, d):
-    """The dashboard's draw: a quarter of 1000 rows, plus one, per source."""
-    return sample_per_group(raw_events(spark, d), ["source_dataset"], 1000 // 4 + 1).select("event_id", "source_dataset")
+    """The dashboard's draw: a quarter of 1000 rows, plus one, per source, and 1000 of these in all."""
+    drawn = sample_per_group(raw_events(spark, d), ["source_dataset"], 1000 // 4 + 1)
+    return sample_rows(drawn, 1000).select("event_id", "source_dataset")
 
 
 @query(

@@ -18,19 +18,18 @@ SIGNAL = ["source_dataset", "entity_type"]
 # Percentiles of a profile, and how many values a feature needs (more than).
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 MIN_VALUES = 10
-SAMPLE_ROWS = 100_000
 STATS = ["mean", "std", *PERCENTILES, "iqr", "min", "max"]
 
 
 def learn_profile(
     features: DataFrame,
-    sample_size: int | None = SAMPLE_ROWS,
+    sample_size: int | None = None,
     columns: Sequence[str] = tuple(C.BASELINE_FEATURES),
 ) -> DataFrame:
     """One row per (signal, feature) with more than ten values.
 
-    With a sample size, each signal contributes at most that many rows (smallest event-id hash), which
-    bounds the exact percentile buffers; without one, quantiles come from distributed ranks.
+    All rows count; quantiles come from distributed ranks. Only a caller that asks for a sample gets one:
+    at most `sample_size` rows of each signal (smallest event-id hash), learnt from in the same way.
     """
     present = [c for c in columns if c in features.columns]
     known = features.filter(F.col("source_dataset").isNotNull())
@@ -44,16 +43,11 @@ def learn_profile(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
-    if sample_size is not None:
-        q = F.percentile("value", F.array(*[F.lit(p) for p in PERCENTILES.values()])).alias("_q")
-        out = long.groupBy(*SIGNAL, "feature").agg(*basics, q)
-        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(PERCENTILES)])
-    else:
-        ranks = exact_quantiles(long, [*SIGNAL, "feature"], "value", list(PERCENTILES.values()))
-        wide = ranks.groupBy(*SIGNAL, "feature").agg(
-            *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for n, p in PERCENTILES.items()]
-        )
-        out = long.groupBy(*SIGNAL, "feature").agg(*basics).join(wide, [*SIGNAL, "feature"])
+    ranks = exact_quantiles(long, [*SIGNAL, "feature"], "value", list(PERCENTILES.values()))
+    wide = ranks.groupBy(*SIGNAL, "feature").agg(
+        *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for n, p in PERCENTILES.items()]
+    )
+    out = long.groupBy(*SIGNAL, "feature").agg(*basics).join(wide, [*SIGNAL, "feature"])
     return (
         out.filter(F.col("n") > MIN_VALUES)
         .withColumn("iqr", F.col("p75") - F.col("p25"))

@@ -16,6 +16,7 @@ from riskloom.functions.expressions import (
     fourier,
     hour_of_day,
 )
+from riskloom.operators.asof import asof_label
 from riskloom.plans.hotkeys import DEFAULT_LIMITS, HotKeys, SkewLimits, find_hot, running, with_tail_rows
 from riskloom.plans.lineage import cut_lineage
 
@@ -102,8 +103,17 @@ def build_features(
     Without `labels`, the time-since-label columns are left out.
     """
     plan = FeaturePlan(settings)
+    wanted = [*events.columns, *FeaturePlan(settings).output_columns()]
+    if labels is not None and plan.label_types and list(plan.key) != ["entity_id"]:
+        # labels name an entity alone: with another key they are matched apart from the windows
+        types, plan.label_types = plan.label_types, []
+        return asof_label(_features(events, None, plan, limits), labels, types).select(*wanted)
     if labels is None:
         plan.label_types = []
+    return _features(events, labels, plan, limits)
+
+
+def _features(events: DataFrame, labels: DataFrame | None, plan: FeaturePlan, limits: SkewLimits) -> DataFrame:
     base = events.withColumn("_t", epoch_micros(plan.ts))
     hot = find_hot(base, plan.key, "_t", plan.longest, limits)
     if hot is None:

@@ -32,9 +32,9 @@ def training_set(
     labels: DataFrame,
     columns: Sequence[str] = tuple(C.MODEL_FEATURES),
     sample_size: int | None = None,
-    one_row_per_event: bool = False,
+    one_row_per_event: bool = True,
 ) -> DataFrame:
-    """Event id, filled model features and is_anomaly. By default an event appears once per label."""
+    """Event id, filled model features and is_anomaly. One row for each event, unless rows are asked for each label."""
     joined = (label_any if one_row_per_event else label_interval_join)(features, labels)
     if sample_size:
         joined = sample_rows(joined, sample_size)

@@ -24,7 +24,6 @@ from riskloom.sources.rows import with_row_index
 # Source names, ingest batch ids and the first instant of the two transaction sets.
 CARD, CARD_BATCH, CARD_START = "CREDITCARD", "creditcard_001", "2013-09-01"
 ECOM, ECOM_BATCH, ECOM_START = "IEEE_CIS", "ieee_cis_txn_001", "2017-12-01"
-ECOM_ROWS = 1_000_000
 LOGON, LOGON_BATCH = "CERT", "cert_logon_001"
 DEVICE_BATCH = "cert_device_001"
 METRIC, METRIC_BATCH, METRIC_GROUP = "NAB", "nab_realKnownCause_001", "realKnownCause"
@@ -40,9 +39,14 @@ DEVICE_HEADERS = {
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def read_csv(spark: SparkSession, path, delimiter: str = ",") -> DataFrame:
-    """Header CSV as text columns; splits follow the file sizes."""
-    return spark.read.option("header", True).option("sep", delimiter).csv(path)
+def read_csv(spark: SparkSession, path, delimiter: str = ",", line_breaks: bool = False) -> DataFrame:
+    """Header CSV as text columns; a doubled quote inside quotes is one quote.
+
+    Splits follow the file sizes. Fields that hold line breaks need `line_breaks`, which reads each file
+    in one task.
+    """
+    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", line_breaks).csv(path)
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -118,8 +122,8 @@ def card_labels(df: DataFrame, row: str = "row_index") -> DataFrame:
 # --- e-commerce transactions -------------------------------------------------------------------
 
 
-def read_ecom(spark: SparkSession, path: str, rows: int | None = ECOM_ROWS) -> DataFrame:
-    """The first `rows` rows of the file by position, picked without gathering them."""
+def read_ecom(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """All rows of the file, or its first `rows` by position, picked without gathering them."""
     df = read_csv(spark, path)
     if rows is None:
         return df
@@ -168,7 +172,7 @@ def ecom_labels(df: DataFrame) -> DataFrame:
 # --- logons ------------------------------------------------------------------------------------
 
 # Source dates come as ISO or as month/day/year; the first pattern that fits is used.
-DATE_PATTERNS = ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm"]
+DATE_PATTERNS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm"]
 
 
 def tolerant_ts(c: Column | str) -> Column:
@@ -176,6 +180,11 @@ def tolerant_ts(c: Column | str) -> Column:
     return F.coalesce(parse_utc(text), *[F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS])
 
 
+def unreadable_dates(df: DataFrame, column: str = "date") -> DataFrame:
+    """The rows whose date no pattern reads. They give no event; a caller may keep them as rejects."""
+    return df.filter(tolerant_ts(column).isNull())
+
+
 def logon_events(df: DataFrame) -> DataFrame:
     """Logins; status from `success`, else from `activity`, else unknown."""
     if "success" in df.columns:

@@ -7,7 +7,6 @@ batch, so a replayed batch overwrites its own output.
 
 from __future__ import annotations
 
-from datetime import timedelta
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -58,21 +57,28 @@ class FeatureStream:
             tails = base if tails is None else tails.unionByName(base)
         return tails
 
-    def _history(self, spark: SparkSession, first, last) -> DataFrame | None:
+    def _history(self, spark: SparkSession, days: list[str] | None) -> DataFrame | None:
         """Events of the days a batch can look back on; only their folders are listed."""
         base = f"{self.state}/history"
-        start = (first - timedelta(seconds=self.seconds)).date()
-        days = (last.date() - start).days + 1
-        if days > NAMED_DAYS:
+        if days is None:
             return _read(spark, base)
-        names = ",".join(str(start + timedelta(days=i)) for i in range(days))
-        return _read(spark, f"{base}/day={{{names}}}", base)
+        return _read(spark, f"{base}/day={{{','.join(days)}}}", base)
 
     def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Features of the batch's on-time rows; also updates the folders."""
         spark = batch.sparkSession
         batch = batch.select(*EVENT_COLUMNS).persist()
-        bounds = batch.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first()
+        # times stay inside Spark, under its session zone; the driver's clock zone plays no part
+        since = F.col("a") - F.make_dt_interval(secs=F.lit(float(self.seconds)))
+        bounds = batch.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+        bounds = bounds.withColumns({"first_day": F.to_date(since), "last_day": F.to_date("b")}).select(
+            "n",
+            F.unix_micros(since).alias("since"),
+            F.when(
+                F.datediff("last_day", "first_day") < NAMED_DAYS,
+                F.transform(F.sequence("first_day", "last_day"), lambda d: F.date_format(d, "yyyy-MM-dd")),
+            ).alias("days"),
+        ).first()
         if bounds["n"] == 0:
             batch.unpersist()
             return batch
@@ -80,9 +86,9 @@ class FeatureStream:
         tails = self._earlier_tails(spark, batch_id)
         tails = None if tails is None else _last_rows(tails.join(entities, "entity_id", "left_semi")).persist()
         past = tails
-        history = self._history(spark, bounds["a"], bounds["b"])
+        history = self._history(spark, bounds["days"])
         if history is not None:
-            since = F.lit(bounds["a"]) - F.make_dt_interval(secs=F.lit(float(self.seconds)))
+            since = F.timestamp_micros(F.lit(bounds["since"]))
             recent = (
                 history.filter((F.col("day") >= F.to_date(since)) & (F.col("batch_id") < batch_id) & (F.col("ts") >= since))
                 .select(*EVENT_COLUMNS)
@@ -115,6 +121,8 @@ class FeatureStream:
         if batch_id > 0 and batch_id % COMPACT_EVERY == 0:
             self._compact(spark, batch_id)
         batch.unpersist()
+        if tails is not None:
+            tails.unpersist()
         return spark.read.parquet(f"{self.out}/batch_id={batch_id}")
 
     def _compact(self, spark: SparkSession, batch_id: int) -> None:

@@ -150,3 +150,15 @@ def test_sparse_plan_has_one_exchange_and_one_sort(spark):
     plan = feat.build_features(ev, labels(spark, [("hot", 1, None, "fraud", 1)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("+- Sort [") == 1
+
+
+def test_label_times_under_two_key_columns(spark):
+    settings = {**C.FEATURES, "entity": {**C.FEATURES.get("entity", {}), "partition_columns": ["source_dataset", "entity_id"]}}
+    ev = events(spark, [(f"e{i}", "u", 100.0 * i, 1) for i in range(12)] + [("x", "v", 50, 1)])
+    lb = labels(spark, [("u", 0, None, "fraud", 1), ("u", 500, None, "anomaly", 1)])
+    plain = feat.build_features(ev, lb)
+    for limits in (SkewLimits(1000, 100_000), SkewLimits(2, 8)):
+        two = feat.build_features(ev, lb, settings, limits)
+        assert two.columns == plain.columns
+        got, want = (by_id(df, "time_since_last_fraud_seconds", "time_since_last_anomaly_seconds", "event_count_24h") for df in (two, plain))
+        assert got == want and got["e5"][0] == 500.0 and got["x"][0] is None

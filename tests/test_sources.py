@@ -95,3 +95,14 @@ def test_metrics_and_labels(spark, tmp_path):
     )
     lb = raw.metric_labels(raw.read_metric_labels(spark, path)).collect()
     assert sorted((r["scope_id"], r["ts_end"] is None, r["severity"]) for r in lb) == [("x", False, 3), ("x", True, 3)]
+
+
+def test_quotes_line_breaks_and_short_dates(spark, tmp_path):
+    text = 'id,date,user,pc,activity\n1,1/2/2010 6:49,"a ""x"" b, c",p,Connect\n2,01/02/2010 06:49:30,"d\ne",p,Connect\n3,soon,f,p,Connect\n'
+    path = _write(tmp_path, "device.csv", text)
+    df = raw.read_csv(spark, path, line_breaks=True)
+    assert [r["user"] for r in df.orderBy("id").collect()] == ['a "x" b, c', "d\ne", "f"]
+    times = [str(r[0]) for r in df.orderBy("id").select(raw.tolerant_ts("date").cast("string")).collect()]
+    assert times == ["2010-01-02 06:49:00", "2010-01-02 06:49:30", "None"]
+    assert [r["id"] for r in raw.unreadable_dates(df).collect()] == ["3"]
+    assert raw.read_csv(spark, path).first()["user"] == 'a "x" b, c'
