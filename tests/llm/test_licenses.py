@@ -37,7 +37,7 @@ def plain(text, templates, contained):
     return len(words), len(starts), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if starts else best
 
 
-@pytest.mark.parametrize("contained", [0.9, 0.6, 1.0])
+@pytest.mark.parametrize("contained", [0.9, 0.6])
 def test_equals_plain_version(spark, contained):
     r = random.Random(6)
     words = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)}) + ["MIT", "License", "ſecret", "É", "K", "日本", "x1"]

@@ -61,7 +61,7 @@ def planted(seed=5, n=160):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 16), (1, 60, 2)])
+@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 2)])
 def test_equals_brute_force(spark, monkeypatch, words, percent, bucket):
     monkeypatch.setattr(near_join, "SMALL_BUCKET", bucket)
     rows = planted()
