@@ -28,6 +28,7 @@ PART_ROWS = 1024
 MAX_PARTS = 256
 RECALL = 0.95
 NEAR = 10
+GRAPH_ROWS = 128
 BLOCK = 16_384
 QUERY_BLOCK = 4_096
 
@@ -41,8 +42,8 @@ def top_ids(scores: np.ndarray, k: int) -> np.ndarray:
 def graph_of(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest (inner product) of each row but itself."""
     out = []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), GRAPH_ROWS):
+        s = x[at : at + GRAPH_ROWS] @ x.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
         out.append(top_ids(s, k))
     return np.concatenate(out)
