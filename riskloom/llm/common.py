@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from riskloom.plans.lineage import cut_lineage
 
 ROWS_PER_STEP = 512
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` from a table in the shared folder, so that a lost executor costs only a re-read."""
-    return cut_lineage(df, f"llm-{name}")
+    """The rows of `df` from a table in the shared folder, so that a lost executor costs only a re-read.
+
+    The write is a query of its own that nothing else reads, so its shuffle files go as soon as it ends.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE_SHUFFLES, None)
+    conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        return cut_lineage(df, f"llm-{name}")
+    finally:
+        if before is None:
+            conf.unset(RELEASE_SHUFFLES)
+        else:
+            conf.set(RELEASE_SHUFFLES, before)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
