@@ -6,8 +6,9 @@ signature is the content of one part under one size band; sets that link share a
 banded by the threshold: a linked pair lies in one band or in two neighbouring ones, so every set signs
 for its own band and the next.
 
-The spare parts pay for leaving out parts of fewer than MIN_PART features, which many unlike sets share:
-a set with at most `spare` such parts signs the others only, a set with more signs all. Of a linked pair
+The spare parts pay for leaving out small parts, of fewer than `min_part` features, which many unlike sets
+share: a set with at most `spare` such parts signs the others only, a set with more signs all. min_part is 2
+where the threshold lets nearly every set leave such parts out, else 1. Of a linked pair
 either one has at most `spare` small parts, and then some agreeing part is large in both, or both sign
 everything. Nothing is lost. What is left of `spare` is the set's slack under that band (0 if it signs all):
 it shares at least one signature more than that with every set it links with.
@@ -25,6 +26,7 @@ more than the sets, so a larger difference rules a link out. What passes is chec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import arrow_map, components, written
 from riskloom.plans.small import broadcast_if_small
 
-MIN_PART = 2
 SPARE_PERCENT = 20
 SMALL_BUCKET = 16
 BINS = 128
@@ -77,11 +78,21 @@ def bands(percent: int, upto: int) -> list[tuple[int, int]]:
     return out
 
 
+def least_part(percent: int) -> int:
+    """Features a part needs to be signed: 2 if a set has fewer parts below that, by chance, than spare ones.
+
+    A set has fewest features in a part when it is the smallest of a band and signs for the next.
+    """
+    parts_per_feature = 2 * (100 - percent) / (100 + percent) * (100 / percent) ** 2 * (1 + SPARE_PERCENT / 100)
+    mean = 1 / max(parts_per_feature, 1e-9)
+    return 2 if math.exp(-mean) * (1 + mean) < SPARE_PERCENT / (100 + SPARE_PERCENT) else 1
+
+
 class Plan:
     """Bands, part counts and spare parts for one threshold; grows as larger sets come."""
 
     def __init__(self, percent: int):
-        self.percent, self.bands = percent, bands(percent, 1)
+        self.percent, self.bands, self.min_part = percent, bands(percent, 1), least_part(percent)
 
     def tags(self, size: int) -> list[tuple[int, int, int]]:
         """(band, parts, spare) under which a set of this size signs."""
@@ -112,7 +123,7 @@ def signatures(features: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[int]]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread[np.argsort(part, kind="stable")], dtype=np.uint64)])
         total = sums[ends] - sums[ends - counts]
         keep = np.arange(parts)
-        small = counts < MIN_PART
+        small = counts < plan.min_part
         if spare and small.sum() <= spare:
             keep = keep[~small]
             slack[band % 2] = spare - int(small.sum())
