@@ -2,7 +2,8 @@
 
 Every page is read into a small tree. What is never article text goes first: scripts, styles, forms and
 the like, and elements whose tag, role, class or id names them as menu, header, footer, sidebar, notice,
-advert or comments. Of the rest each node gets its density: characters for each tag, lowered by the share
+advert or comments. A name or a form may also stand around the whole page: such an element stays if the
+densest subtree is in it and what is outside does not look like the article. Of the rest each node gets its density: characters for each tag, lowered by the share
 of them that stands in links. The densities of a node's children add up to its density sum; the subtree
 with the largest sum is the article. The threshold is the smallest density on the path from it up to the
 body: neighbours of the article under the same parent that reach the threshold belong to it.
@@ -38,7 +39,7 @@ P, LISTS = frozenset(("p",)), frozenset("ul ol dl table select".split())
 SCOPES = frozenset("html body table ul ol dl div section article main aside nav td th blockquote form".split())
 
 DROPPED_TAGS = frozenset(
-    "head script style noscript template iframe object embed svg math canvas nav footer aside form button select option input "
+    "head script style noscript template iframe object embed svg math canvas nav footer aside button select option input "
     "textarea label menu dialog audio video map noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
@@ -50,6 +51,9 @@ DROPPED_NAMES = re.compile(
     re.IGNORECASE,
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:site|page|top|main|global)?[_-]?header(?=$|\s)", re.IGNORECASE)
+#: Names of what may be longer than the article, which a whole page is rarely wrapped in.
+ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|advertising|adsense|comments?|commentlist|consent|cookies?|disqus|gdpr|modal|newsletter|notice|notification|"
+    r"overlay|popup|promo\w*|related|replies|reply|respond|sponsor\w*|subscribe|subscription)(?=$|[\s_-])", re.IGNORECASE)
 ARTICLE_NAMES = frozenset("comment comment-body comments reply ad advert promo related".split())
 KEPT_TAGS = frozenset("html body article main".split())
 NAMED = frozenset(("article", "main"))
@@ -60,36 +64,46 @@ TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|(?<==)\s*\"[^\"]*+\"|(?<==)\s*'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+READ = frozenset("class id role hidden aria-hidden".split())
+STANDS, ASIDE, WRAPS = "stands", "aside", "wraps"
+SCRAP_CHARS, SCRAP_SHARE = 100, 0.2
 BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "dropped", "parent", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "dropped", "doubt", "parent", "chars", "links", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
+        self.doubt = ""
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_dropped(tag: str, attributes: str, inside: Node) -> bool:
+def drop(tag: str, attributes: str, inside: Node) -> str:
+    """STANDS for what always goes, ASIDE or WRAPS for what goes by name or as a form unless it holds the article, else empty."""
     if tag in DROPPED_TAGS:
-        return True
+        return STANDS
     found = {}
     if attributes:
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+        for k, a, b, c in ATTRIBUTE.findall(attributes):
+            if (k := k.lower()) in READ:
+                found.setdefault(k, a or b or c)
     if tag in KEPT_TAGS:
-        return tag == "article" and not ARTICLE_NAMES.isdisjoint(found.get("class", "").lower().split())
+        return STANDS if tag == "article" and not ARTICLE_NAMES.isdisjoint(found.get("class", "").lower().split()) else ""
     if tag == "header":  # the header of an article holds its title
         while inside is not None:
             if inside.tag in ("article", "main"):
-                return False
+                return ""
             inside = inside.parent
-        return True
+        return STANDS
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    return any(DROPPED_NAMES.search(found[k]) or HEADER_NAMES.search(found[k]) for k in ("class", "id") if found.get(k))
+        return STANDS
+    names = [found[k] for k in ("class", "id") if found.get(k)]
+    if any(DROPPED_NAMES.search(x) or HEADER_NAMES.search(x) for x in names):
+        return ASIDE if any(map(ASIDE_NAMES.search, names)) else WRAPS
+    return WRAPS if tag == "form" else ""
 
 
 def parse(page: str) -> Node:
@@ -137,7 +151,9 @@ def parse(page: str) -> Node:
             at = leave(node)
         if tag in SIBLINGS and (node := nearest(SIBLINGS[tag], LISTS)):
             at = leave(node)
-        node = Node(tag, at, at.dropped or is_dropped(tag, attributes, at))
+        why = STANDS if at.dropped else drop(tag, attributes, at)
+        node = Node(tag, at, why == STANDS)
+        node.doubt = why if why != STANDS else ""
         at.children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in CLOSES_P:
             continue
@@ -158,6 +174,8 @@ def measure(top: Node) -> list[Node]:
     while stack:
         node, linked = stack.pop()
         order.append((node, linked))
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = 0.0
         stack += [(c, linked or c.tag == "a") for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
     for node, linked in reversed(order):
         own = sum(len(BLANK.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
@@ -179,9 +197,58 @@ def measure(top: Node) -> list[Node]:
     return [n for n, _ in order]
 
 
-def article(top: Node) -> list[Node]:
-    """The subtree of the largest density sum, with those neighbours that reach the threshold of its path."""
+def settled(top: Node) -> list[Node]:
+    """measure(top) after every drop by name or form is decided: lifted around the article, else done."""
     nodes = measure(top)
+    if not any(n.doubt for n in nodes):
+        return nodes
+    while True:
+        best = max(reversed(nodes), key=lambda n: n.total)
+        node, around = best, None
+        while node is not None:
+            around = node if node.doubt else around
+            node = node.parent
+        if around is None:  # plain text in an element counts for its parent
+            around = next((c for c in best.children if isinstance(c, Node) and c.doubt and not c.dropped and c.density > best.total / 2), None)
+        if best.total <= 0 or around is None:
+            break
+        if wraps(around, nodes):
+            around.doubt = ""
+        else:
+            around.dropped, around.doubt = True, ""
+            nodes = measure(top)
+    left = [n for n in nodes if n.doubt]
+    for n in left:
+        n.dropped = True
+    return measure(top) if left else nodes
+
+
+def wraps(around: Node, nodes: list[Node]) -> bool:
+    """Whether the page's article is in this element: by its title or element, else as nothing like one is outside."""
+    if around.links >= around.chars / 2:
+        return False
+    inside, gone, marked, text = set(), set(), [False, False], 0
+    for n in nodes:  # parents first
+        if n is around or n.parent in inside:
+            inside.add(n)
+        if n is not around and (n.doubt == ASIDE or n.parent in gone):
+            gone.add(n)
+        elif n.chars and (n.tag in NAMED or n.tag == "h1"):
+            marked[n in inside] = True
+    if marked[True] != marked[False]:
+        return marked[True]
+    out = {None}
+    for n in nodes:
+        if n.parent in out and not n.doubt:
+            out.add(n)
+            text += sum(len(BLANK.sub(" ", c).strip()) for c in n.children if isinstance(c, str)) if n.tag != "a" else 0
+    scraps = SCRAP_CHARS if around.doubt == ASIDE else max(SCRAP_CHARS, SCRAP_SHARE * around.chars)
+    return text < scraps
+
+
+def article(top: Node) -> list[Node]:
+    """The subtree of the largest density sum, with what else reaches the threshold of its path."""
+    nodes = settled(top)
     best = max(nodes, key=lambda n: n.total)
     if best.total <= 0:
         return [top]

@@ -76,3 +76,36 @@ def test_edges(spark):
 @given(st.lists(st.sampled_from("<p> </p> <div> </div> <li> <b> </b> <a href='x\"> <script> </script> <!-- --> < > & x <br/> <td> <table> </table> <svg/> <title>".split()), max_size=40))
 def test_broken_markup_never_fails(parts):
     assert isinstance(html_text.main_text("".join(parts)), str)
+
+
+WRAPPED = [
+    *[f'<div {a}>{MENU}<h1>Title</h1>{PARAGRAPHS}</div>' for a in ('class="hfeed site right-sidebar"', 'class="content widget"', 'id="layout-sidebar-right"')],
+    f'<form action="/page.aspx"><div class="menu">{MENU}</div><div><h1>Title</h1>{PARAGRAPHS}</div></form>',
+]
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="The hidden valley"', 'data-id="ad-1"', 'data-role="navigation"', "title='class=\"ad\"'"])
+def test_only_whole_attributes_count(attributes):
+    page = f"<body><div {attributes}><h1>Title</h1>{PARAGRAPHS}</div><div hidden><p>{LONG[0]}</p></div><div class=x role=navigation><p>{LONG[1]}</p></div>"
+    assert html_text.main_text(page).split("\n") == ["Title", *LONG]
+    inner = f"<article><p {attributes}>{LONG[0]}</p></article>"
+    assert html_text.main_text(inner) == LONG[0]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_and_forms_around_the_page_do_not_empty_it(page):
+    text = html_text.main_text(f"<body>{page}</body>").split("\n")
+    assert text[-7:] == ["Title", *LONG]
+
+
+def test_one_paragraph_or_plain_text_in_a_wrapper():
+    assert html_text.main_text(f'<body><div class="content widget"><p>{LONG[0]}</p></div></body>') == LONG[0]
+    assert html_text.main_text(f"<body><form>{LONG[0]}</form></body>") == LONG[0]
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-notice", "related"])
+def test_longer_comments_still_go(name):
+    other = f'<div class="{name}">' + "".join(f"<p>{x} And so on, says reader {i}.</p>" for i in range(9) for x in LONG) + "</div>"
+    for body in (f"<div><h1>Title</h1>{PARAGRAPHS}</div>", f"<div><h2>Title</h2>{PARAGRAPHS}</div>"):
+        assert html_text.main_text(f"<body>{body}{other}</body>").split("\n") == ["Title", *LONG]
+        assert html_text.main_text(f'<body><div class="site right-sidebar">{body}{other}</div></body>').split("\n") == ["Title", *LONG]
