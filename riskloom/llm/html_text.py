@@ -6,7 +6,9 @@ advert or comments. A name or a form may also stand around the whole page: such
 densest subtree is in it and what is outside does not look like the article. Of the rest each node gets its density: characters for each tag, lowered by the share
 of them that stands in links. The densities of a node's children add up to its density sum; the subtree
 with the largest sum is the article. The threshold is the smallest density on the path from it up to the
-body: neighbours of the article under the same parent that reach the threshold belong to it.
+body. On pages without an article or main element every node below the body is held against it, and of each
+that reaches it the descendant of the largest density sum belongs to the article as well; an article or main
+element is taken whole, with neighbours of its tag that reach the threshold.
 """
 
 from __future__ import annotations
@@ -268,6 +270,8 @@ def article(top: Node) -> list[Node]:
     while node is not None and node.tag not in ("body", "html", ""):
         threshold = min(threshold, node.density)
         node = node.parent
+    if best.tag not in NAMED:
+        return spread(nodes, best, threshold)
     out, before = [], True
     for c in best.parent.children:
         if c is best:
@@ -275,12 +279,44 @@ def article(top: Node) -> list[Node]:
             out.append(c)
         elif isinstance(c, Node) and not c.dropped and c.chars and c.links < c.chars / 2:
             title = before and c.tag in HEADINGS
-            alike = best.tag not in NAMED or c.tag == best.tag
-            if title or alike and c.tag not in INLINE and c.density >= threshold:
+            if title or c.tag == best.tag and c.density >= threshold:
                 out.append(c)
     return out
 
 
+def spread(nodes: list[Node], best: Node, threshold: float) -> list[Node]:
+    """The densest subtrees of all nodes below the body that reach the threshold, and titles before `best`; in page order, none inside another."""
+    densest: dict[Node, Node] = {}
+    for n in reversed(nodes):  # children first
+        own = densest.setdefault(n, n)
+        if n.parent is not None and n.tag not in INLINE:
+            held = densest.get(n.parent, n.parent)
+            densest[n.parent] = own if own.total >= held.total and own.total > 0 and own.total > n.parent.total else held
+    kept, path, body = {best}, set(), best
+    while body is not None:
+        path.add(body)
+        body = body.parent
+    for n in nodes:
+        if n in path or n.tag in INLINE or n.tag in ("html", "body", "") or not n.chars or n.links >= n.chars / 2:
+            continue
+        if n.density >= threshold and (d := densest[n]).links < d.chars / 2:
+            kept.add(d)
+    place = {n: i for i, n in enumerate(nodes)}
+    for c in best.parent.children:
+        if c is best:
+            break
+        if isinstance(c, Node) and c in place and c.tag in HEADINGS and c.links < c.chars / 2:
+            kept.add(c)
+    inside: set[Node] = set()
+    out = []
+    for n in nodes:
+        if n.parent in inside or n in kept:
+            inside.add(n)
+            if n.parent not in inside:
+                out.append(n)
+    return out
+
+
 def within(node: Node, top: Node) -> bool:
     while node is not None:
         if node is top:

@@ -109,3 +109,10 @@ def test_longer_comments_still_go(name):
     for body in (f"<div><h1>Title</h1>{PARAGRAPHS}</div>", f"<div><h2>Title</h2>{PARAGRAPHS}</div>"):
         assert html_text.main_text(f"<body>{body}{other}</body>").split("\n") == ["Title", *LONG]
         assert html_text.main_text(f'<body><div class="site right-sidebar">{body}{other}</div></body>').split("\n") == ["Title", *LONG]
+
+
+def test_text_in_several_wrappers_is_kept_in_page_order():
+    said = [[f"{LONG[i % 6]} {LONG[(i + row) % 6]} Row {row}, place {i}." for i in range(5)] for row in range(3)]
+    rows = "".join('<div class="row"><div class="col">' + "".join(f"<p>{x}</p>" for x in col) + "</div></div>" for col in said)
+    page = f'<body><div>{MENU}</div><div class="content">{rows}</div><div><a href="/">imprint</a></div>'
+    assert html_text.main_text(page).split("\n") == [x for col in said for x in col]
