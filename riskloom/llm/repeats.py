@@ -5,6 +5,10 @@ the words themselves mark (the smallest hash among WINNOW neighbours), so that a
 middle of another line is cut in the same places. Units are normalised (lower case, white space), hashed,
 and counted over all documents; of a unit that occurs more than once the earliest stays, by doc_id and
 place, and the others go. Spans are code points of the original text.
+
+A passage repeated over SURE words or more always holds a unit: a mark among its first WINNOW pairs of words,
+and another among WINNOW pairs from PASSAGE_WORDS on. Outside its outermost units fewer than REACH words of it
+are left on either side; these are compared word by word with those around the unit's earliest occurrence.
 """
 
 from __future__ import annotations
@@ -19,7 +23,11 @@ from riskloom.llm.near_join import M1, M2, mix
 
 LINE_WORDS = 5
 PASSAGE_WORDS = 16
-WINNOW = 20
+WINNOW = 17
+SURE = 2 * WINNOW + PASSAGE_WORDS
+REACH = 2 * WINNOW
+#: Rows that ask for the same earliest occurrence are dealt to so many keys.
+SALTS = 32
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -55,49 +63,138 @@ def stretch_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
 def marks(words: np.ndarray) -> np.ndarray:
     """Places between words that hold the smallest hash of some WINNOW neighbours."""
     pairs = mix(words[:-1] * M2 + words[1:])
-    if len(pairs) <= WINNOW:
+    if len(pairs) < WINNOW:
         return np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(pairs, WINNOW)
     return np.unique(windows.argmin(1) + np.arange(len(windows)))
 
 
-def units_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, start, end) of every line and passage of a text."""
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, line) of every word of a text."""
     codes = np.frombuffer(same_length_lower(text).encode("utf-32-le", "surrogatepass"), np.uint32)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0)
     edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, ends, starts
+    return word_hashes(codes, starts, ends), starts, ends, np.searchsorted(np.flatnonzero(codes == 10), starts)
+
+
+def units_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, start, end, words) of every line and passage of a text; words is 0 for a line."""
+    words, starts, ends, line = words_of(text)
     if len(starts) < LINE_WORDS:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    words = word_hashes(codes, starts, ends)
-    line = np.searchsorted(np.flatnonzero(codes == 10), starts)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     last = np.append(first[1:], len(words))
     long = last - first >= LINE_WORDS
     first, last = first[long], last[long]
     cut = marks(words)
     to = np.searchsorted(cut, cut + PASSAGE_WORDS)
-    cut, to = cut[to < len(cut)], to[to < len(cut)]
-    if len(cut):
-        all_cuts = marks(words)
-        first, last = np.concatenate([first, cut + 1]), np.concatenate([last, all_cuts[to] + 1])
-    return stretch_hashes(words, first, last), starts[first], ends[last - 1]
+    begin, finish = cut[to < len(cut)] + 1, cut[to[to < len(cut)]] + 1
+    sizes = np.concatenate([np.zeros(len(first), np.int64), finish - begin])
+    first, last = np.concatenate([first, begin]), np.concatenate([last, finish])
+    return stretch_hashes(words, first, last), starts[first], ends[last - 1], sizes
+
+
+def source_of(docs: DataFrame) -> DataFrame:
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, end) of every unit of every document that has an id."""
+    """(digest, doc_id, start, end, words) of every unit of every document that has an id."""
 
     def cut(batch: pa.RecordBatch):
         out = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            digest, start, end = units_of(text)
-            out.append((digest.view(np.int64), np.full(len(digest), doc, np.int64), start.astype(np.int32), end.astype(np.int32)))
+            digest, start, end, words = units_of(text)
+            out.append((digest.view(np.int64), np.full(len(digest), doc, np.int64), *(x.astype(np.int32) for x in (start, end, words))))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "end", "words"])
+
+    return arrow_map(source_of(docs), cut, "digest long, doc_id long, start int, end int, words int")
+
+
+def shared_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words both begin with."""
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(a[:n] != b[:n])
+    return int(differs[0]) if len(differs) else n
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return arrow_map(source, cut, "digest long, doc_id long, start int, end int")
+
+def asked(batch: pa.RecordBatch):
+    """What stands around the passages near the borders of what a document loses, and where they stand first."""
+    out: list[tuple] = []
+    for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        words, starts, ends, _ = words_of(text)
+        start, end = (np.array([s[k] for s in spans], np.int64) for k in ("start", "end"))
+        first, last = np.searchsorted(starts, start), np.searchsorted(ends, end) + 1
+        order = np.argsort(first, kind="stable")
+        reach = np.maximum.accumulate(last[order])
+        new = np.append(True, first[order][1:] > reach[:-1])
+        group = np.cumsum(new) - 1
+        left, right = np.empty(len(spans), np.int64), np.empty(len(spans), np.int64)
+        left[order] = first[order][new][group]
+        right[order] = reach[np.append(new[1:], True)][group]
+        near_left = (left > 0) & (first - left < REACH)
+        near_right = (right < len(words)) & (right - last < REACH)
+        for k in np.flatnonzero(near_left | near_right):
+            s, a, b = spans[k], first[k], last[k]
+            if not s["words"] or b - a != s["words"]:  # lines end where they end; another text under the same id
+                continue
+            low = max(0, a - REACH) if near_left[k] else a
+            high = b + REACH if near_right[k] else b
+            out.append(
+                (s["digest"], s["first"]["doc_id"], s["first"]["start"], s["words"], doc % SALTS, doc, s["start"], s["end"])
+                + (words[low:a][::-1].tobytes(), words[b:high].tobytes(), starts[low:a][::-1].tolist(), ends[b:high].tolist())
+            )
+    yield pa.RecordBatch.from_pylist([dict(zip(ASKED.names, x, strict=True)) for x in out], ASKED)
+
+
+KEY = ["digest", "first_doc", "first_start", "words", "salt"]
+ASKED = pa.schema(
+    [("digest", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int32()), ("words", pa.int32()), ("salt", pa.int32())]
+    + [("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
+    + [("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
+)
+ASKED_KINDS = (
+    "digest long, first_doc long, first_start int, words int, salt int, doc_id long, start int, end int, before binary, after binary, "
+    "starts array<int>, ends array<int>"
+)
+
+
+def answered(batch: pa.RecordBatch):
+    """The words around each asked place of a document."""
+    rows = {k: [] for k in (*KEY, "first_before", "first_after")}
+    for doc, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        words, starts, _, _ = words_of(text)
+        at = np.searchsorted(starts, [p["first_start"] for p in places])
+        to = at + np.array([p["words"] for p in places])
+        fits = to <= len(words)
+        digest = stretch_hashes(words, at[fits], to[fits]).view(np.int64) if fits.any() else []
+        for k, d in zip(np.flatnonzero(fits), digest, strict=True):
+            p, a, b = places[k], at[k], to[k]
+            if p["digest"] != d:
+                continue
+            values = (d, doc, p["first_start"], p["words"], p["salt"], words[max(0, a - REACH) : a][::-1].tobytes(), words[b : b + REACH].tobytes())
+            for name, value in zip(rows, values, strict=True):
+                rows[name].append(value)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def extended(batch: pa.RecordBatch):
+    """(doc_id, start, end) with the words that both places share on either side."""
+    docs, start, end = [], [], []
+    for doc, s, e, before, after, starts, ends, b, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        left = shared_words(np.frombuffer(before, np.uint64), np.frombuffer(b, np.uint64))
+        right = shared_words(np.frombuffer(after, np.uint64), np.frombuffer(a, np.uint64))
+        if left or right:
+            docs.append(doc)
+            start.append(starts[left - 1] if left else s)
+            end.append(ends[right - 1] if right else e)
+    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "start", "end"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -111,7 +208,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = written(every.join(written(counted, "repeat-digests"), "digest", "left_semi"), "repeat-shared")
     earliest = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = shared.join(written(earliest, "repeat-first"), "digest").filter(F.struct("doc_id", "start") != F.col("first"))
-    spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = written(later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "words", "digest", "first")).alias("found")), "repeat-found")
+
+    source = source_of(docs)
+    requests = written(arrow_map(source.join(listed, "doc_id"), asked, ASKED_KINDS), "repeat-asked")
+    places = requests.select(*KEY).distinct().groupBy("first_doc").agg(F.collect_list(F.struct("digest", "first_start", "words", "salt")).alias("places"))
+    at_first = source.withColumnRenamed("doc_id", "first_doc").join(places, "first_doc")
+    kinds = "digest long, first_doc long, first_start int, words int, salt int, first_before binary, first_after binary"
+    answers = written(arrow_map(at_first, answered, kinds).dropDuplicates(KEY), "repeat-answers")
+    sides = requests.join(answers, KEY).select("doc_id", "start", "end", "before", "after", "starts", "ends", "first_before", "first_after")
+    more = arrow_map(sides, extended, "doc_id long, start int, end int")
+
+    known = listed.select("doc_id", F.explode(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias("span"))
+    both = known.union(more.select("doc_id", F.struct("start", "end").alias("span")))
+    spans = both.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     return arrow_map(spans, joined, "doc_id long, spans array<struct<start: int, end: int>>")
 
 

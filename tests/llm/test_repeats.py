@@ -77,3 +77,19 @@ def test_copies_edges_and_report(spark, sf_dir):
     assert got[5].spans == f"0:{len(text)}" and 3 not in got and 4 not in got
     assert repeats.report(df.limit(0)).collect() == [] and repeats.without_repeats(df.limit(0)).collect() == []
     assert repeats.report(table(spark, sf_dir, "documents")).count() > 0
+
+
+def test_every_passage_of_over_50_words_goes_whole(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(300):
+        held = prose(r, r.choice([51, 51, 52, 55, 60, 90]))
+        for doc in (i, 1000 + i):
+            # no word beside the passage is the same in both
+            before, after = [*prose(r, r.randint(0, 40)), f"{doc}x"], [f"{doc}y", *prose(r, r.randint(0, 40))]
+            rows.append((doc, " ".join(before + held + after)))
+            want[doc] = before + after
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text.split() for x in repeats.without_repeats(df).collect()}
+    assert all(got[i] == dict(rows)[i].split() for i in range(300))
+    assert [i for i in range(1000, 1300) if got[i] != want[i]] == []
