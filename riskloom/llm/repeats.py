@@ -1,11 +1,13 @@
 """Substring dedup by line and passage hashing.
 
-Units are the lines of a text, and passages: stretches of at least PASSAGE_WORDS words between places that
+Units are the lines of a text with LINE_WORDS words or LINE_CHARS characters, and passages: stretches of at least PASSAGE_WORDS words between places that
 the words themselves mark (the smallest hash among WINNOW neighbours), so that a passage copied into the
 middle of another line is cut in the same places. Units are normalised (lower case, white space), hashed,
 and counted over all documents; of a unit that occurs more than once the earliest stays, by doc_id and
 place, and the others go. Spans are code points of the original text.
 
+Words end at white space; in scripts written without spaces every character is a word.
+
 A passage repeated over SURE words or more always holds a unit: a mark among its first WINNOW pairs of words,
 and another among WINNOW pairs from PASSAGE_WORDS on. Outside its outermost units fewer than REACH words of it
 are left on either side; these are compared word by word with those around the unit's earliest occurrence.
@@ -22,6 +24,8 @@ from riskloom.llm.common import arrow_map, written
 from riskloom.llm.near_join import M1, M2, mix
 
 LINE_WORDS = 5
+#: Characters, white space not counted, at which fewer words make a line too.
+LINE_CHARS = 30
 PASSAGE_WORDS = 16
 WINNOW = 17
 SURE = 2 * WINNOW + PASSAGE_WORDS
@@ -29,6 +33,13 @@ REACH = 2 * WINNOW
 #: Rows that ask for the same earliest occurrence are dealt to so many keys.
 SALTS = 32
 
+#: Thai and Lao, Tibetan, Myanmar, Khmer, kana and Han: written without spaces between words.
+UNSPACED = np.array(
+    [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3001, 0x30FF), (0x31F0, 0x31FF),
+     (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF01, 0xFF0F), (0xFF61, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)],
+    np.uint32,
+)
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -72,9 +83,13 @@ def marks(words: np.ndarray) -> np.ndarray:
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, line) of every word of a text."""
     codes = np.frombuffer(same_length_lower(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0)
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0) | (codes == 0x3000)
     edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(codes) and codes.max() >= UNSPACED[0, 0]:
+        alone = (np.searchsorted(UNSPACED[:, 0], codes, "right") > np.searchsorted(UNSPACED[:, 1], codes)) & ~space
+        between = np.flatnonzero((alone[1:] | alone[:-1]) & ~space[1:] & ~space[:-1]) + 1
+        starts, ends = np.union1d(starts, between), np.union1d(ends, between)
     if not len(starts):
         return np.empty(0, np.uint64), starts, ends, starts
     return word_hashes(codes, starts, ends), starts, ends, np.searchsorted(np.flatnonzero(codes == 10), starts)
@@ -83,11 +98,12 @@ def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def units_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest, start, end, words) of every line and passage of a text; words is 0 for a line."""
     words, starts, ends, line = words_of(text)
-    if len(starts) < LINE_WORDS:
+    if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     last = np.append(first[1:], len(words))
-    long = last - first >= LINE_WORDS
+    chars = np.concatenate([[0], np.cumsum(ends - starts)])
+    long = (last - first >= LINE_WORDS) | (chars[last] - chars[first] >= LINE_CHARS)
     first, last = first[long], last[long]
     cut = marks(words)
     to = np.searchsorted(cut, cut + PASSAGE_WORDS)

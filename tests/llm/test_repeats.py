@@ -93,3 +93,24 @@ def test_every_passage_of_over_50_words_goes_whole(spark):
     got = {x.doc_id: x.text.split() for x in repeats.without_repeats(df).collect()}
     assert all(got[i] == dict(rows)[i].split() for i in range(300))
     assert [i for i in range(1000, 1300) if got[i] != want[i]] == []
+
+
+def test_scripts_without_spaces_and_few_long_words(spark):
+    r = random.Random(4)
+    letters = {"han": (0x4E00, 0x5E00), "kana": (0x3041, 0x3090), "thai": (0x0E01, 0x0E2E)}
+    rows, want = [], {}
+    for n, (low, high) in enumerate(letters.values()):
+        pick = lambda k, low=low, high=high: "".join(chr(r.randrange(low, high)) for _ in range(k))
+        line, passage, text = pick(12), pick(60), pick(200)
+        for k in (0, 100):
+            doc = k + 10 * n
+            ends = [(f"{pick(20)}{i}x", f"{i}y{pick(20)}") for i in (doc, doc + 1)]
+            rows += [(doc, f"{ends[0][0]}\n{line}\n{ends[0][1]}"), (doc + 1, passage.join(ends[1])), (doc + 2, text)]
+            want |= {doc: "".join(ends[0]), doc + 1: "".join(ends[1]), doc + 2: ""} if k else {}
+    long = "Donaudampfschifffahrtsgesellschaft Elektrizitätswerkehauptbetrieb"
+    rows += [(200, f"one\n{long}\nshort line"), (201, f"two\n{long}\nshort line"), (202, "   "), (203, "日 本"), (204, "\U0010ffff")]
+    want[201] = "twoshortline"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: "".join(x.text.split()) for x in repeats.without_repeats(df).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == "".join(t.split()) for i, t in rows if i not in want)
