@@ -4,7 +4,8 @@ Where a pattern matches is read off by splitting the text at its matches: the le
 and of the matches add up to the places. Candidate strings for the window are long runs of key characters.
 Their Shannon entropy over WINDOW characters follows from the sum of c * log2(c) over the character counts
 c, which changes at two counts when the window moves on by one. What the threshold is depends on the
-characters a candidate is made of; candidates on the allow-list are passed over.
+characters a candidate is made of. What the allow-list matches splits a candidate, and what is left of it is
+scanned: a word of the list takes the letters and digits around it along, up to the next mark.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ CLASSES = {
 }
 #: Examples, placeholders, counted-up or repeated characters, and lower-case words joined by marks.
 ALLOWED = r"(?i)example|placeholder|dummy|your[_-]|x{6,}|0{8,}|(.)\1{7,}|abcdefgh|01234567|12345678"
+ALLOWED_PARTS = r"(?i)[a-z0-9]*(?:example|placeholder|dummy|your[_-])[a-z0-9]*|x{6,}|0{8,}|(.)\1{7,}|abcdefgh|01234567|12345678"
 ALLOWED_WORDS = r"^[a-z]+(?:[-_/=+][a-z]+)*[-_/=+]*$|^[-_=+/]+$"
 
 
@@ -100,6 +102,27 @@ def window_hits(word: Column, bits: Column) -> Column:
     return walked[0]
 
 
+def left_over(candidate: Column) -> Column:
+    """[(start, end, match)] of what the allow-list leaves of a candidate; all of it where nothing matches."""
+    word = candidate["match"]
+    allowed = F.regexp_extract_all(word, F.lit(ALLOWED_PARTS), F.lit(0))
+    pieces = F.split(word, ALLOWED_PARTS, -1)
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    cut = F.aggregate(
+        F.arrays_zip(pieces.alias("piece"), allowed.alias("gone")),
+        F.struct(candidate["start"].alias("at"), none.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["gone"]), F.lit(0))).alias("at"),
+            F.concat(
+                acc["out"],
+                F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x["piece"])).alias("end"), x["piece"].alias("match"))),
+            ).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(word.rlike(ALLOWED), cut).otherwise(F.array(candidate))
+
+
 def entropy_spans(text: Column, found: Column) -> Column:
     """[(start, end)] of the high-entropy stretches of the candidates `found`."""
 
@@ -109,7 +132,8 @@ def entropy_spans(text: Column, found: Column) -> Column:
             out = F.when(word.rlike(pattern), F.lit(least)).otherwise(out)
         return out
 
-    kept = F.filter(placed(text, found, CANDIDATE), lambda x: ~x["match"].rlike(ALLOWED) & ~x["match"].rlike(ALLOWED_WORDS))
+    whole = F.filter(placed(text, found, CANDIDATE), lambda x: ~x["match"].rlike(ALLOWED_WORDS))
+    kept = F.filter(F.flatten(F.transform(whole, left_over)), lambda x: (F.length(x["match"]) >= WINDOW) & ~x["match"].rlike(ALLOWED_WORDS))
     hits = F.transform(kept, lambda x: F.struct(x["start"].alias("at"), window_hits(x["match"], bits(x["match"])).alias("hit")))
     return F.transform(
         F.filter(hits, lambda x: x["hit"]["first"].isNotNull()),

@@ -76,3 +76,18 @@ def test_redaction(spark, sf_dir):
     got = sorted(((r.doc_id or 0, r.text or "", r.n_chars) for r in secrets.redact(df).collect()))
     assert got == [(0, "[SECRET]", 8), (1, "ñ [SECRET]' 😀 [SECRET]!", 23), (2, "", 9), (3, "clean", 9), (3, "clean", 9)]
     assert secrets.redact(df.limit(0)).collect() == [] and secrets.report(df.limit(0)).collect() == []
+
+
+def test_allowed_parts_leave_the_rest_of_a_candidate(spark):
+    r = random.Random(2)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    ssh = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW" + key(200)
+    a, b = key(40), key(40)
+    rows = [(1, ssh), (2, f"ñ example/{a}"), (3, f"{a}01234567{b}"), (4, f"{a}xxxxxx{b}"), (5, f"EXAMPLE{a}"), (6, f"{a[:10]}xxxxxx{b[:10]}"), (7, "x" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("entropy")] for x in secrets.report(df).collect()}
+    assert max(e for _, e in got[1]) == len(ssh) and sum(e - s for s, e in got[1]) >= 200
+    assert got[2] == [(9, 50)] and got[3] == [(0, 40), (48, 88)] and got[4] == [(0, 40), (46, 86)]
+    assert got[5] == got[6] == got[7] == []
+    hidden = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert hidden[1].endswith("[SECRET]") and hidden[2] == "ñ example[SECRET]"
