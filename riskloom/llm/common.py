@@ -37,6 +37,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def row_numbers(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, `row`, in front. Numbers hold only within one run of the plan: write them down before use."""
+    return df.select(F.monotonically_increasing_id().alias("row"), "*")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df` from a table in the shared folder, so that a lost executor costs only a re-read.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, html_text, language, licenses, near_join, neighbours, packing, quality, repeats, secrets
+from riskloom.llm import decontaminate, html_text, language, licenses, near_join, neighbours, packing, periodic, quality, repeats, secrets
 from riskloom.llm.common import table
+from riskloom.llm.periodic import words_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +86,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
+
+
+def planted_words(doc_id: int | None, text: str) -> list[str]:
+    """The words of a text; one document in ten repeats a stretch of its own from some word on."""
+    words = words_of(doc_id, text)
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and the documents without the repetitions, as digests."""
+    return periodic.report(table(spark, sf_dir, "documents"), planted_words)
