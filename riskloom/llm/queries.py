@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, html_text, language, licenses, near_join, neighbours, packing, periodic, quality, repeats, secrets
+from riskloom.llm import decontaminate, html_text, language, licenses, near_join, neighbours, packing, periodic, quality, repeats, secrets, spelling
 from riskloom.llm.common import table
 from riskloom.llm.periodic import words_of
 
@@ -104,3 +104,9 @@ def planted_words(doc_id: int | None, text: str) -> list[str]:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, and the documents without the repetitions, as digests."""
     return periodic.report(table(spark, sf_dir, "documents"), planted_words)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents, its near words, and the form its variants lead to."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), spelling.drop_letters(199))
