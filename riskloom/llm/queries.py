@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, html_text, language, licenses, near_join, neighbours, packing, periodic, quality, repeats, secrets, spelling
+from riskloom.llm import decontaminate, html_text, language, lattice, licenses, near_join, neighbours, packing, periodic, quality, repeats, secrets, spelling
 from riskloom.llm.common import table
 from riskloom.llm.periodic import words_of
 
@@ -88,6 +88,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op11_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document: by counted words, and over all segmentations into pieces."""
+    return lattice.score_documents(table(spark, sf_dir, "documents"), lattice.load_pieces(PIECES))
+
+
 def planted_words(doc_id: int | None, text: str) -> list[str]:
     """The words of a text; one document in ten repeats a stretch of its own from some word on."""
     words = words_of(doc_id, text)
