@@ -12,7 +12,7 @@ from riskloom.operators import explain, impact
 from riskloom.plans.lineage import scratch_folder
 from riskloom.schema import RAW_EVENTS
 from riskloom.streaming import counts as stream_counts
-from riskloom.streaming.features import run_feature_stream
+from riskloom.streaming.features import FeatureStream, run_feature_stream
 from riskloom.streaming.score import Scoring, run_scoring_stream, stream_totals
 from riskloom.streaming.source import deduplicated, stream_events
 
@@ -80,6 +80,18 @@ def stream_features(spark, d):
     return feature_frame(spark.read.parquet(out), _BOTH)
 
 
+@query("stream_features_late", with_features(f"select event_id, {feature_select(_BOTH)} from feat"))
+def stream_features_late(spark, d):
+    """Events land in no order: most of the second and third slice is late, and corrects what came before."""
+    path, state, out, checkpoint = (scratch_folder(spark, x) for x in ("landing", "state", "features", "checkpoint"))
+    ev = raw_events(spark, d)
+    slice_of = F.pmod(F.xxhash64("event_id"), F.lit(SLICES))
+    for i in range(SLICES):
+        ev.filter(slice_of == i).write.mode("append").parquet(path)
+        run_feature_stream(spark, path, state, out, checkpoint, files_per_batch=ALL_FILES)
+    return feature_frame(FeatureStream(state, out).current(spark), _BOTH)
+
+
 def _scored_stream(spark, d):
     """Baseline-scored feature rows landing as files, run through the scoring stream."""
     rows = scored(spark, d, every_feature=True).withColumn("anomaly_score", F.col("baseline_score"))

@@ -41,12 +41,50 @@ def test_stream_features_equal_batch_and_replay_is_idempotent(spark, tmp_path):
     same_rows(spark.read.parquet(out).select(*want.columns), want)
 
 
-def test_late_rows_go_to_the_late_folder(spark, tmp_path):
+def _arrive(worker, ev, parts, first=0):
+    for i, ids in enumerate(parts, first):
+        worker.process(ev.filter(F.col("event_id").isin(ids)), i)
+
+
+def test_late_rows_have_features_and_correct_earlier_ones(spark, tmp_path):
+    worker = FeatureStream(str(tmp_path / "state"), str(tmp_path / "out"))
+    ev = events(spark, [("a", "u", 100, 1), ("far", "u", 40 * 86_400, 7), ("farther", "u", 80 * 86_400, 9), ("late", "u", 50, 1), ("b", "u", 200, 3), ("c", "v", 10, 1)])
+    _arrive(worker, ev, [["a", "far", "farther"], ["late", "b", "c"]])
+    got = worker.current(spark)
+    assert by_id(got, "event_count_1h") == {"a": 2, "b": 3, "c": 1, "late": 1, "far": 1, "farther": 1}
+    assert by_id(got, "amount_diff_1")["far"] == 4.0 and by_id(got, "amount_diff_2")["farther"] == -2.0
+    assert by_id(got, "version") == {"a": 1, "far": 1, "farther": 1, "late": 1, "b": 1, "c": 1}
+    same_rows(got.drop("version"), features.build_features(ev))
+
+
+def test_only_rows_a_late_one_reaches_are_corrected(spark, tmp_path):
     worker = FeatureStream(str(tmp_path / "state"), str(tmp_path / "out"))
-    worker.process(events(spark, [("a", "u", 100, 1)]), 0)
-    worker.process(events(spark, [("late", "u", 50, 1), ("b", "u", 200, 3), ("c", "v", 10, 1)]), 1)
-    assert by_id(spark.read.parquet(str(tmp_path / "out")), "event_count_1h") == {"a": 1, "b": 3, "c": 1}
-    assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "state" / "late")).collect()] == ["late"]
+    day = 86_400
+    rows = [(f"e{k:02d}", "u", k * day // 2, k) for k in range(20)] + [("late", "u", 5 * day // 2 + 9, 4), ("other", "v", 0, 1)]
+    ev = events(spark, rows)
+    _arrive(worker, ev, [[r[0] for r in rows if r[0] != "late"], ["late"]])
+    # one day forward, which holds more than two rows' worth of time
+    assert {k for k, v in by_id(worker.current(spark), "version").items() if v == 1} == {"late", "e06", "e07"}
+    same_rows(worker.current(spark).drop("version"), features.build_features(ev))
+
+
+def test_any_order_of_arrival_equals_batch(spark, tmp_path, monkeypatch):
+    from riskloom.plans.hotkeys import SkewLimits
+    from riskloom.streaming import features as sf
+
+    monkeypatch.setattr(sf, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(sf, "NAMED_DAYS", 3)
+    ev = _series(spark)
+    lb = labels(spark, [("u", 500, None, "fraud", 1)])
+    ids = [f"e{i:03d}" for i in range(60)]
+    random.Random(1).shuffle(ids)
+    parts = [ids[:9], ids[9:35], ids[35:58], ids[58:]]
+    worker = FeatureStream(str(tmp_path / "s"), str(tmp_path / "o"), lb, limits=SkewLimits(window_rows=2, segment_rows=5))
+    _arrive(worker, ev, parts)
+    want = features.build_features(ev, lb)
+    same_rows(worker.current(spark).select(*want.columns), want)
+    _arrive(worker, ev, parts[-1:], 3)  # the last batch again
+    same_rows(worker.current(spark).select(*want.columns), want)
 
 
 def test_compacted_tails_serve_later_batches(spark, tmp_path):
