@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.core import (
+    CHECKS,
     CALENDAR,
     SINCE,
     WAVES,
@@ -22,6 +23,7 @@ from registry.fixtures import labels, r6, raw_events
 from riskloom.operators import asof
 from riskloom.operators import features as feat
 from riskloom.operators import labels as lab
+from riskloom.plans.hotkeys import SkewLimits
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -104,6 +106,20 @@ def features_full(spark, d):
     return feature_frame(features(spark, d, True), _ALL)
 
 
+# The plan for dense entities under the same checks: almost every entity counts as dense, in short segments.
+CROWDED = SkewLimits(window_rows=2, segment_rows=40)
+
+
+@query("features_full_dense", CHECKS["features_full"])
+def features_full_dense(spark, d):
+    return feature_frame(feat.build_features(raw_events(spark, d), labels(spark, d), limits=CROWDED), _ALL)
+
+
+@query("feat_distinct_exact_dense", CHECKS["feat_distinct_exact"])
+def feat_distinct_exact_dense(spark, d):
+    return feat.distinct_in_window(raw_events(spark, d), limits=CROWDED).select("event_id", "distinct_event_types_24h")
+
+
 @query(
     "features_asof",
     with_features(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
@@ -20,12 +21,6 @@ from riskloom.operators.asof import asof_label
 from riskloom.plans.hotkeys import DEFAULT_LIMITS, HotKeys, SkewLimits, find_hot, running, with_tail_rows
 from riskloom.plans.lineage import cut_lineage
 
-# Dense entities sum amounts as decimals, so a trailing sum is exact after rows leave the window.
-AMOUNT_SCALE = 6
-_AMOUNT = f"decimal(18,{AMOUNT_SCALE})"
-_SUM = f"decimal(19,{AMOUNT_SCALE})"
-_SQUARES = f"decimal(36,{2 * AMOUNT_SCALE})"
-
 
 class FeaturePlan:
     """Columns the feature settings ask for."""
@@ -115,7 +110,10 @@ def build_features(
 
 def _features(events: DataFrame, labels: DataFrame | None, plan: FeaturePlan, limits: SkewLimits) -> DataFrame:
     base = events.withColumn("_t", epoch_micros(plan.ts))
-    hot = find_hot(base, plan.key, "_t", plan.longest, limits)
+    counted = base.select(*plan.key, "_t")
+    if plan.label_types:  # labels share their entity's task
+        counted = counted.unionByName(_label_rows(labels, plan, 1).select(*plan.key, "_t"))
+    hot = find_hot(counted, plan.key, "_t", plan.longest, limits)
     if hot is None:
         out = _sparse(base, labels, plan)
     else:
@@ -178,85 +176,116 @@ def _lag_columns(rows: DataFrame, w, plan: FeaturePlan) -> DataFrame:
 
 
 def _dense(base: DataFrame, labels: DataFrame | None, plan: FeaturePlan, hot: HotKeys) -> DataFrame:
-    """Same features by a sweep over time, O(1) per row, in bounded segments.
-
-    Every event adds its weight at its own time and takes it back just after time + window; an event
-    becomes the first of a window just after its predecessor leaves it.
-    """
+    """Same features in bounded segments, O(1) per row and window, by merging states instead of re-reading frames."""
     columns = list(dict.fromkeys(["amount", plan.stat_column, plan.delta_column or "amount", plan.diff_column or "amount"]))
     rows, part = with_tail_rows(base, hot, plan.key, ["_t", "event_id"], columns, 2)
-    w = Window.partitionBy(*part).orderBy("_t", "event_id")
-    rows = _lag_columns(rows.withColumn("_before", F.lag("_t").over(w)), w, plan)
-    # The sweep reads these rows twice (totals per segment, then the sweep itself).
-    rows = cut_lineage(rows.filter(~F.col("_ghost")).drop("_ghost", "_seg", "_hot"), "dense-rows")
-
+    rows = _lag_columns(rows, Window.partitionBy(*part).orderBy("_t", "event_id"), plan)
+    rows = rows.filter(~F.col("_ghost")).drop("_ghost", "_seg", "_hot")
+    if plan.label_types:
+        keys = hot.table.select(*plan.key)
+        hot_labels = _label_rows(labels, plan, 2).join(F.broadcast(keys) if hot.small else keys, plan.key, "left_semi")
+        swept = rows.withColumn("_kind", F.lit(1)).unionByName(hot_labels, allowMissingColumns=True)
+        swept = running(swept, hot, plan.key, maxes=[f"_lab_{t}" for t in plan.label_types])
+        rows = swept.filter(F.col("_kind") == 1).drop("_kind")
+    # every window below reads these rows several times
+    rows = cut_lineage(rows, "dense-rows")
+    shortest = hot.table.agg(F.min("_seg_us")).first()[0]
     names = list(dict.fromkeys([*plan.count_windows, *plan.proxy_windows, *plan.stat_windows, *plan.pct_windows]))
-    x = F.col(plan.stat_column).cast(_AMOUNT)
-    weights = {"n": (F.lit(1), "long")}
-    if plan.stat_windows:
-        weights["c"] = (F.when(x.isNotNull(), 1).otherwise(0), "long")
-        weights["s"] = (F.coalesce(x, F.lit(0)), f"decimal(24,{AMOUNT_SCALE})")
-        weights["q"] = (F.coalesce(x * x, F.lit(0)), _SQUARES)
-    first = F.struct("_t", "event_id", F.col(plan.delta_column or "amount").alias("x"))
-    blank_first = F.lit(None).cast(rows.select(first.alias("f")).schema["f"].dataType)
-    body = F.struct(*[c for c in rows.columns if c not in plan.key and c != "_t"])
-
-    def point(t: Column, kind: int, sign: int, windows: Sequence[str], payload: Column, lead: Sequence[str]) -> Column:
-        cols = [t.cast("long").alias("_t"), F.lit(kind).alias("_kind"), payload.alias("_row")]
-        for n in names:
-            for m, (weight, kind_of) in weights.items():
-                signed = weight * sign if n in windows else F.lit(0)
-                cols.append(signed.cast(kind_of).alias(f"_{m}_{n}"))
-            cols.append((first if n in lead else blank_first).alias(f"_f_{n}"))
-        return F.struct(*cols)
-
-    nobody = F.lit(None).cast(rows.select(body.alias("b")).schema["b"].dataType)
-    points = [point(F.col("_t"), 1, 1, names, body, [])]  # the event itself
-    # First event of the entity: it opens every window from its own time on.
-    points.append(
-        F.when(F.col("_before").isNull(), point(F.col("_t"), 0, 0, [], nobody, plan.pct_windows))
-    )
-    for n in names:
-        width = plan.seconds[n] * MICROS
-        points.append(point(F.col("_t") + width, 2, -1, [n], nobody, []))
-        if n in plan.pct_windows:
-            points.append(F.when(F.col("_before").isNotNull(), point(F.col("_before") + width, 2, 0, [], nobody, [n])))
-    swept = rows.select(*plan.key, F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())).alias("p")).select(
-        *plan.key, "p.*"
+    for name in names:
+        rows = _window_states(rows, plan, hot, name, shortest)
+    return _finish(rows, plan, base.columns)
+
+
+# What is known of a set of rows: how many, the first one, and of the measured values their number, mean,
+# sum of squared distances from it, least and largest. Two sets' states merge; nothing is ever taken away.
+
+
+def _state(present: Column, first: Column, x: Column, over=None) -> Column:
+    """State of the rows of a group, or of a frame."""
+    on = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    n = on(F.count(x))
+    return F.struct(
+        on(F.count(present)).alias("rows"),
+        on(F.min(first)).alias("first"),
+        n.alias("n"),
+        on(F.avg(x)).alias("mean"),
+        (on(F.var_pop(x)) * n).alias("m2"),
+        on(F.min(x)).alias("lo"),
+        on(F.max(x)).alias("hi"),
     )
-    maxes = [f"_f_{n}" for n in names]
-    if plan.label_types:
-        hot_labels = _label_rows(labels, plan, 2).join(
-            F.broadcast(hot.table.select(*plan.key)) if hot.small else hot.table.select(*plan.key), plan.key, "left_semi"
-        )
-        swept = swept.unionByName(hot_labels, allowMissingColumns=True)
-        maxes += [f"_lab_{t}" for t in plan.label_types]
-    sums = [f"_{m}_{n}" for n in names for m in weights]
-    totals = running(swept, hot, plan.key, sums, maxes).filter(F.col("_row").isNotNull())
-    out = totals.select(
-        *plan.key,
-        "_t",
-        "_row.*",
-        *[F.col(f"_n_{n}") for n in names],
-        *[F.col(f"_f_{n}")["x"].alias(f"_first_{n}") for n in plan.pct_windows],
-        *[F.when(F.col(f"_c_{n}") > 0, F.col(f"_s_{n}").cast("double") / F.col(f"_c_{n}")).alias(f"_mean_{n}") for n in plan.stat_windows],
-        *[_decimal_std(n).alias(f"_std_{n}") for n in plan.stat_windows],
-        *[F.col(f"_lab_{t}") for t in plan.label_types],
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """State of two disjoint sets of rows together; a null state is that of no rows."""
+    na, nb = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
+    n, d = na + nb, b["mean"] - a["mean"]
+    both = (na > 0) & (nb > 0)
+    return F.struct(
+        (F.coalesce(a["rows"], F.lit(0)) + F.coalesce(b["rows"], F.lit(0))).alias("rows"),
+        F.least(a["first"], b["first"]).alias("first"),
+        n.alias("n"),
+        F.when(both, a["mean"] + d * nb / n).otherwise(F.coalesce(a["mean"], b["mean"])).alias("mean"),
+        F.when(both, a["m2"] + b["m2"] + d * d * na * nb / n).otherwise(F.coalesce(a["m2"], b["m2"])).alias("m2"),
+        F.least(a["lo"], b["lo"]).alias("lo"),
+        F.greatest(a["hi"], b["hi"]).alias("hi"),
     )
-    return _finish(out, plan, base.columns)
 
 
-def _decimal_std(n: str) -> Column:
-    """Sample deviation around the mean rounded to AMOUNT_SCALE digits, then corrected.
+def _window_states(rows: DataFrame, plan: FeaturePlan, hot: HotKeys, name: str, shortest: int) -> DataFrame:
+    """Count, mean, deviation and first row of one trailing window, for every row.
 
-    Every decimal term is exact, so a window of equal amounts gives exactly zero.
+    Time is cut into blocks, `_m` of them to a window: one, or as many as keep a block within a segment. A
+    window that ends in block b starts in block b - _m. So it is the end of that one, the whole blocks between,
+    and the start of its own: running states from both sides, and one merge for each block.
     """
-    c, s, q = F.col(f"_c_{n}"), F.col(f"_s_{n}").cast(_SUM), F.col(f"_q_{n}")
-    m = (s / c).cast(_AMOUNT)
-    drift = (s - (m * c).cast(_SUM)).cast(_SUM)
-    around = q.cast(_SQUARES) - (m * s).cast(_SQUARES) - (m * drift).cast(_SQUARES)
-    slack = drift.cast("double") * drift.cast("double") / c
-    return F.when(c > 1, F.sqrt(F.greatest(around.cast("double") - slack, F.lit(0.0)) / (c - 1)))
+    key, width = plan.key, plan.seconds[name] * MICROS
+    x = F.col(plan.stat_column).cast("double")
+    first = F.struct("_t", "event_id", F.col(plan.delta_column or "amount").alias("x"))
+    blocks = hot.table.select(*key, F.greatest(F.lit(1), F.ceil(F.lit(width) / F.col("_seg_us"))).cast("long").alias("_m"))
+    inside = f"pmod(_t, {width}L)"
+    block = F.expr(f"_m * ((_t - {inside}) div {width}L) + ({inside} * _m) div {width}L")
+    at = rows.join(F.broadcast(blocks) if hot.small else blocks, key).withColumn("_b", block)
+    part = Window.partitionBy(*key, "_b")
+    head = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    slim = at.select(*key, "_b", "_t", x.alias("_x"), first.alias("_first"))
+    state = F.col("_head")
+    started = at.withColumn("_head", _state(F.col("_t"), first, x, head))
+    if shortest < width:  # else every window is two adjoining blocks
+        most = -(-width // shortest)
+        totals = at.groupBy(*key, "_b", "_m").agg(_state(F.col("_t"), first, x).alias("_s"))
+        near = Window.partitionBy(*key).orderBy("_b").rangeBetween(1 - most, -1)
+        earlier = F.filter(F.collect_list(F.struct("_b", "_s")).over(near), lambda e: e["_b"] > F.col("_b") - F.col("_m"))
+        nothing = F.lit(None).cast(totals.schema["_s"].dataType)
+        # every state passes through the merge, so that the folded type is the merge's own
+        start = _merged(nothing, nothing).cast(totals.select(_merged(F.col("_s"), F.col("_s")).alias("s")).schema["s"].dataType)
+        between = totals.withColumn("_earlier", earlier).select(*key, "_b", F.aggregate("_earlier", start, lambda s, e: _merged(s, e["_s"])).alias("_mid"))
+        started = started.join(between, [*key, "_b"])
+        state = _merged(F.col("_mid"), state)
+    carried = [c for c in rows.columns if c not in key]
+    asked = started.select(
+        *key,
+        (F.col("_b") - F.col("_m")).alias("_b"),
+        (F.col("_t") - width).alias("_t"),
+        F.struct(*carried, state.alias("_own")).alias("_row"),
+    )
+    tail = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = slim.unionByName(asked, allowMissingColumns=True).withColumn("_tail", _state(F.col("_first"), F.col("_first"), F.col("_x"), tail))
+    whole = (
+        swept.filter(F.col("_row").isNotNull())
+        .select(*key, "_row.*", "_tail")
+        .withColumn("_s", _merged(F.col("_tail"), F.col("_own")))
+        .drop("_tail", "_own")
+    )
+    s = F.col("_s")
+    constant = (s["lo"] == s["hi"]) & (F.abs(s["hi"]) < math.inf)  # sums of equal values may be off by a digit
+    std = F.when(s["n"] > 1, F.when(constant, 0.0).otherwise(F.sqrt(s["m2"] / (s["n"] - 1))))
+    return whole.select(
+        *rows.columns,
+        s["rows"].alias(f"_n_{name}"),
+        F.when(constant, s["lo"]).otherwise(s["mean"]).alias(f"_mean_{name}"),
+        std.alias(f"_std_{name}"),
+        s["first"]["x"].alias(f"_first_{name}"),
+    )
 
 
 def _finish(rows: DataFrame, plan: FeaturePlan, keep: Sequence[str]) -> DataFrame:

@@ -48,8 +48,8 @@ def by_id(df, *columns):
     return {r["event_id"]: (r[columns[0]] if len(columns) == 1 else tuple(r[c] for c in columns)) for r in df.collect()}
 
 
-def same_rows(a, b, key="event_id", tolerance=1e-9):
-    """Row by row equality of two frames, floats within a tolerance."""
+def same_rows(a, b, key="event_id", tolerance=1e-9, least=1.0):
+    """Row by row equality of two frames, floats within a tolerance relative to the larger of `least` and their size."""
     assert a.columns == b.columns
     left = sorted((r.asDict() for r in a.collect()), key=lambda r: tuple(str(r[k]) for k in ([key] if isinstance(key, str) else key)))
     right = sorted((r.asDict() for r in b.collect()), key=lambda r: tuple(str(r[k]) for k in ([key] if isinstance(key, str) else key)))
@@ -57,6 +57,7 @@ def same_rows(a, b, key="event_id", tolerance=1e-9):
     for x, y in zip(left, right):
         for c in a.columns:
             if isinstance(x[c], float) and isinstance(y[c], float):
-                assert abs(x[c] - y[c]) <= tolerance * max(1.0, abs(x[c])), (c, x, y)
+                alike = x[c] != x[c] and y[c] != y[c]
+                assert alike or abs(x[c] - y[c]) <= tolerance * max(least, abs(x[c])), (c, x, y)
             else:
                 assert x[c] == y[c], (c, x, y)

@@ -110,6 +110,33 @@ def test_dense_plan_equals_sparse_plan(spark, limits):
     same_rows(feat.build_features(ev, lb), feat.build_features(ev, lb, limits=limits))
 
 
+def test_plans_agree_on_amounts_of_any_size(spark):
+    rng = random.Random(12)
+    kinds = [lambda: 1e-9 * rng.random(), lambda: 1e13 * (0.5 + rng.random()), lambda: rng.choice([1e-9, 1e13, 3.5, -2e5]), lambda: 0.1, lambda: float("nan"), lambda: None]
+    rows, t = [], 0.0
+    for i in range(260):
+        t += rng.choice([0, 1, 200, 4000])
+        kind = kinds[min(i // 50, 3)] if rng.random() < 0.95 else kinds[rng.randrange(2, 6)]
+        rows.append((f"e{i:03d}", "hot" if rng.random() < 0.8 else "u", t, kind()))
+    one, other = (feat.build_features(events(spark, rows), limits=z).cache() for z in (SkewLimits(), SkewLimits(2, 8)))
+    same_rows(one, other, tolerance=1e-12)
+    cols = ["event_id", "metric_mean_24h", "metric_std_24h", "pct_change_24h"]
+    same_rows(one.select(*cols), other.select(*cols), tolerance=1e-12, least=1e-30)
+
+
+def test_deviation_does_not_depend_on_what_left_the_window(spark):
+    """A huge amount a day ago leaves no trace, and equal amounts deviate by exactly nothing."""
+    rows = [("big", "u", 0, 1e15)] + [(f"e{i}", "u", DAY + 10 + i, 0.1) for i in range(30)]
+    out = {r["event_id"]: r for r in feat.build_features(events(spark, rows), limits=SkewLimits(2, 8)).collect()}
+    assert all(out[f"e{i}"]["metric_std_24h"] == 0.0 and out[f"e{i}"]["metric_mean_24h"] == 0.1 for i in range(1, 30))
+
+
+def test_label_rows_count_as_rows_of_their_entity(spark):
+    ev = events(spark, [("a", "u", 0, 1), ("b", "v", 90, 2)])
+    lb = labels(spark, [("u", i, None, "fraud", 1) for i in range(-50, 20)])
+    same_rows(feat.build_features(ev, lb), feat.build_features(ev, lb, limits=SkewLimits(2, 8)))
+
+
 @pytest.mark.parametrize("limits", LIMITS[1:])
 def test_dense_distinct_equals_sparse(spark, limits):
     ev = _skewed(spark)
