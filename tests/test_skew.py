@@ -112,6 +112,32 @@ def test_other_operators_dense_equals_sparse(spark):
     same_rows(narrate.timeline(ev), narrate.timeline(ev, limits=SMALL))
 
 
+@pytest.mark.parametrize("alpha,segment_rows", [(0.3, 200_000), (0.3, 7), (0.9, 200_000), (0.01, 5), (0.999, 50)])
+def test_ewma_over_the_whole_history(spark, alpha, segment_rows):
+    rng = random.Random(2)
+    rows = [(f"e{i:04d}", rng.choice(["u", "u", "u", "v"]), 60 * i, rng.choice([None, 1e-9, 1e6, rng.random(), -3.0])) for i in range(900)]
+    got = by_id(timeseries.ewma_dev(events(spark, rows), alpha=alpha, limits=SkewLimits(2, segment_rows)), "ewma", "ewma_dev")
+    mean = {}
+    for event_id, entity, _, x in rows:
+        if x is None:
+            assert event_id not in got
+            continue
+        before = mean.get(entity)
+        if before is None:
+            assert got[event_id] == (None, None)
+        else:
+            assert got[event_id] == pytest.approx((before, abs(x - before)), rel=1e-11, abs=1e-9)
+        mean[entity] = x if before is None else before * (1 - alpha) + x * alpha
+
+
+def test_ewma_never_forgets(spark):
+    """One huge point long ago still shows where later points are zero, beyond any cut of recent points."""
+    rows = [("first", "u", 0, 1e100)] + [(f"e{i:04d}", "u", 60 * i, 0.0) for i in range(1, 1500)]
+    got = by_id(timeseries.ewma_dev(events(spark, rows)), "ewma")
+    for k in (1, 60, 700, 1300, 1499):
+        assert got[f"e{k:04d}"] == pytest.approx(1e100 * 0.7 ** (k - 1), rel=1e-9)
+
+
 def _sequential(rows, width):
     kept, last = [], {}
     for t, entity, event_id in sorted((t, e, i) for i, e, t, _ in rows):
