@@ -21,12 +21,23 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_scratch(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """The same rows, read back from a written table, and its folder."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """The same rows, read back from a written table.
 
     A table rather than a checkpoint of rows: later passes prune columns and push filters into it,
     and lost executors cost only a re-read.
     """
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_scratch(df, name)[0]
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `write_scratch` made, wherever it lies; nothing may read it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
