@@ -15,6 +15,7 @@ from riskloom.plans.lineage import scratch_folder
 from riskloom.plans.sampling import sample_per_group, sample_rows
 from riskloom.schema import RAW_EVENTS
 from riskloom.sources import raw, rows, tables
+from riskloom.sources.event_store import EventStore, run_upsert_stream
 
 _ISO = (
     "strftime({t}, '%Y-%m-%dT%H:%M:%S') || case when epoch_us({t}) % 1000000 <> 0 then '.' || strftime({t}, '%f') else '' end"
@@ -308,18 +309,45 @@ def fill_canonical(spark, d):
     return ingest.fill_canonical(short).select("event_id", "entity_id", "ip_hash", "error_code", "source_dataset")
 
 
-@query(
-    "upsert_events",
-    with_raw("select event_id, min(epoch_us(ts)) as ts, count(distinct source_dataset) as copies from raw group by event_id"),
-)
-def upsert_events(spark, d):
+_WHOLE = "event_id, epoch_us(ts) as ts, " + ", ".join(f"{r6(c)} as {c}" if c == "amount" else c for c in RAW_EVENTS.fieldNames()[2:])
+
+
+def _whole(df):
+    """Events with all their columns."""
+    return rounded(micros(df.select(*RAW_EVENTS.fieldNames()), "ts"), ["amount"])
+
+
+def _stored_and_batch(spark, d):
     """Successes are stored; the batch brings every event twice, once an hour later."""
     ev = raw_events(spark, d)
-    stored = ev.filter("status = 'success'")
-    again = ev.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
-    batch = ev.unionByName(again)
-    out = ingest.upsert_events(stored, batch)
-    return out.groupBy("event_id").agg(F.min(F.unix_micros("ts")).alias("ts"), F.count("*").alias("copies"))
+    return ev.filter("status = 'success'"), ev.unionByName(ev.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))
+
+
+@query("upsert_events", with_raw(f"select {_WHOLE} from raw"))
+def upsert_events(spark, d):
+    return _whole(ingest.upsert_events(*_stored_and_batch(spark, d)))
+
+
+@query("upsert_store", with_raw(f"select {_WHOLE} from raw"))
+def upsert_store(spark, d):
+    """The same through the stored table: two upserts, the second done twice, and a compaction."""
+    store = EventStore(spark, scratch_folder(spark, "event-store"))
+    stored, batch = _stored_and_batch(spark, d)
+    store.upsert(stored, "stored")
+    for _ in range(2):
+        store.upsert(batch, "batch")
+    store.compact("joined", 1)
+    return _whole(store.read())
+
+
+@query("upsert_stream", with_raw(f"select {_WHOLE} from raw"))
+def upsert_stream(spark, d):
+    """The same as a stream whose files repeat each other's events."""
+    store, path, checkpoint = EventStore(spark, scratch_folder(spark, "event-store")), *(scratch_folder(spark, x) for x in ("landing", "checkpoint"))
+    for part in _stored_and_batch(spark, d):
+        part.write.mode("append").parquet(path)
+        run_upsert_stream(spark, path, store, checkpoint, 1_000_000)
+    return _whole(store.read())
 
 
 @query(
