@@ -211,6 +211,23 @@ def state_snapshots(spark, d):
     return _snap_out(state.state_snapshots(raw_events(spark, d)))
 
 
+@query(
+    "state_intervals",
+    with_raw(
+        f"""select entity_type, entity_id, min(snapshot_ts) as valid_from, max(snapshot_ts) as valid_to, count(*) as snapshots, events_1h, events_24h,
+ {r6('min(amount_24h)')} as amount_24h, {r6('min(success_rate_24h)')} as success_rate_24h from
+ (select *, sum(new) over (partition by entity_type, entity_id order by h) as part from
+  (select s.*, g.h, case when exists (select 1 from hr where hr.entity_type = g.entity_type and hr.entity_id = g.entity_id and g.h in (hr.h, hr.h + 1, hr.h + 24)) then 1 else 0 end as new
+   from snap s join grid g on s.entity_type = g.entity_type and s.entity_id = g.entity_id and s.snapshot_ts = (g.h + 1) * 3600000000))
+ group by entity_type, entity_id, part, events_1h, events_24h""",
+        *_SNAP_CTES,
+    ),
+)
+def state_intervals(spark, d):
+    out = state.state_intervals(raw_events(spark, d))
+    return rounded(micros(out, "valid_from", "valid_to"), ["amount_24h", "success_rate_24h"])
+
+
 @query(
     "snapshot_asof",
     with_raw(
@@ -220,7 +237,7 @@ def state_snapshots(spark, d):
     ),
 )
 def snapshot_asof(spark, d):
-    return _snap_out(state.snapshot_asof(state.state_snapshots(raw_events(spark, d)), "2024-01-15 12:30:00"))
+    return _snap_out(state.snapshot_asof(raw_events(spark, d), "2024-01-15 12:30:00"))
 
 
 @query(
@@ -228,7 +245,7 @@ def snapshot_asof(spark, d):
     with_raw(f"select {_SNAP_OUT} from snap where snapshot_ts between {_us('2024-01-10')} and {_us('2024-01-12')}", *_SNAP_CTES),
 )
 def state_history(spark, d):
-    return _snap_out(state.state_history(state.state_snapshots(raw_events(spark, d)), "2024-01-10 00:00:00", "2024-01-12 00:00:00"))
+    return _snap_out(state.state_history(raw_events(spark, d), "2024-01-10 00:00:00", "2024-01-12 00:00:00"))
 
 
 @query(
@@ -241,7 +258,7 @@ def state_history(spark, d):
     ),
 )
 def entity_memory(spark, d):
-    out = state.entity_memory(state.state_snapshots(raw_events(spark, d)), "2024-01-20 00:00:00")
+    out = state.entity_memory(raw_events(spark, d), "2024-01-20 00:00:00")
     return rounded(micros(out, "latest_ts"), ["mean_events_24h"])
 
 
@@ -257,17 +274,13 @@ _TRANS_OUT = f"""entity_type, entity_id, from_ts as from_snapshot_ts, snapshot_t
  when re <= -0.5 then 'activity_drop' when round(ra, 9) <= -0.5 then 'amount_decrease' else 'steady' end as change_type"""
 
 
-def _transitions(spark, d):
-    return state.state_transitions(state.state_snapshots(raw_events(spark, d)))
-
-
 def _transitions_out(df):
     return rounded(micros(df, "from_snapshot_ts", "to_snapshot_ts"), ["delta_amount_24h", "change_magnitude"], 4)
 
 
 @query("state_transitions", with_raw(f"select {_TRANS_OUT} from trans", *_TRANS_CTES))
 def state_transitions(spark, d):
-    return _transitions_out(_transitions(spark, d))
+    return _transitions_out(state.state_transitions(raw_events(spark, d)))
 
 
 @query(
@@ -275,7 +288,7 @@ def state_transitions(spark, d):
     with_raw(f"select * from (select {_TRANS_OUT} from trans) where change_magnitude >= 1 and change_type <> 'steady'", *_TRANS_CTES),
 )
 def anomalous_transitions(spark, d):
-    return _transitions_out(state.anomalous_transitions(_transitions(spark, d)))
+    return _transitions_out(state.anomalous_transitions(raw_events(spark, d)))
 
 
 # --- graph -------------------------------------------------------------------------------------

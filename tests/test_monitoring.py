@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -119,14 +120,39 @@ def test_state(spark):
     assert len(snaps) == 31
     assert [s["events_24h"] for s in snaps[:4]] == [2, 2, 2, 3] and snaps[0]["success_rate_24h"] == 0.5
     assert snaps[26]["events_24h"] == 1 and snaps[27]["events_24h"] == 0 and snaps[27]["success_rate_24h"] is None
-    frame = state.state_snapshots(ev)
-    assert state.snapshot_asof(frame, at(3600 * 2 + 1)).first()["snapshot_ts"] == at(3600 * 2).replace(tzinfo=None)
-    memory = state.entity_memory(frame, at(31 * 3600), 6).first()
+    assert state.snapshot_asof(ev, at(3600 * 2 + 1)).first()["snapshot_ts"] == at(3600 * 2).replace(tzinfo=None)
+    memory = state.entity_memory(ev, at(31 * 3600), 6).first()
     assert memory["snapshots"] == 6 and memory["latest_events_24h"] == 1
-    kinds = {r["to_snapshot_ts"]: r["change_type"] for r in state.state_transitions(frame).collect()}
+    kinds = {r["to_snapshot_ts"]: r["change_type"] for r in state.state_transitions(ev).collect()}
+    assert len(kinds) == 30
     assert kinds[at(4 * 3600).replace(tzinfo=None)] == "amount_increase"
     assert kinds[at(28 * 3600).replace(tzinfo=None)] == "activity_drop"
-    assert state.anomalous_transitions(state.state_transitions(frame)).count() >= 2
+    assert state.anomalous_transitions(ev).count() >= 2
+
+
+def test_state_of_any_range_is_that_part_of_the_snapshots(spark):
+    rng = random.Random(6)
+    rows = [(f"e{i}", rng.choice("uvw"), 3600 * rng.choice([0, 1, 2, 40, 90, 91, 300]) + rng.randrange(3600), rng.randrange(100), {"status": rng.choice(["success", "fail"])}) for i in range(40)]
+    ev = events(spark, rows).cache()
+    snaps = sorted(tuple(r) for r in state.state_snapshots(ev).collect())
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    for a, b in ((-5, 3), (1.5, 1.7), (1, 60), (45, 95), (120, 250), (100, 400), (500, 600)):
+        low, high = at(3600 * a), at(3600 * b)
+        want = [s for s in snaps if low.replace(tzinfo=None) <= s[2] <= high.replace(tzinfo=None)]
+        assert plain(state.state_history(ev, low, high)) == want
+        spans = state.state_intervals(ev, low, high)
+        assert (spans.agg(F.sum("snapshots")).first()[0] or 0) == len(want)
+        latest = {s[:2]: s for s in snaps if s[2] <= high.replace(tzinfo=None)}
+        assert plain(state.snapshot_asof(ev, high)) == sorted(latest.values())
+
+
+def test_state_reads_only_the_hours_it_needs_and_grows_with_events(spark, tmp_path):
+    path = str(tmp_path / "events")
+    events(spark, [("a", "u", 0, 1), ("b", "u", 3600 * 24 * 365 * 3, 2), ("c", "u", 3600 * 24 * 365 * 3 + 5, 2)]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert state.state_intervals(stored).count() == 4  # enters, leaves the hour, leaves the day; three years later
+    plan = state.state_history(stored, "2024-03-04 00:00:00", "2024-03-05 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-03-03" in plan and "LessThan(ts,2024-03-05" in plan
 
 
 def test_graph(spark):
