@@ -17,8 +17,9 @@ Equal sets form a class first, named by a 64-bit hash. Members of a signature ar
 smallest class, which links groups of near copies without listing their pairs; components follow. Pairs
 that this leaves open (same signature, other components) are listed for signatures of at most SMALL_BUCKET
 members. Larger open signatures are hot. A set with no more hot signatures than slack shares some other
-signature with every set it links with, so only sets with more remain; they are joined on their rarest
-features (prefix, length and positional filters), which is exact too.
+signature with every set it links with, so only sets with more remain; they are joined on the rarest features
+by which they differ from what most of their group has in common (prefix, length and positional filters),
+which is exact too, and does not list all pairs of a group of near copies that are too far apart to link.
 
 Candidates first compare histograms: how many features fall to each of BINS bins. The bins differ by no
 more than the sets, so a larger difference rules a link out. What passes is checked on the whole sets.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_map, components, written
+from riskloom.llm.common import Scratch, arrow_map, components, written
 from riskloom.plans.small import broadcast_if_small
 
 SPARE_PERCENT = 20
@@ -266,31 +267,58 @@ def texts_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
     return source.join(ids, "doc_id").select("key", "text")
 
 
-def rare_feature_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share one of their rarest features.
+def groups_of(hot: DataFrame) -> DataFrame:
+    """(group, key, root): hot signatures (sig, key, root, pivot) that share members mostly become one group.
 
-    The smaller set of a linked pair shares one of its first n - ceil(2tn / (1 + t)) + 1 features (rarest
-    first) with the first m - ceil(tm) + 1 of the larger, t being the threshold.
+    Sets that share a signature share a group: a signature is grouped by the least pivot any of its members has.
     """
-    each = sets.join(roots, "key").select("key", "root", F.size("features").alias("n"), F.explode("features").alias("f"))
-    count = each.groupBy("f").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ordered = (
-        each.join(count, "f")
-        .groupBy("key", "root", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "f", (F.col("lo") != F.col("hi")).alias("open")))).alias("fs"))
-        .withColumn("fs", F.array_distinct("fs"))
+    least = hot.groupBy("key").agg(F.min("pivot").alias("least"))
+    named = hot.join(least, "key").groupBy("sig").agg(F.min("least").alias("group"))
+    return hot.join(named, "sig").select("group", "key", "root").distinct()
+
+
+def consensus_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates) between sets of a group (group, key, root) in different components; both as (a, b).
+
+    A group's centre holds the features that more than half of its members have. What counts is how a set
+    differs from it: x and y differ by at most both differences together, and by as much unless those overlap.
+    With k(x, y) = (1 - t) / (1 + t) * (|x| + |y|), the difference that a link allows, either the differences
+    d(x) + d(y) are within k: then they link, and both link with the set for which d - (1 - t) / (1 + t) * n is
+    least. Or they share a feature, one of the first floor(k) + 1 of each, rarest first, as d(x) - d(y) is at
+    most k. So near copies of one text are not compared with each other for what they all have in common.
+    """
+    t = percent
+    each = groups.join(sets.select("key", "features", F.size("features").alias("n")), "key")
+    members = groups.groupBy("group").agg(F.count("*").alias("members"))
+    held = each.select("group", F.explode("features").alias("f")).groupBy("group", "f").agg(F.count("*").alias("c"))
+    held = held.join(members, "group").select("group", "f", F.least("c", F.col("members") - F.col("c")).alias("df"), (2 * F.col("c") > F.col("members")).alias("central"))
+    held = written(held, "near-held")
+    centre = held.filter("central").groupBy("group").agg(F.collect_list("f").alias("centre"))
+    none = F.array().cast("array<long>")
+    apart = each.join(centre, "group", "left").withColumn("centre", F.coalesce("centre", none))
+    apart = written(
+        apart.select("group", "key", "root", "n", F.concat(F.array_except("features", "centre"), F.array_except("centre", "features")).alias("d")), "near-differences"
     )
-    n, t = F.col("n"), percent
-    probe = n - F.ceil(n * t / 100) + 1
-    index = n - F.ceil(n * (2 * t) / (100 + t)) + 1
-    tokens = ordered.select("key", "root", "n", F.posexplode(F.slice("fs", F.lit(1), probe.cast("int"))).alias("at", "t"))
-    tokens = written(tokens.filter("t.open").select("key", "root", "n", "at", F.col("t.f").alias("f")), "near-prefix")
-    small = tokens.filter(F.col("at") < index).select(F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "f")
-    large = tokens.select(F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "f")
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    keep = (F.col("ra") != F.col("rb")) & (F.col("na") <= F.col("nb")) & fits("na", "nb", percent)
-    keep = keep & (most * (100 + t) >= (F.col("na") + F.col("nb")) * t)
-    return small.join(large, "f").filter(keep).select("a", "b").distinct()
+    lead = (F.size("d") * (100 + t) - F.col("n") * (100 - t)).alias("lead")
+    led = apart.select("group", "key", lead)
+    first = led.groupBy("group").agg(F.min(F.struct("lead", "key")).alias("first"))
+    stars = led.join(first, "group").filter((F.col("lead") + F.col("first.lead") <= 0) & (F.col("key") != F.col("first.key")))
+    links = stars.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+    tokens = apart.select("group", "key", "root", "n", F.size("d").alias("m"), F.explode("d").alias("f")).join(held.select("group", "f", "df"), ["group", "f"])
+    ordered = tokens.groupBy("group", "key", "root", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
+    allowed = F.floor(F.col("n") * (100 - t) / t).cast("int")  # (1 - t) / (1 + t) * (n + n / t): the most any partner allows
+    rare = ordered.select("group", "key", "root", "n", "m", F.posexplode(F.slice("fs", F.lit(1), allowed + 1)).alias("at", "t"))
+    rare = rare.select("group", "key", "root", "n", F.col("m").alias("m"), "at", F.col("t.f").alias("f"))
+    open_ = rare.groupBy("group", "f").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("group", "f")
+    rare = written(rare.join(open_, ["group", "f"], "left_semi"), "near-prefix")
+    side = lambda x: rare.select("group", "f", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "m", "at")])
+    a, b = side("a"), side("b")
+    # the differences share at least (m_a + m_b - k) / 2 features, and from the first shared one on there are few left
+    most = F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    enough = 2 * most * (100 + t) >= (F.col("m_a") + F.col("m_b")) * (100 + t) - (F.col("n_a") + F.col("n_b")) * (100 - t)
+    keep = (F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b", t) & enough
+    pairs = a.join(b, ["group", "f"]).filter(keep).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    return links, pairs
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -302,12 +330,20 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Repeated rows stay, each with the same answer; a row without doc_id takes part only as a copy of a text
     that has one, and else has component_id null. Extra columns are ignored. An empty table gives no rows.
     """
+    with Scratch() as mine:
+        return mine.keep(written(_components_of(docs, words, percent, mine), "near-result"))
+
+
+def _components_of(docs: DataFrame, words: int, percent: int, mine: Scratch) -> DataFrame:
+    """near_components, reading tables that belong to `mine`."""
     signed = written(signed_sets(docs, words, percent), "near-sets")
     classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.max("slack").alias("slack"), F.max("bins").alias("bins")
     )
     classes = written(classes, "near-classes")
     shared = written(shared_signatures(signed.select(F.explode("sigs").alias("sig"), "key")), "near-shared")
+    whole, signed = signed, written(signed.select("doc_id", "n_shingles", "key"), "near-rows")
+    mine.drop(whole)  # the signatures are most of what is on disk
     # a set is compared with the smallest of its pivots first, and with others only across components
     first = shared.filter(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     first = written(first, "near-first")
@@ -344,11 +380,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     hot = left.filter(F.col("held") > SMALL_BUCKET).groupBy("key", "root", F.pmod("sig", F.lit(2)).alias("band")).agg(F.count("*").alias("hot"))
     slack = F.coalesce(F.get("slack", F.col("band").cast("int")), F.lit(0))
-    many = hot.join(classes.select("key", "slack"), "key").filter(F.col("hot") > slack).select("key", "root").distinct()
-    many = written(many, "near-many")
-    rare = rare_feature_pairs(sets_for(docs, signed, sets, many, words), many, percent)
+    many = hot.join(classes.select("key", "slack"), "key").filter(F.col("hot") > slack).select("key").distinct()
+    crowded = left.filter(F.col("held") > SMALL_BUCKET).join(written(many, "near-many"), "key", "left_semi")
+    groups = written(groups_of(written(crowded, "near-crowded")), "near-groups")
+    sure, rare = consensus_pairs(groups, sets_for(docs, signed, sets, groups.select("key"), words), percent)
     pairs = written(plausible(written(listed.union(rare).distinct(), "near-listed"), classes, percent), "near-pairs2")
-    more = written(checked(pairs, sets_for(docs, signed, sets, ends_of(pairs), words), percent), "near-links2")
+    more = checked(pairs, sets_for(docs, signed, sets, ends_of(pairs), words), percent)
+    more = written(more.union(sure).distinct(), "near-links2")
     if more.limit(1).count():
         roots = components(links.union(more))
 
@@ -359,7 +397,6 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .groupBy(F.coalesce("root", "key").alias("root"))
         .agg(F.min("first_id").alias("component_id"))
     )
-    smallest = written(smallest, "near-smallest")
     return placed.join(smallest, "root", "left").select(
         "doc_id",
         "n_shingles",

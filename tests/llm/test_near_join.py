@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import near_join
 from riskloom.llm.common import components
@@ -61,7 +62,7 @@ def planted(seed=5, n=160):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 2)])
+@pytest.mark.parametrize("words,percent,bucket", [(4, 85, 2), (4, 85, 16), (1, 60, 2)])
 def test_equals_brute_force(spark, monkeypatch, words, percent, bucket):
     monkeypatch.setattr(near_join, "SMALL_BUCKET", bucket)
     rows = planted()
@@ -70,6 +71,46 @@ def test_equals_brute_force(spark, monkeypatch, words, percent, bucket):
     assert got == brute(rows, words, percent)
 
 
+def clump(seed: int, n: int = 90):
+    """Copies of one text, most with one or two words changed: too far apart to link, but for some of them."""
+    r = random.Random(seed)
+    text = [f"t{i}" for i in range(64)]
+    rows = []
+    for i in range(n):
+        words = list(text)
+        for _ in range(r.choice([0, 1, 1, 1, 2, 2, 3]) if i else 1):
+            words[r.randrange(0, 64, 3)] = r.choice(["x", "y", f"new{i}"])
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_group_of_near_copies(spark, monkeypatch, percent):
+    monkeypatch.setattr(near_join, "SMALL_BUCKET", 2)
+    rows = clump(percent)
+    got = near_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent).collect()
+    want = brute(rows, 4, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_consensus_loses_no_link_and_lists_few_pairs(spark):
+    rows = clump(7, 300)
+    sets = {i: near_join.feature_set(t, 4).view("int64") for i, t in rows}
+    sets = {near_join.set_key(f.view("uint64")): f.tolist() for f in sets.values()}
+    df = spark.createDataFrame(list(sets.items()), "key long, features array<long>")
+    groups = df.select(F.lit(1).cast("long").alias("group"), "key", F.col("key").alias("root"))
+    links, pairs = ([tuple(r) for r in x.collect()] for x in near_join.consensus_pairs(groups, df, 85))
+    known = {k: set(f) for k, f in sets.items()}
+    near = lambda a, b: 100 * len(known[a] & known[b]) >= 85 * len(known[a] | known[b])
+    assert all(near(*p) for p in links)
+    star = {x for p in links for x in p}
+    listed = {tuple(sorted(p)) for p in pairs}
+    want = {(a, b) for a in known for b in known if a < b and near(a, b)}
+    assert all(p in listed or set(p) <= star for p in want) and len(want) > 100
+    assert len(listed) < len(known) ** 2 // 4
+
+
 def test_signatures_never_miss_a_linked_pair():
     plan, r = near_join.Plan(85), random.Random(1)
     import numpy as np
