@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.core import micros, query, rounded, with_features, with_raw, with_scores
+from registry.core import micros, query, rounded, with_features, with_labels, with_raw, with_scores
 from registry.fixtures import labels, r6, raw_events
 from registry.q_baseline import fitted
 from registry.q_features import LABEL_ANY_SQL, features
@@ -393,33 +393,67 @@ def pending_feedback(spark, d):
 SYNTH_RUN = "fx01"
 
 
-def _scenario_values() -> str:
+def _number(x) -> str:
+    return "null" if x is None else repr(x)
+
+
+def _scenario_values(scenarios: dict) -> str:
     rows = []
-    for name, s in C.SCENARIOS.items():
+    for name, s in scenarios.items():
         p = s["injection_pattern"]
-        even = p.get("time_distribution", "uniform") == "uniform"
-        a = p.get("amount_distribution", {})
+        a = p.get("amount_distribution", {"type": "normal", "mean": 100, "std": 30})
+        low, high = p.get("hour_range") or (None, None)
+        values = [float(v) for v in a.get("values", [100, 200, 500])]
         rows.append(
-            f"({_text(name)}, {_text(s['source_dataset'])}, {_text(s['entity_type'])}, {_text(s['event_type'])}, {p.get('count', 10)},"
-            f" {p.get('time_window_seconds', 3600)}, {p.get('silence_before_hours', 0)}, {str(even).lower()},"
-            f" {a['value'] if a.get('type') == 'fixed' else 'null'}::double, {_text(s['anomaly_label']['label_type'])}, {s['anomaly_label']['severity']})"
+            f"({_text(name)}, {_text(s['source_dataset'])}, {_text(s['entity_type'])}, {_text(s['event_type'])}, {p.get('count', 10)}, {p.get('time_window_seconds', 3600)},"
+            f" {p.get('silence_before_hours', 0)}, {_text(p.get('time_distribution', 'uniform'))}, {_number(low)}::bigint, {_number(high)}::bigint, {_text(a.get('type', 'normal'))},"
+            f" {a.get('mean', 100)}::double, {a.get('std', 30)}::double, {a.get('value', 100)}::double, {values!r}::double[], {a.get('baseline_mean', 30)}::double,"
+            f" {a.get('spike_multiplier', 5)}::double, {a.get('start_value', 30)}::double, {a.get('end_value', 80)}::double, {a.get('noise', 5)}::double,"
+            f" {_text(s['anomaly_label'].get('label_type', 'anomaly'))}, {s['anomaly_label']['severity']})"
         )
     return ",\n".join(rows)
 
 
-_SYNTH_CTES = (
-    f"scen as (select * from (values {_scenario_values()}) t(scenario, src, typ, ev, n, win, silence, even, fixed, label_type, severity))",
-    """drawn as materialized (select s.*, m.entity_id from scen s join (select distinct source_dataset, entity_type, entity_id from raw) m
+def _draw(salt: str, index: str = "i") -> str:
+    """The uniform draw of a scenario, entity and index."""
+    return f"(cast('0x' || substr(md5(concat_ws('|', '{SYNTH_RUN}/{salt}', scenario, entity_id, cast({index} as varchar))), 1, 13) as bigint) + 0.5) / 4503599627370496.0"
+
+
+_HOUR, _DAY = 3_600_000_000, 86_400_000_000
+
+
+def _synth_ctes(scenarios: dict) -> tuple[str, ...]:
+    return (
+        f"""scen as (select * from (values {_scenario_values(scenarios)}) t(scenario, src, typ, ev, n, win, silence, dist, hlo, hhi, atype, amean, astd, avalue, avalues,
+ sbase, smult, dstart, dend, dnoise, label_type, severity))""",
+        """role as (select source_dataset, entity_type, entity_id, ts from raw union all select source_dataset, 'merchant', merchant_id, ts from raw where merchant_id is not null
+ union all select source_dataset, 'api_client', api_client_id, ts from raw where api_client_id is not null)""",
+        """drawn as materialized (select s.*, m.entity_id from scen s join (select distinct source_dataset, entity_type, entity_id from role) m
  on m.source_dataset = s.src and m.entity_type = s.typ qualify row_number() over (partition by scenario order by md5(m.entity_id), m.entity_id) <= 5)""",
-    "tmpl as materialized (select d.*, (select max(epoch_us(ts)) from raw r where r.entity_id = d.entity_id and r.source_dataset = d.src) as base from drawn d)",
-    f"""syn as (select *, sha1('adversarial|{SYNTH_RUN}|' || scenario || '|' || entity_id || '|' || i) as event_id,
- base + silence * 3600000000 + cast(round(i * win * 1e6 / greatest(n - 1, 1)) as bigint) as t from (select *, unnest(range(n)) as i from tmpl))""",
-)
+        """tmpl as materialized (select d.*, (select max(epoch_us(ts)) from role r where r.entity_id = d.entity_id and r.source_dataset = d.src and r.entity_type = d.typ) as base
+ from drawn d)""",
+        f"""gaps as materialized (select *, case when dist = 'poisson' then least(cast(round(-ln({_draw('gap')}) * (win * 1e6 / n)) as bigint), win * 500000)
+ else cast(round(-ln({_draw('gap')}) * 1e6) as bigint) end as gap, cast(round(-ln({_draw('gap', 'n')}) * 1e6) as bigint) as beyond from (select *, unnest(range(n)) as i from tmpl))""",
+        f"""placed as materialized (select *, base + silence * {_HOUR} + case dist when 'uniform' then cast(round(i * win * 1e6 / greatest(n - 1, 1)) as bigint)
+ when 'poisson' then cast(upto as bigint) when 'random' then cast(floor(upto / (whole + beyond) * win * 1e6) as bigint) end as moment from
+ (select *, sum(gap) over (partition by scenario, entity_id order by i) as upto, sum(gap) over (partition by scenario, entity_id) as whole from gaps))""",
+        f"""syn as materialized (select *, sha1('adversarial|{SYNTH_RUN}|' || scenario || '|' || entity_id || '|' || i) as event_id,
+ case when hlo is null then moment else moment - moment % {_DAY} + cast(hlo + floor({_draw('hour')} * (hhi - hlo + 1)) as bigint) * {_HOUR}
+  + cast(floor({_draw('minute')} * 60) as bigint) * 60000000 + moment % 60000000 end as t,
+ case when ev in ('transaction_auth', 'metric_observation') then case atype when 'fixed' then avalue when 'normal' then greatest(amean + astd * z, 0.01)
+  when 'round' then avalues[cast(floor({_draw('pick')} * len(avalues)) as bigint) + 1]
+  when 'spike' then case when i < n // 2 then sbase + z * 5.0 else sbase * smult + z * 10.0 end
+  when 'drift' then dstart + (dend - dstart) * i / greatest(n - 1, 1) + z * dnoise end end as amount
+ from (select *, sqrt(-2.0 * ln({_draw('amount/radius')})) * cos(2 * pi() * ({_draw('amount/angle')})) as z from placed))""",
+    )
+
+
+_SYNTH_CTES = _synth_ctes(C.SCENARIOS)
 
 
 @query(
     "template_entities",
-    with_raw("select scenario, entity_id, base as ts from tmpl", *_SYNTH_CTES[:3]),
+    with_raw("select scenario, entity_id, base as ts from tmpl", *_SYNTH_CTES[:4]),
 )
 def template_entities(spark, d):
     ev = raw_events(spark, d)
@@ -430,7 +464,7 @@ def template_entities(spark, d):
 @query(
     "template_join",
     with_raw(
-        "select t.scenario, r.event_id from raw r join tmpl t on r.entity_id = t.entity_id and r.source_dataset = t.src", *_SYNTH_CTES[:3]
+        "select t.scenario, r.event_id from raw r join tmpl t on r.entity_id = t.entity_id and r.source_dataset = t.src", *_SYNTH_CTES[:4]
     ),
 )
 def template_join(spark, d):
@@ -440,61 +474,61 @@ def template_join(spark, d):
     return ev.join(F.broadcast(drawn), ["source_dataset", "entity_id"]).select("scenario", "event_id")  # scenarios x 5 rows
 
 
-@query(
-    "synth_timestamps",
-    with_raw("select event_id, t as ts from syn where even and scenario <> 'off_hours_login'", *_SYNTH_CTES),
-)
+def _synthetic(spark, d):
+    return synth.inject_all(raw_events(spark, d), SYNTH_RUN)
+
+
+@query("synth_timestamps", with_raw("select event_id, t as ts from syn", *_SYNTH_CTES))
 def synth_timestamps(spark, d):
-    """Evenly spaced scenarios."""
-    ev = raw_events(spark, d)
-    even = {n: s for n, s in C.SCENARIOS.items() if s["injection_pattern"].get("time_distribution", "uniform") == "uniform"}
-    made, _, _ = synth.inject_all(ev, SYNTH_RUN, even)
-    return micros(made.select("event_id", "ts"), "ts")
+    """Evenly spaced, random and Poisson times, and those moved into a range of hours."""
+    return micros(_synthetic(spark, d)[0].select("event_id", "ts"), "ts")
 
 
-@query(
-    "synth_amounts",
-    with_raw(
-        """select event_id, fixed as amount, ev as event_type, ev in ('transaction_auth', 'metric_observation') as priced from syn where fixed is not null""",
-        *_SYNTH_CTES,
-    ),
-)
+@query("synth_amounts", with_raw(f"select event_id, {r6('amount')} as amount, ev as event_type, amount is not null as priced from syn", *_SYNTH_CTES))
 def synth_amounts(spark, d):
-    """Fixed amounts."""
-    fixed = {n: s for n, s in C.SCENARIOS.items() if s["injection_pattern"].get("amount_distribution", {}).get("type") == "fixed"}
-    made, _, _ = synth.inject_all(raw_events(spark, d), SYNTH_RUN, fixed)
-    return made.select("event_id", "amount", "event_type", F.col("amount").isNotNull().alias("priced"))
+    out = _synthetic(spark, d)[0].select("event_id", "amount", "event_type", F.col("amount").isNotNull().alias("priced"))
+    return rounded(out, ["amount"])
 
 
 @query(
     "synth_events",
     with_raw(
-        f"""select event_id, ev as event_type, 'success' as status, typ as entity_type, entity_id, src as source_dataset, 'adversarial_{SYNTH_RUN}' as ingest_batch_id,
+        f"""select event_id, t as ts, {r6('amount')} as amount, ev as event_type, 'success' as status, typ as entity_type, entity_id, src as source_dataset, 'adversarial_{SYNTH_RUN}' as ingest_batch_id,
  '{{"adversarial":true,"scenario":"' || scenario || '","run_id":"{SYNTH_RUN}"}}' as metadata from syn""",
         *_SYNTH_CTES,
     ),
 )
 def synth_events(spark, d):
-    made, _, _ = synth.inject_all(raw_events(spark, d), SYNTH_RUN)
-    return made.select("event_id", "event_type", "status", "entity_type", "entity_id", "source_dataset", "ingest_batch_id", "metadata")
+    columns = ["event_id", "ts", "amount", "event_type", "status", "entity_type", "entity_id", "source_dataset", "ingest_batch_id", "metadata"]
+    return rounded(micros(_synthetic(spark, d)[0].select(*columns), "ts"), ["amount"])
 
 
 @query(
     "synth_labels",
     with_raw(
         f"""select scenario, entity_id as scope_id, label_type, severity, min(t) as ts_start, max(t) as ts_end, 1 as label, 'adversarial_' || scenario as source_dataset
- from syn where even and scenario <> 'off_hours_login' group by all""",
+ from syn group by all""",
         *_SYNTH_CTES,
     ),
 )
 def synth_labels(spark, d):
-    even = {n: s for n, s in C.SCENARIOS.items() if s["injection_pattern"].get("time_distribution", "uniform") == "uniform"}
-    _, made, _ = synth.inject_all(raw_events(spark, d), SYNTH_RUN, even)
+    made = _synthetic(spark, d)[1]
     out = made.select(F.get_json_object("metadata", "$.scenario").alias("scenario"), "scope_id", "label_type", "severity", "ts_start", "ts_end", "label", "source_dataset")
     return micros(out, "ts_start", "ts_end")
 
 
-@query("inject_all")
+@query(
+    "inject_all",
+    with_labels(
+        f"""select ingest_batch_id, count(*) as events, cast(sum(hit) as bigint) as labelled from (select e.ingest_batch_id, case when exists (select 1 from every_label l
+ where l.scope_id = e.entity_id and l.label > 0 and ((e.t >= l.a and (l.b is null or e.t <= l.b)) or (e.ingest_batch_id like 'adversarial%' and e.ingest_batch_id = l.batch)))
+ then 1 else 0 end as hit from every_event e) group by ingest_batch_id""",
+        *_SYNTH_CTES,
+        f"""every_event as (select entity_id, epoch_us(ts) as t, ingest_batch_id from raw union all select entity_id, t, 'adversarial_{SYNTH_RUN}' from syn)""",
+        f"""every_label as (select scope_id, epoch_us(ts_start) as a, epoch_us(ts_end) as b, label, ingest_batch_id as batch from lab
+ union all select entity_id, min(t), max(t), 1, 'adversarial_{SYNTH_RUN}' from syn group by scenario, entity_id)""",
+    ),
+)
 def inject_all(spark, d):
     """Synthetic and real events together: how many synthetic events their labels find."""
     ev, lb = raw_events(spark, d), labels(spark, d)
@@ -503,13 +537,22 @@ def inject_all(spark, d):
     return both.groupBy("ingest_batch_id").agg(F.count("*").alias("events"), F.sum("is_anomaly").alias("labelled"))
 
 
-@query("scenario_families")
+# The three attack families on entities of their own kind, at two intensities.
+_FAMILY_RUNS = {
+    f"{family}_{intensity}": synth.family_scenario(family, source, intensity, 2)
+    for family, source in (("account_takeover", "CERT"), ("api_abuse", "IEEE_CIS"), ("merchant_abuse", "CREDITCARD"))
+    for intensity in ("medium", "high")
+}
+
+
+@query(
+    "scenario_families",
+    with_raw(
+        """select scenario, typ as entity_type, count(distinct entity_id) as entities_affected, count(*) as events_created, min(t) as start_time, max(t) as end_time
+ from syn group by all""",
+        *_synth_ctes(_FAMILY_RUNS),
+    ),
+)
 def scenario_families(spark, d):
     """Run log of the three attack families at two intensities."""
-    runs = {}
-    for family, source, kind in (("account_takeover", "CERT", "user"), ("api_abuse", "IEEE_CIS", "user"), ("merchant_abuse", "CREDITCARD", "user")):
-        for intensity in ("medium", "high"):
-            runs[f"{family}_{intensity}"] = synth.family_scenario(family, source, intensity, 2, kind)
-    _, _, log = synth.inject_all(raw_events(spark, d), SYNTH_RUN, runs)
-    return log
-
+    return micros(synth.inject_all(raw_events(spark, d), SYNTH_RUN, _FAMILY_RUNS)[2], "start_time", "end_time")

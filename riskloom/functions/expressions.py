@@ -85,9 +85,9 @@ def unit_from_hex(hex_col: Column) -> Column:
 
 
 def uniform(salt: str, *parts: Column | str) -> Column:
-    """Deterministic uniform draw per row, strictly inside (0, 1)."""
-    h = F.xxhash64(F.lit(salt), *[as_col(p) for p in parts])
-    return (F.pmod(h, F.lit(1_000_003)) + 0.5) / F.lit(1_000_003.0)
+    """Deterministic uniform draw per row, strictly inside (0, 1): 52 bits of the MD5 of salt and parts."""
+    text = F.concat_ws("|", F.lit(salt), *[as_col(p).cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
 def standard_normal(salt: str, *parts: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import config as C
@@ -27,6 +27,9 @@ DEFAULT_COUNT, DEFAULT_WINDOW, DEFAULT_SEVERITY = 10, 3600, 3
 AMOUNT_FLOOR = 0.01
 PRICED_EVENTS = ["transaction_auth", "metric_observation"]
 BATCH_PREFIX = "adversarial_"
+# Columns that name an entity of another kind than the event's own.
+NAMED_BESIDE = {"merchant": "merchant_id", "api_client": "api_client_id"}
+INDEX_BLOCK = 10_000
 
 SCENARIO_SCHEMA = (
     "scenario string, s_source string, s_entity_type string, s_event_type string, s_status string, s_channel string,"
@@ -112,46 +115,73 @@ def template_entities(
     """Scenario columns plus, for each scenario, the newest state of `per_scenario` random entities.
 
     Entities are drawn by hash among those of the scenario's source and type; their newest values
-    come from all their events in that source.
+    come from all their events in that source. Merchants and API clients are entities too where an
+    event only names them beside its own.
     """
     wanted = F.broadcast(scenarios)  # configuration: a handful of rows
+    named = [F.struct(F.lit(kind).alias("entity_type"), F.col(c).alias("entity_id")) for kind, c in NAMED_BESIDE.items()]
+    roles = F.array(F.struct("entity_type", "entity_id"), *named)
+    roles = F.array_distinct(F.filter(roles, lambda r: r["entity_id"].isNotNull()))
+    events = events.withColumn("_role", F.explode(roles)).withColumns({"entity_type": F.col("_role.entity_type"), "entity_id": F.col("_role.entity_id")}).drop("_role")
     members = events.select("source_dataset", "entity_type", "entity_id").distinct()
     candidates = members.join(
         wanted, (F.col("source_dataset") == F.col("s_source")) & (F.col("entity_type") == F.col("s_entity_type"))
     ).select(*scenarios.columns, "entity_id")
     drawn = top_per_group(candidates, ["scenario"], [hash_order("entity_id", seed), F.col("entity_id")], per_scenario)
     # At most scenarios x per_scenario rows, both configured.
-    names = drawn.select(F.col("s_source").alias("source_dataset"), "entity_id").distinct()
-    mine = events.join(F.broadcast(names), ["source_dataset", "entity_id"], "left_semi")
+    names = drawn.select(F.col("s_source").alias("source_dataset"), F.col("s_entity_type").alias("entity_type"), "entity_id").distinct()
+    mine = events.join(F.broadcast(names), ["source_dataset", "entity_type", "entity_id"], "left_semi")
     parts = mine.withColumn("_entity", F.col("entity_id")).withColumn(
-        "entity_id", F.concat_ws("\u0001", "source_dataset", "entity_id")
+        "entity_id", F.concat_ws("\u0001", "source_dataset", "entity_type", "entity_id")
     )
     newest = first_per_entity(parts, whole_row).drop("entity_id").withColumnRenamed("_entity", "entity_id")
     return drawn.join(
         newest.withColumnRenamed("entity_id", "_e").withColumnRenamed("source_dataset", "_s"),
-        (F.col("entity_id") == F.col("_e")) & (F.col("s_source") == F.col("_s")),
+        (F.col("entity_id") == F.col("_e")) & (F.col("s_source") == F.col("_s")) & (F.col("s_entity_type") == F.col("entity_type")),
     ).drop("_e", "_s")
 
 
-def _offsets(seed: str) -> Column:
-    """Micros after the base time, one per event, in time order."""
-    n, window = F.col("n"), F.col("window_seconds")
-    steps = F.sequence(F.lit(0), n - 1)
-    who = (F.col("scenario"), F.col("entity_id"))
-    even = F.transform(steps, lambda i: F.round(i * window * F.lit(float(MICROS)) / F.greatest(n - 1, F.lit(1))).cast("long"))
-    anywhere = F.array_sort(
-        F.transform(steps, lambda i: (uniform(f"{seed}/offset", *who, i) * window * MICROS).cast("long"))
-    )
-    gap_cap = window / 2
-    gaps = F.transform(steps, lambda i: F.least(exponential(f"{seed}/gap", window / n, *who, i), gap_cap) * MICROS)
-    arrivals = F.transform(
-        steps, lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0.0), lambda a, g: a + g).cast("long")
-    )
-    return (
+def _indexed(templates: DataFrame) -> DataFrame:
+    """A row `i` of every event to make, in blocks `_b` that are dealt out, so a template may make any number."""
+    last = F.floor((F.col("n") - 1) / INDEX_BLOCK).cast("long")
+    blocks = templates.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = blocks.repartition("scenario", "entity_id", "_b")
+    upto = F.least(F.col("n") - F.col("_b") * INDEX_BLOCK, F.lit(INDEX_BLOCK)).cast("int") - 1
+    start = F.col("_b") * INDEX_BLOCK
+    return blocks.withColumn("i", F.explode(F.sequence(start, start + upto)))
+
+
+def _timed(templates: DataFrame, seed: str) -> DataFrame:
+    """Rows of `_indexed` with `_offset`, the micros after the base time, growing with `i`.
+
+    Evenly spaced events follow from their index. The two drawn patterns are sums of exponential gaps: up to
+    an event for arrivals (a gap is at most half the window), and their share of the whole sum, which is how
+    sorted uniform draws are distributed, for random times. Gaps are whole micros, so sums are exact: within
+    a block by a window, across blocks by the blocks' totals.
+    """
+    n, i, window = F.col("n"), F.col("i"), F.col("window_seconds")
+    rows = _indexed(templates)
+    arrivals = F.col("time_distribution") == "poisson"
+    mean = F.when(arrivals, window * F.lit(float(MICROS)) / n).otherwise(F.lit(float(MICROS)))
+    gap = F.round(exponential(f"{seed}/gap", mean, "scenario", "entity_id", "i")).cast("long")
+    gap = F.when(arrivals, F.least(gap, (window * (MICROS // 2)).cast("long"))).otherwise(gap)
+    drawn = rows.withColumn("_gap", gap)
+    who = ["scenario", "entity_id"]
+    totals = drawn.groupBy(*who, "_b").agg(F.sum("_gap").alias("_sum"))
+    by_block = Window.partitionBy(*who).orderBy("_b")
+    before = F.coalesce(F.sum("_sum").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*who, "_b", before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*who)).alias("_all"))
+    inside = F.sum("_gap").over(Window.partitionBy(*who, "_b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.col("_before") + F.col("_inside")
+    beyond = F.round(exponential(f"{seed}/gap", F.lit(float(MICROS)), "scenario", "entity_id", "n")).cast("long")  # the gap after the last
+    even = F.round(i * window * F.lit(float(MICROS)) / F.greatest(n - 1, F.lit(1))).cast("long")
+    anywhere = F.floor(upto / (F.col("_all") + beyond) * window * F.lit(float(MICROS))).cast("long")
+    offset = (
         F.when(F.col("time_distribution") == "uniform", even)
         .when(F.col("time_distribution") == "random", anywhere)
-        .when(F.col("time_distribution") == "poisson", arrivals)
+        .when(arrivals, upto)
     )
+    return drawn.withColumn("_inside", inside).join(totals, [*who, "_b"]).withColumn("_offset", offset).drop("_b", "_gap", "_inside", "_before", "_all")
 
 
 def _amount(seed: str) -> Column:
@@ -182,7 +212,7 @@ def _amount(seed: str) -> Column:
 def synth_events(templates: DataFrame, run: str) -> DataFrame:
     """Events of every template entity. Random choices depend only on run, scenario, entity and index."""
     who = (F.col("scenario"), F.col("entity_id"), F.col("i"))
-    rows = templates.select("*", F.posexplode(_offsets(run)).alias("i", "_offset"))
+    rows = _timed(templates, run)
     at = epoch_micros("ts") + F.col("silence_hours").cast("long") * (3600 * MICROS) + F.col("_offset")
     day, hour, minute = 86_400 * MICROS, 3600 * MICROS, 60 * MICROS
     in_minute = F.pmod(at, F.lit(minute))

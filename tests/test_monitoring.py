@@ -95,6 +95,27 @@ def test_synthetic_patterns(spark):
     assert by_id(again, "ts", "amount") == by_id(made, "ts", "amount")
 
 
+def test_arrivals_in_blocks_are_those_of_one_block(spark, monkeypatch):
+    """Patterns of many events, over more than one block, sorted and inside their bounds; merchants as entities."""
+    ev = events(spark, [("a", "u", 0, 1, {"merchant_id": "m1"}), ("b", "m1", 5, 1)])
+    sc = _scenarios(
+        gaps={"count": 700, "time_window_seconds": 300, "time_distribution": "poisson"},
+        drawn={"count": 500, "time_window_seconds": 100, "time_distribution": "random"},
+        even={"count": 101, "time_window_seconds": 100},
+    )
+    sc["drawn"]["entity_type"] = "merchant"
+    whole = synth.inject_all(ev, "r1", sc, per_scenario=1)[0].select("event_id", "ts", "entity_id", "metadata").collect()
+    monkeypatch.setattr(synth, "INDEX_BLOCK", 64)
+    cut = synth.inject_all(ev, "r1", sc, per_scenario=1)[0].select("event_id", "ts", "entity_id", "metadata").collect()
+    assert sorted(whole) == sorted(cut) and len(whole) == 1301
+    of = lambda name: sorted(r["ts"] for r in cut if f'"{name}"' in r["metadata"])
+    gaps = [(b - a).total_seconds() for a, b in zip(of("gaps"), of("gaps")[1:], strict=False)]
+    assert 0.3 < sum(gaps) / len(gaps) < 0.6 and max(gaps) <= 150
+    assert {r["entity_id"] for r in cut if '"drawn"' in r["metadata"]} == {"m1"}
+    spread = of("drawn")
+    assert (spread[-1] - spread[0]).total_seconds() <= 100 and 30 < (spread[250] - spread[0]).total_seconds() < 70
+
+
 def test_unpriced_events_have_no_amount(spark):
     ev = events(spark, [("a", "u", 0, 5)])
     made, _, _ = synth.inject_all(ev, "r", {"suspicious_login_burst": C.SCENARIOS["suspicious_login_burst"]})
