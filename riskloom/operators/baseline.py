@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 from riskloom.functions.expressions import day_of_week, hour_of_day
 from riskloom.operators.reports import top_anomalies, unpivot_numeric
-from riskloom.plans.ranks import exact_quantiles
+from riskloom.plans.ranks import counted, counted_quantiles, summary
 from riskloom.plans.sampling import sample_per_group
 from riskloom.plans.small import broadcast_if_small
 
@@ -36,20 +36,14 @@ def learn_profile(
     if sample_size is not None:
         known = sample_per_group(known, SIGNAL, sample_size)
     long = unpivot_numeric(known, present, SIGNAL)
-    basics = [
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    ranks = exact_quantiles(long, [*SIGNAL, "feature"], "value", list(PERCENTILES.values()))
-    wide = ranks.groupBy(*SIGNAL, "feature").agg(
-        *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for n, p in PERCENTILES.items()]
-    )
-    out = long.groupBy(*SIGNAL, "feature").agg(*basics).join(wide, [*SIGNAL, "feature"])
+    group = [*SIGNAL, "feature"]
+    counts = counted(long, group, "value")  # each value of a signal's feature once: every statistic is read off it
+    ranks = counted_quantiles(counts, group, list(PERCENTILES.values()))
+    wide = ranks.groupBy(*group).agg(*[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for n, p in PERCENTILES.items()])
     return (
-        out.filter(F.col("n") > MIN_VALUES)
+        summary(counts, group)
+        .join(wide, group)
+        .filter(F.col("n") > MIN_VALUES)
         .withColumn("iqr", F.col("p75") - F.col("p25"))
         .select(F.concat_ws("::", *SIGNAL).alias("signal_id"), *SIGNAL, "feature", "n", *STATS)
     )

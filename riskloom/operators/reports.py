@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import config as C
-from riskloom.plans.ranks import exact_quantiles
+from riskloom.plans.ranks import counted, counted_quantiles, summary
 
 # A column shows its distinct count below the first, its values up to the second.
 SHOW_COUNT_BELOW = 20
@@ -114,14 +114,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     """Count, mean, deviation, minimum, exact quartiles and maximum of every feature column."""
     columns = list(columns or feature_columns(df))
     long = unpivot_numeric(df, columns)
-    basics = long.groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    counts = counted(long, ["feature"], "value")
+    basics = summary(counts, ["feature"])
+    q = counted_quantiles(counts, ["feature"], [0.25, 0.5, 0.75])
     quartiles = q.groupBy("feature").agg(
         *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     )
@@ -167,10 +162,9 @@ def score_histogram(df: DataFrame, score: str = "baseline_score", bins: int = 50
 
 def score_quartiles(df: DataFrame, score: str, by: str) -> DataFrame:
     """Box-plot numbers of a score per group, exact."""
-    basics = df.groupBy(by).agg(
-        F.count(score).alias("n"), F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean")
-    )
-    q = exact_quantiles(df, [by], score, [0.25, 0.5, 0.75])
+    counts = counted(df, [by], score)
+    basics = summary(counts, [by]).select(by, "n", "min", "max", "mean")
+    q = counted_quantiles(counts, [by], [0.25, 0.5, 0.75])
     quartiles = q.groupBy(by).agg(
         *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     )

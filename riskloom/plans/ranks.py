@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.plans.lineage import cut_lineage
+from riskloom.plans.small import broadcast_if_small
+
+
+# A group of at most so many rows is ranked in one task; larger ones are cut into ranges of about as many.
+RANGE_ROWS = 250_000
 
 
 def running_totals(
@@ -21,18 +26,24 @@ def running_totals(
     order: Sequence[str],
     totals: Sequence[str],
     descending: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Add `cum_<c>` for every c in totals: the group's sum over rows up to this one in `order`.
 
-    `order` must be unique inside a group, else ties are split arbitrarily. The ranged table is
-    checkpointed because range bounds are sampled and both uses below must see the same ranges.
+    `order` must be unique inside a group, else ties are split arbitrarily. The rows are written first, unless
+    they are `stored` already: their number decides how they are cut, and range bounds are sampled, so all
+    passes must see the same ranges.
     """
     group = list(group)
-    spark = df.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     by = [F.desc(c) if descending else F.asc(c) for c in order]
-    ranged = df.repartitionByRange(ranges, *[F.asc(g) for g in group], *by)
-    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    if not stored:
+        df = cut_lineage(df, "totals")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("largest"), F.sum("_n").alias("rows")).first()
+    if (sizes["largest"] or 0) <= RANGE_ROWS:
+        whole = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(whole).alias(f"cum_{c}") for c in totals])
+    ranged = df.repartitionByRange(-(-sizes["rows"] // RANGE_ROWS), *[F.asc(g) for g in group], *by)
+    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     parts = ranged.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
@@ -54,15 +65,36 @@ def running_totals(
     )
 
 
+def counted(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Distinct values of every group with their counts (_v, _n), written down: statistics of any kind follow from it."""
+    kept = df.filter(F.col(value).isNotNull())
+    return cut_lineage(kept.groupBy(*group, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).agg(F.count("*").alias("_n")), "counts")
+
+
+def summary(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """n, mean, std, min and max of every group, from `counted` values; squares are taken around the mean."""
+    group = list(group)
+    total = F.sum("_n")
+    basics = counts.groupBy(*group).agg(
+        total.alias("n"), (F.sum(F.col("_v") * F.col("_n")) / total).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
+    )
+    around = broadcast_if_small(basics.select(*group, "mean", "min", "max"))
+    # sums of equal values may be off by a digit
+    off = F.when(F.col("min") < F.col("max"), F.col("_v") - F.col("mean")).otherwise(0.0)
+    spread = counts.join(around, group).groupBy(*group).agg(F.sum(F.col("_n") * off * off).alias("_m2"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))).alias("std")
+    return basics.join(spread, group).select(*group, "n", "mean", std, "min", "max")
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolation quantiles: the group columns, `q` (the probability) and `quantile`."""
+    return counted_quantiles(counted(df, group, value), group, probs)
+
+
+def counted_quantiles(counts: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """exact_quantiles of `counted` values."""
     group = list(group)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    ranked = running_totals(counts, group, ["_v"], ["_n"])
+    ranked = running_totals(counts, group, ["_v"], ["_n"], stored=True)
     if group:
         sizes = ranked.groupBy(*[F.col(g).alias(f"_s_{g}") for g in group]).agg(F.max("cum__n").alias("_size"))
         on = F.lit(True)

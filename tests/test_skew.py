@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import alerts, asof, labels as lab, narrate, timeseries
 from riskloom.operators.entity_windows import entity_windows
-from riskloom.plans import sampling
+from riskloom.plans import ranks, sampling
 from riskloom.plans.hotkeys import SkewLimits, find_hot
 from riskloom.plans.ranks import exact_quantiles, running_totals
 from riskloom.plans.small import broadcast_if_small, local_if_small
@@ -29,7 +29,9 @@ def test_segment_length_follows_density(spark):
     assert find_hot(df, ["k"], "t", 86_400) is None
 
 
-def test_running_totals_and_quantiles_are_exact(spark):
+@pytest.mark.parametrize("range_rows", [250_000, 7])
+def test_running_totals_and_quantiles_are_exact(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", range_rows)
     rng = random.Random(3)
     # A third of all values equal; groups of very different size.
     values = [("a", 1.5 if rng.random() < 0.33 else rng.gauss(0, 10)) for _ in range(900)] + [("b", 2.0)] + [(None, 4.0), (None, 6.0)]
@@ -42,6 +44,12 @@ def test_running_totals_and_quantiles_are_exact(spark):
             assert got[(g, p)] == pytest.approx(np.quantile(data, p), abs=1e-12)
     whole = {r["q"]: r["quantile"] for r in exact_quantiles(df, [], "v", probs).collect()}
     assert whole[0.5] == pytest.approx(np.quantile([v for _, v in values], 0.5))
+    for row in ranks.summary(ranks.counted(df.filter("g is not null"), ["g"], "v"), ["g"]).collect():
+        data = [v for k, v in values if k == row["g"]]
+        assert row["n"] == len(data) and (row["min"], row["max"]) == (min(data), max(data))
+        assert row["mean"] == pytest.approx(np.mean(data), rel=1e-12)
+        assert row["std"] == (pytest.approx(np.std(data, ddof=1), rel=1e-12) if len(data) > 1 else None)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", min(range_rows, 100))
     numbers = spark.range(1000).select(F.col("id"), F.lit(1).alias("n"))
     cum = running_totals(numbers, [], ["id"], ["n"], descending=True).collect()
     assert all(r["cum_n"] == 1000 - r["id"] for r in cum)
