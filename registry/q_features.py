@@ -175,6 +175,19 @@ def label_between_join(spark, d):
     return out.select("event_id", "label", "label_type", "severity")
 
 
+@query("label_interval_join_dense", CHECKS["label_interval_join"])
+def label_interval_join_dense(spark, d):
+    """By dyadic nodes of time."""
+    out = lab.label_interval_join(raw_events(spark, d), labels(spark, d), CROWDED)
+    return out.select("event_id", "is_anomaly", "label_type", "label_value")
+
+
+@query("label_between_join_dense", CHECKS["label_between_join"])
+def label_between_join_dense(spark, d):
+    out = lab.label_between_join(raw_events(spark, d), labels(spark, d), CROWDED)
+    return out.select("event_id", "label", "label_type", "severity")
+
+
 LABEL_ANY_SQL = f"""anyl as (select e.event_id, max(case when l.label > 0 then 1 else 0 end) as is_anomaly
  from raw e left join lab l on {_J2} group by e.event_id)"""
 
@@ -184,6 +197,11 @@ def label_any(spark, d):
     return lab.label_any(raw_events(spark, d), labels(spark, d)).select("event_id", "is_anomaly")
 
 
+@query("label_any_dense", CHECKS["label_any"])
+def label_any_dense(spark, d):
+    return lab.label_any(raw_events(spark, d), labels(spark, d), CROWDED).select("event_id", "is_anomaly")
+
+
 @query(
     "cache_upsert",
     with_features(

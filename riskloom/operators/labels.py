@@ -9,7 +9,8 @@ from riskloom.functions.expressions import MICROS, epoch_micros
 from riskloom.plans.hotkeys import DEFAULT_LIMITS, HotKeys, SkewLimits, find_hot, running
 
 INJECTED = "adversarial"
-_DAY = 86_400 * MICROS
+# Time span of a leaf; labels are matched exactly inside the leaves at their ends.
+LEAF = 600 * MICROS
 
 
 def label_interval_join(
@@ -69,21 +70,47 @@ def _join(features: DataFrame, side: DataFrame, with_batches: bool, limits: Skew
     return sparse.unionByName(dense.select(*sparse.columns))
 
 
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """The fewest dyadic nodes that make up the leaves from `first` to `last`, at most two of each level.
+
+    Node n of level j stands for the leaves n * 2^j to (n + 1) * 2^j - 1; its key is n * 64 + j. Going up a
+    level, an odd left end and the leaf before an odd right end are nodes of their own.
+    """
+
+    def at(j: Column) -> Column:
+        size = F.pow(F.lit(2.0), j)
+        low, high = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")
+        some = low < high
+        return F.array(
+            F.when(some & (F.pmod(low, F.lit(2)) == 1), low * 64 + j),
+            F.when(some & (F.pmod(high, F.lit(2)) == 1), (high - 1) * 64 + j),
+        )
+
+    nodes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    return F.filter(nodes, lambda n: n.isNotNull())
+
+
 def _dense_join(events: DataFrame, side: DataFrame, with_batches: bool, hot: HotKeys) -> DataFrame:
-    """Entity and day as the join key, so an event meets only labels alive on its day."""
+    """Pairs by the dyadic nodes of time: a label, however long or open, is at most two nodes a level, an event
+    one of every level, and an event inside a label shares exactly one node with it."""
     keys = hot.table.select(F.col("entity_id").alias("_scope"))
     side = side.join(F.broadcast(keys) if hot.small else keys, "_scope", "left_semi")
-    last_day = events.groupBy("entity_id").agg(F.max(F.floor(F.col("_t") / _DAY)).alias("_until"))
-    first = F.floor(epoch_micros("_from") / _DAY)
-    last = F.least(F.coalesce(F.floor(epoch_micros("_to") / _DAY), F.col("_until")), F.col("_until"))
-    alive = (
-        side.join(last_day, side["_scope"] == last_day["entity_id"])
-        .filter(last >= first)
-        .select(*side.columns, F.explode(F.sequence(first, last)).alias("_on"))
+    leaf = lambda t: F.floor(t / LEAF).cast("long")
+    spans = events.groupBy("entity_id").agg(F.min(leaf(F.col("_t"))).alias("_first"), F.max(leaf(F.col("_t"))).alias("_last"))
+    levels = (spans.agg(F.max(F.col("_last") - F.col("_first"))).first()[0] or 0).bit_length()
+    low = F.greatest(leaf(epoch_micros("_from")), F.col("_first"))
+    high = F.least(F.coalesce(leaf(epoch_micros("_to")), F.col("_last")), F.col("_last"))
+    nodes = (
+        side.join(spans, side["_scope"] == spans["entity_id"])
+        .filter(low <= high)
+        .select(*side.columns, F.explode(_cover(low, high, levels)).alias("_node"))
     )
-    daily = events.withColumn("_day", F.floor(F.col("_t") / _DAY))
-    on = (F.col("entity_id") == F.col("_scope")) & (F.col("_day") == F.col("_on")) & _inside()
-    out = daily.join(alive, on, "left").drop("_day", "_on", "_t")
+    ids = ["source_dataset", "event_id"]
+    up = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda j: F.floor(leaf(F.col("_t")) / F.pow(F.lit(2.0), j)).cast("long") * 64 + j)
+    narrow = events.select(*ids, "entity_id", "ts", F.explode(up).alias("_node"))
+    on = (F.col("entity_id") == F.col("_scope")) & (narrow["_node"] == nodes["_node"]) & _inside()
+    pairs = narrow.join(nodes, on).select(*ids, *side.columns)
+    out = events.join(pairs, ids, "left").drop("_t")
     if not with_batches:
         return out
     injected = events.filter(F.col("ingest_batch_id").startswith(INJECTED)).drop("_t")
@@ -92,7 +119,6 @@ def _dense_join(events: DataFrame, side: DataFrame, with_batches: bool, hot: Hot
         (F.col("entity_id") == F.col("_scope")) & (F.col("ingest_batch_id") == F.col("_batch")) & ~_inside(),
     )
     # An event matched only through its batch must not also appear as unmatched.
-    ids = ["source_dataset", "event_id"]
     matched = extra.select(*ids).distinct().withColumn("_by_batch", F.lit(True))
     out = out.join(matched, ids, "left").filter(F.col("_scope").isNotNull() | F.col("_by_batch").isNull())
     return out.drop("_by_batch").unionByName(extra.select(*[c for c in out.columns if c != "_by_batch"]))

@@ -120,6 +120,26 @@ def test_other_operators_dense_equals_sparse(spark):
     same_rows(narrate.timeline(ev), narrate.timeline(ev, limits=SMALL))
 
 
+def test_dyadic_nodes_cover_every_leaf_once(spark):
+    rng = random.Random(9)
+    spans = [(a, a + rng.randrange(0, 200)) for a in (rng.randrange(-50, 300) for _ in range(60))] + [(0, 4095), (5, 5)]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for r in df.select("a", "b", lab._cover(F.col("a"), F.col("b"), 13).alias("n")).collect():
+        leaves = [x for n in r["n"] for x in range((n >> 6) << (n & 63), ((n >> 6) + 1) << (n & 63))]
+        assert sorted(leaves) == list(range(r["a"], r["b"] + 1))
+        assert len(r["n"]) <= 2 * max(1, (r["b"] - r["a"] + 1).bit_length())
+
+
+def test_open_labels_are_few_rows_before_they_match(spark):
+    """A label over three years of an entity is a handful of rows, not one for each day."""
+    ev = events(spark, [(f"e{i}", "u", 86_400 * 3 * i, 1) for i in range(365)])
+    lb = labels(spark, [("u", -5, None, "fraud", 1), ("u", 86_400 * 700, 86_400 * 701, "anomaly", 1)])
+    out = lab.label_between_join(ev, lb, SMALL)
+    assert out.count() == 365 and out.filter("label_type = 'fraud'").count() == 365
+    nodes = spark.range(1).select(lab._cover(F.lit(7), F.lit(7 + 365 * 3 * 144), 18).alias("n")).first()["n"]
+    assert len(nodes) <= 34
+
+
 @pytest.mark.parametrize("alpha,segment_rows", [(0.3, 200_000), (0.3, 7), (0.9, 200_000), (0.01, 5), (0.999, 50)])
 def test_ewma_over_the_whole_history(spark, alpha, segment_rows):
     rng = random.Random(2)
