@@ -23,8 +23,9 @@ from registry.q_reports import scored, scores, scoring_features
 from riskloom import config as C
 from riskloom.operators import baseline, evaluate, impact, model
 from riskloom.operators import labels as lab
+from riskloom.operators.model_store import ModelStore
 from riskloom.operators.reports import top_anomalies
-from riskloom.plans.lineage import cut_lineage
+from riskloom.plans.lineage import cut_lineage, scratch_folder
 
 _STATS = baseline.STATS
 _PROFILE_OUT = ", ".join(f"{r6(s)} as {s}" for s in _STATS)
@@ -296,6 +297,22 @@ def train_model(spark, d):
     return model.evaluate(fit, data.filter("is_test"))
 
 
+@query("training_report")
+def training_report(spark, d):
+    """Quality, sizes and anomaly rates of the training."""
+    fit, data = fitted(spark, d)
+    return model.training_report(fit, data.filter(~F.col("is_test")), data.filter("is_test"))
+
+
+@query("stored_model")
+def stored_model(spark, d):
+    """Events scored by the model as it was saved and loaded again."""
+    fit, data = fitted(spark, d)
+    store = ModelStore(spark, scratch_folder(spark, "models"))
+    store.save(fit, data.filter(~F.col("is_test")), data.filter("is_test"))
+    return store.load().score(features(spark, d)).select("event_id", "anomaly_score", "is_anomaly")
+
+
 @query("predict")
 def predict(spark, d):
     fit, _ = fitted(spark, d)

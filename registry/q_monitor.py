@@ -99,6 +99,18 @@ def alert_volume(spark, d):
     return rounded(alerts.alert_volume(_alerts(spark, d)), ["avg_score"])
 
 
+@query(
+    "alert_volume_24h",
+    with_scores(
+        f"""select severity, entity_type, count(*) as n, {r6('avg(score)')} as avg_score from al where t > (select max(t) from al) - 86400000000 group by all""",
+        _ALERTS_CTE,
+    ),
+)
+def alert_volume_24h(spark, d):
+    """The day up to the last alert."""
+    return rounded(alerts.alert_volume(_alerts(spark, d), hours=24), ["avg_score"])
+
+
 # --- drift -------------------------------------------------------------------------------------
 
 DRIFT_DAYS = 10  # the events cover one month: the last ten days against the rest

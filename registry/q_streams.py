@@ -145,8 +145,30 @@ def session_counts(spark, d):
     return micros(stream_counts.session_counts(raw_events(spark, d)), "window_start", "window_end")
 
 
-@query("stream_counts")
+# The watermark of the last batch stands a day before the newest event of all.
+_CLOSED = "(select max(epoch_us(ts)) from raw) - 86400000000"
+
+
+def _counted_stream(spark, d, **window):
+    path, out, checkpoint = (scratch_folder(spark, x) for x in ("landing", "counts", "checkpoint"))
+    run = lambda: stream_counts.run_count_stream(spark, path, out, checkpoint, files_per_batch=ALL_FILES, **window)
+    land_in_slices(raw_events(spark, d), path, run)
+    return micros(stream_counts.current_counts(spark, out), "window_start", "window_end")
+
+
+@query("stream_counts", with_raw(_window_sql(3_600_000_000, 3_600_000_000)))
 def stream_counts_(spark, d):
-    """Hourly counts by the stream: only windows the watermark has closed."""
+    """Hourly counts by the stream, open windows included."""
+    return _counted_stream(spark, d)
+
+
+@query("stream_counts_sliding", with_raw(_window_sql(6 * 3_600_000_000, 3_600_000_000)))
+def stream_counts_sliding(spark, d):
+    return _counted_stream(spark, d, size="6 hours", slide="1 hour")
+
+
+@query("stream_counts_closed", with_raw(f"select * from ({_window_sql(3_600_000_000, 3_600_000_000)}) where window_end <= {_CLOSED}"))
+def stream_counts_closed(spark, d):
+    """Hourly counts a stream appends: windows that the watermark has passed."""
     make = lambda p: stream_counts.window_counts(stream_events(spark, p, RAW_EVENTS, ALL_FILES))
     return micros(_drain(spark, raw_events(spark, d), make, "hourly"), "window_start", "window_end")

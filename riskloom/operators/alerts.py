@@ -119,5 +119,9 @@ def query_alerts(alerts: DataFrame, start=None, end=None, severities=None, entit
     return alerts
 
 
-def alert_volume(alerts: DataFrame) -> DataFrame:
+def alert_volume(alerts: DataFrame, hours: int | None = None, as_of=None) -> DataFrame:
+    """Alerts and their mean score by severity and entity type; of the `hours` up to `as_of` (the last alert), if given."""
+    if hours is not None:
+        end = F.lit(as_of).cast("timestamp") if as_of is not None else F.lit(alerts.agg(F.max("ts")).first()[0]).cast("timestamp")
+        alerts = alerts.filter((F.col("ts") > end - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= end))
     return alerts.groupBy("severity", "entity_type").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"))

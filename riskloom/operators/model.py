@@ -139,3 +139,12 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str = "is_anomaly") -
     scored = predict(model, truth).select("anomaly_score", "_truth").persist()
     auc = roc_auc(scored, "anomaly_score", "_truth").first()["roc_auc"]
     return confusion(scored, "anomaly_score", "_truth", THRESHOLD).withColumn("roc_auc", F.lit(auc))
+
+
+def training_report(model: PipelineModel, training: DataFrame, test: DataFrame, label: str = "is_anomaly") -> DataFrame:
+    """Held-out quality with the sizes of both parts, their anomaly rates, and the number of features."""
+    rate = F.avg(F.when(F.col(label) > 0, 1.0).otherwise(0.0))
+    parts = [df.agg(F.count("*").alias(f"{name}_size"), rate.alias(f"anomaly_rate_{name}")) for name, df in (("train", training), ("test", test))]
+    sizes = parts[0].join(F.broadcast(parts[1]), F.lit(True))  # one row each
+    quality = evaluate(model, test, label).join(F.broadcast(sizes), F.lit(True))
+    return quality.withColumn("feature_count", F.lit(len(model_columns(model))))

@@ -5,10 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from registry.catalog import CHECKS, QUERIES
 
-# Queries without SQL: models, streams whose output depends on the watermark, schemas.
+# Queries without SQL: models and what they score, explanations, schemas.
 NO_SQL = {
     "schema_report", "train_model", "predict", "feature_importance", "explain_predictions", "global_importance",
-    "evidence_pack", "stream_score", "stream_run", "stream_counts",
+    "evidence_pack", "stream_score", "stream_run", "training_report", "stored_model",
 }
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import baseline, drift, ensemble, evaluate, explain, features, model, reports
+from riskloom.operators import baseline, drift, ensemble, evaluate, explain, features, impact, model, reports
+from riskloom.operators.model_store import ModelStore
+from riskloom.streaming.score import score_batch
 from tests.helpers import by_id, events, labels
 
 
@@ -107,13 +109,26 @@ def test_split_weight_and_model(spark, tmp_path):
     assert quality["roc_auc"] > 0.9 and quality["total"] == 80
     weights = model.importances(fit)
     assert set(weights) == set(model.model_columns(fit)) and sum(weights.values()) == pytest.approx(1.0)
-    fit.write().overwrite().save(str(tmp_path / "model"))
-    from pyspark.ml import PipelineModel
-
-    again = PipelineModel.load(str(tmp_path / "model"))
     f = features.build_features(ev)
-    a, b = by_id(model.predict(fit, f), "anomaly_score"), by_id(model.predict(again, f), "anomaly_score")
-    assert a == b
+    store = ModelStore(spark, str(tmp_path / "models"))
+    with pytest.raises(ValueError):
+        store.load()
+    parts = data.filter("not is_test"), data.filter("is_test")
+    assert (store.save(fit, *parts), store.save(model.train(parts[0], trees=1, depth=1), *parts), store.versions()) == (1, 2, [1, 2])
+    # another session of the application shares no state with the one that saved
+    other = spark.newSession()
+    again = ModelStore(other, str(tmp_path / "models")).load(1)
+    f.write.parquet(str(tmp_path / "features"))
+    a, b = by_id(model.predict(fit, f), "anomaly_score"), by_id(again.score(other.read.parquet(str(tmp_path / "features"))), "anomaly_score")
+    assert a == b and store.load().version == 2 and again.columns == model.model_columns(fit) and again.importance == weights
+    report = again.report.first()
+    assert (report["train_size"], report["test_size"], report["feature_count"], report["roc_auc"]) == (320, 80, len(again.columns), quality["roc_auc"])
+    assert report["anomaly_rate_train"] == pytest.approx(0.1) and report["anomaly_rate_test"] == pytest.approx(0.1)
+    assert [r["version"] for r in store.reports().orderBy("version").collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        again.score(f.drop(again.columns[0]))
+    counts, hits, log = score_batch(f, again.scoring(impact.rules(spark)), "2024-04-01 00:00:00")
+    assert counts.first()["processed"] == 400 and hits.count() == log.count() == counts.first()["anomaly_count"] > 0
     raw_nulls = f.filter(F.col("delta_1").isNull()).count()
     assert model.predict(fit, f).filter(F.col("delta_1").isNull()).count() == raw_nulls
 
