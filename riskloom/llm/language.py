@@ -207,10 +207,11 @@ def spans_of(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
 
 
 class Predictor:
-    """Languages of a list of texts."""
+    """Languages of a list of texts. A model travels to tasks as the plain values in it."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, values: dict):
+        self.model = Model.__new__(Model)
+        self.model.__dict__.update(values)
 
     def __call__(self, texts: list[str | None], with_spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:
         model, number = self.model, {}
@@ -240,7 +241,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     Text in a script that no language uses takes the most frequent language, score 0. Rows without doc_id
     are predicted like others, held_out false. Repeated rows stay; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
 
     def predict(batch: pa.RecordBatch):
         lang, score, spans = Predictor(sent.value)(batch.column(2).to_pylist(), with_spans)
@@ -265,12 +266,12 @@ def kept(docs: DataFrame, model: Model, share: float) -> DataFrame:
 
     If no language was learnt, every text with letters is kept.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
     place = docs.columns.index("text")
 
     def choose(batch: pa.RecordBatch):
         texts = batch.column(place).to_pylist()
-        if sent.value.languages:
+        if sent.value["languages"]:
             lang, score, _ = Predictor(sent.value)(texts)
             good = [x != UNKNOWN and s >= share for x, s in zip(lang, score, strict=True)]
         else:

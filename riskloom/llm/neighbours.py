@@ -7,11 +7,12 @@ probable parts and compared there with every vector, in double precision. How ma
 measured on the sample: the fewest that find RECALL of the sample's true neighbours.
 
 Equal vectors are filed once with their smallest ids, so a vector that fills a third of the table is one
-row. Parts are compared in blocks of bounded size on both sides.
+row. Parts are compared in blocks of bounded size on both sides, which give out one row for each query.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,9 @@ from riskloom.llm.common import arrow_map, written
 TOP = 20
 EVERY = 20
 SAMPLE = 8192
-PART_ROWS = 1024
+PART_SHARE = 0.25  # parts for each row under the square root
 MAX_PARTS = 256
+HELD = 5  # every so many sample vectors are kept out of the training
 RECALL = 0.95
 NEAR = 10
 GRAPH_ROWS = 128
@@ -135,21 +137,24 @@ def trained(x: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidden
 def fit(x: np.ndarray, rows: int, seed: int = 7) -> Router:
     """Parts and router from a sample; `rows` is the size of the whole table."""
     rng = np.random.default_rng(seed)
-    parts = int(max(1, min(MAX_PARTS, rows // PART_ROWS, len(x) // 32)))
+    parts = int(max(1, min(MAX_PARTS, math.isqrt(rows) * PART_SHARE, len(x) // 32)))
     if parts == 1:
         n = x.shape[1]
         return Router(np.zeros((n, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    near = graph_of(x, min(NEAR, len(x) - 1))
-    part = balanced_parts(x, near, parts, rng)
-    targets = np.zeros((len(x), parts))
-    np.add.at(targets, (np.arange(len(x))[:, None], part[near]), 1 / near.shape[1])
-    targets[np.arange(len(x)), part] += 0.5
-    router = trained(x, targets / targets.sum(1, keepdims=True), rng)
-    # probes: the rank, among a query's parts, of the part that each true neighbour is filed under
-    filed, asked = router.parts(x, 1)[:, 0], router.parts(x, parts)
+    held = np.arange(len(x)) % HELD == 0
+    own = x[~held]
+    near = graph_of(own, min(NEAR, len(own) - 1))
+    part = balanced_parts(own, near, parts, rng)
+    targets = np.zeros((len(own), parts))
+    np.add.at(targets, (np.arange(len(own))[:, None], part[near]), 1 / near.shape[1])
+    targets[np.arange(len(own)), part] += 0.5
+    router = trained(own, targets / targets.sum(1, keepdims=True), rng)
+    # probes: the rank, among an unseen query's parts, of the part that each true neighbour is filed under
+    filed, asked = router.parts(x, 1)[:, 0], router.parts(x[held], parts)
     place = np.empty_like(asked)
     np.put_along_axis(place, asked, np.arange(parts)[None, :], 1)
-    needed = np.sort(np.take_along_axis(place, filed[graph_of(x, min(TOP, len(x) - 1))], 1).ravel())
+    true = graph_of(x, min(TOP, len(x) - 1))[held]
+    needed = np.sort(np.take_along_axis(place, filed[true], 1).ravel())
     router.probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
     return router
 
@@ -196,11 +201,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     classes = written(classes, "ann-classes")
     count = classes.count()
     router = fit(sample_of(classes, count), count)
-    sent = vectors.sparkSession.sparkContext.broadcast(router)
+    sent = vectors.sparkSession.sparkContext.broadcast((router.w1, router.b1, router.w2, router.b2, router.probes))
 
     def file(probes: int, columns: list[str]):
         def place(batch: pa.RecordBatch):
-            parts = sent.value.parts(matrix(pa.Table.from_batches([batch])), probes)
+            parts = Router(*sent.value).parts(matrix(pa.Table.from_batches([batch])), probes)
             kept = [batch.column(c) for c in columns]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*kept, lists], names=[*columns, "parts"])
@@ -234,7 +239,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     )
 
     def compare(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"k1": [], "k2": [], "vec_id": [], "score": []}
+        keys, best = ([], []), []
         if index.num_rows and queries.num_rows:
             x, ids = matrix(index), index["ids"].to_pylist()
             for at in range(0, queries.num_rows, 256):
@@ -243,24 +248,21 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
                 scores = q @ x.T
                 k = min(top + 1, len(x))
                 least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
-                keys = zip(own["k1"].to_pylist(), own["k2"].to_pylist(), strict=True)
-                for n, (k1, k2) in enumerate(keys):
+                for n in range(len(q)):
                     some = np.flatnonzero(scores[n] >= least[n] - 1e-9 * max(1.0, abs(least[n])))
                     exact = (x[some] * q[n]).sum(1).tolist()  # the same for a pair wherever it is compared
-                    best = sorted((-s, i) for s, c in zip(exact, some, strict=True) for i in ids[c])[: top + 1]
-                    out["k1"] += [k1] * len(best)
-                    out["k2"] += [k2] * len(best)
-                    out["vec_id"] += [i for _, i in best]
-                    out["score"] += [-s for s, _ in best]
-        return pa.table({"k1": pa.array(out["k1"], pa.int64()), "k2": pa.array(out["k2"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+                    found = sorted((-s, i) for s, c in zip(exact, some, strict=True) for i in ids[c])[: top + 1]
+                    best.append([{"minus": s, "vec_id": i} for s, i in found])
+                for to, name in zip(keys, ("k1", "k2"), strict=True):
+                    to.extend(own[name].to_pylist())
+        kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
+        return pa.table({"k1": pa.array(keys[0], pa.int64()), "k2": pa.array(keys[1], pa.int64()), "best": pa.array(best, kind)})
 
     keys = ["part", "block", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
-    order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
-    found = written(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= top + 1).drop("n"), "ann-found")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "k1 long, k2 long, best array<struct<minus: double, vec_id: long>>")
+    # a query has one row from each part it asked; sorted by score, then id
+    found = found.groupBy("k1", "k2").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, top + 1).alias("best"))
     asked = asks.select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct()
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    answers = asked.join(found, ["k1", "k2"]).filter(F.col("query_id") != F.col("vec_id"))
-    return (
-        answers.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-    )
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, top)
+    answers = asked.join(written(found, "ann-found"), ["k1", "k2"]).select("query_id", F.posexplode(others).alias("at", "b"))
+    return answers.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))

@@ -40,18 +40,36 @@ RUNS = re.compile(f"([{SPACE}]{{2,}})")
 SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 
+# Tokens the vocabulary's file adds to its ranks; written out in a text, they are themselves.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 class Encoder:
     """Text to ids of a byte-level BPE vocabulary given as ranks; `pattern` is the tokenizer's word split."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
         made = [tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (SINGLE, pattern)]
         self.single, self.whole = made[0].encode_ordinary, made[1].encode_ordinary
+        self.special = special
+        longest_first = sorted(special, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
 
     def ids(self, text: str) -> list[int]:
+        """Ids of a text; special tokens are cut out first, and what stands between them is encoded on its own."""
+        if self.marks is None:
+            return self.plain(text)
+        first, *rest = self.marks.split(text)
+        ids = self.plain(first)
+        for mark, after in zip(rest[::2], rest[1::2], strict=True):
+            ids.append(self.special[mark])
+            ids += self.plain(after)
+        return ids
+
+    def plain(self, text: str) -> list[int]:
         """The pattern keeps all but the last character of a run of white space as one word; the last goes with what follows."""
         first, *rest = RUNS.split(text)
         ids = self.single(first)
@@ -62,16 +80,17 @@ class Encoder:
         return ids
 
 
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(ranks_path: str) -> Encoder:
+def encoder(ranks_path: str, special: dict[str, int]) -> Encoder:
     """One encoder for each worker process."""
-    if ranks_path not in ENCODERS:
+    key = (ranks_path, *special.items())
+    if key not in ENCODERS:
         import public_tokenizers
 
-        ENCODERS[ranks_path] = Encoder(ranks_path, public_tokenizers.PATTERN)
-    return ENCODERS[ranks_path]
+        ENCODERS[key] = Encoder(ranks_path, public_tokenizers.PATTERN, special)
+    return ENCODERS[key]
 
 
 def cuts(total: int, size: int) -> list[tuple[int, int]]:
@@ -80,15 +99,17 @@ def cuts(total: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(total, head))] + [(at, size) for at in range(head, total, size)]
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, ranks_path: str, size: int = SEQUENCE, with_ids: bool = False, special: dict[str, int] = SPECIAL
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every text, each closed by END_ID.
 
-    A null text counts as empty and is one piece holding END_ID alone. Special tokens written out in a
-    text are ordinary text. `ids` are little-endian unsigned 32-bit numbers.
+    A null text counts as empty and is one piece holding END_ID alone. A special token written out in a text
+    is that token, as in the tokenizers library; with `special` empty it is ordinary text. `ids` are little-endian unsigned 32-bit numbers.
     """
 
     def cut(batch: pa.RecordBatch):
-        encode = encoder(ranks_path).ids
+        encode = encoder(ranks_path, special).ids
         rows = ([], [], [], [], [], [])
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = array("I", encode(text) if text else [])
@@ -203,10 +224,12 @@ def pack_pieces(
     )
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, ranks_path: str, size: int = SEQUENCE, with_ids: bool = False, special: dict[str, int] = SPECIAL
+) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     A null text is empty: one piece, the end id. Repeated rows are packed as often as they occur. A row
     without doc_id is packed under a null doc_id. An empty table gives no rows; extra columns are ignored.
     """
-    return pack_pieces(token_pieces(docs, ranks_path, size, with_ids), size)
+    return pack_pieces(token_pieces(docs, ranks_path, size, with_ids, special), size)

@@ -38,7 +38,7 @@ def test_given_vectors(spark, sf_dir):
 
 
 def test_parts_and_blocks(spark, monkeypatch):
-    for name, value in {"PART_ROWS": 100, "BLOCK": 60, "QUERY_BLOCK": 7, "SAMPLE": 700}.items():
+    for name, value in {"PART_SHARE": 0.4, "BLOCK": 60, "QUERY_BLOCK": 7, "SAMPLE": 700}.items():
         monkeypatch.setattr(neighbours, name, value)
     r = np.random.default_rng(3)
     centres = r.normal(size=(12, 16))
@@ -54,6 +54,18 @@ def test_parts_and_blocks(spark, monkeypatch):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_parts_are_used_on_small_tables_and_recall_holds_for_unseen_queries():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1000, 24))
+    router = neighbours.fit(x, 1000)
+    parts = router.w2.shape[1]
+    assert parts >= 7 and 1 <= router.probes <= parts
+    q = r.normal(size=(200, 24))
+    filed, asked = router.parts(x, 1)[:, 0], router.parts(q, router.probes)
+    true = neighbours.top_ids(q @ x.T, 20)
+    assert np.mean([(filed[t][:, None] == a).any(1).mean() for t, a in zip(true, asked, strict=True)]) >= 0.9
+
+
 def test_copies_and_ties(spark):
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(200 + i, [0.0, 1.0]) for i in range(3)] + [(300, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)

@@ -17,7 +17,6 @@ from riskloom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-LIBRARY.encode_special_tokens = True
 
 
 def library_ids(text):
@@ -27,11 +26,19 @@ def library_ids(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　'stmdvel.,9aZ"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_equal_the_library(text):
-    assert packing.encoder(RANKS).ids(text) == library_ids(text)
+    assert packing.encoder(RANKS, packing.SPECIAL).ids(text) == library_ids(text)
 
 
-def test_special_token_in_text_is_text():
-    assert packing.encoder(RANKS).ids("a<|endoftext|>b") == library_ids("a<|endoftext|>b")
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>  <|endoftext|>\n y", "<|endoftext|", "a <|endoftext|><|endoftext|>b "])
+def test_special_tokens_in_a_text_are_those_of_the_library(text):
+    assert packing.encoder(RANKS, packing.SPECIAL).ids(text) == library_ids(text)
+    assert 50256 not in packing.encoder(RANKS, {}).ids(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "ab", "<|", "endoftext|>", "\u3000"]), max_size=8))
+def test_texts_around_special_tokens(parts):
+    assert packing.encoder(RANKS, packing.SPECIAL).ids("".join(parts)) == library_ids("".join(parts))
 
 
 def held(rows, texts, size):
