@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.core import CALENDAR, WINDOWED, feature_frame, feature_select, micros, query, with_features, with_raw
-from registry.fixtures import raw_events
+from registry.core import CALENDAR, WINDOWED, feature_frame, feature_select, micros, query, rounded, with_features, with_raw, with_scores
+from registry.fixtures import r6, raw_events
 from registry.q_explain import WEIGHTS
 from registry.q_reports import scored
 from riskloom.operators import explain, impact
@@ -110,10 +110,16 @@ def stream_score(spark, d):
     return spark.read.parquet(f"{out}/anomalies").select("event_id", "entity_id", "anomaly_score", "summary", "scenario", "cost")
 
 
-@query("stream_run")
+@query(
+    "stream_run",
+    with_scores(
+        f"""select n as total_processed, hits as total_anomalies, {r6('hits / greatest(n, 1)')} as anomaly_rate from
+ (select count(*) as n, count(*) filter (baseline_score >= 0.5) as hits from scored)"""
+    ),
+)
 def stream_run(spark, d):
     """Totals of the whole run."""
-    return stream_totals(spark, _scored_stream(spark, d))
+    return rounded(stream_totals(spark, _scored_stream(spark, d)), ["anomaly_rate"])
 
 
 def _window_sql(size_us: int, slide_us: int) -> str:

@@ -88,6 +88,7 @@ def contributions(
 _CONTRIBUTOR = """named_struct('feature', c.feature, 'value', c.value, 'zscore', c.zscore, 'importance', c.importance,
  'contribution', abs(c.zscore) * c.importance, 'direction', CASE WHEN c.zscore > 0 THEN 'high' ELSE 'low' END)"""
 
+# Words for a deviation and the z-scores they start at; phrases of counts and times.
 _PHRASE = """concat(
  CASE WHEN c.zscore > 2 THEN 'very high' WHEN c.zscore > 1 THEN 'high'
   WHEN c.zscore < -2 THEN 'very low' WHEN c.zscore < -1 THEN 'low' ELSE 'unusual' END,

@@ -14,31 +14,39 @@ from riskloom.plans.small import broadcast_if_small, has_rows
 # Below this many rows the built-in per-partition limit is already cheap.
 DIRECT_LIMIT = 10_000
 SPREAD = 256
+PREFIX_DIGITS = 3
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "event_id", seed: str = "") -> DataFrame:
-    """The n rows with the smallest hash of `id_col`.
+    """The n rows with the smallest hash of `id_col`; fewer if there are fewer.
 
-    A large n first drops rows whose hash lies far above the expected n-th smallest; should that
-    leave too few rows, the cut is widened until it does not bind.
+    A large n is a filter, not a sort: a histogram of hash prefixes tells which prefix holds the n-th row, one
+    of its longer prefixes in the next pass, and so on until few rows share it. Rows below it are all taken,
+    and of those that share it the first ones. Copies of one id that the cut falls among are told apart by
+    the rest of the row.
     """
     order = hash_order(id_col, seed)
     if n <= DIRECT_LIMIT:
         return df.orderBy(order, id_col).limit(n)
-    total = df.count()
-    cut = _cut(n, total)
-    while cut < 1.0:
-        near = df.filter(unit_from_hex(order) < cut)
-        if near.count() >= n:
-            return near.orderBy(order, id_col).limit(n)
-        cut *= 2
-    return df.orderBy(order, id_col).limit(n)
-
-
-def _cut(n: int, total: int) -> float:
-    if total <= n:
-        return 1.0
-    return min((n + 8.0 * math.sqrt(n) + 16.0) / total, 1.0)
+    columns = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    hashed = F.concat(F.coalesce(order, F.lit("")), F.md5(columns))
+    rows, cut, left = df.withColumn("_h", hashed), "", n
+    while True:
+        size = len(cut) + PREFIX_DIGITS
+        inside = rows.filter(F.col("_h").startswith(cut)) if cut else rows
+        # at most 16 ** PREFIX_DIGITS rows
+        bins = inside.groupBy(F.substring("_h", 1, size).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        for b in bins:
+            if b["n"] >= left:
+                cut, share = b["p"], b["n"]
+                break
+            left -= b["n"]
+        else:
+            return df  # no more than n rows in all
+        if share <= DIRECT_LIMIT or size >= 64:
+            break
+    below = rows.filter(F.substring("_h", 1, len(cut)) < cut)
+    return below.union(rows.filter(F.col("_h").startswith(cut)).orderBy("_h").limit(left)).drop("_h")
 
 
 def sample_per_group(

@@ -29,7 +29,11 @@ class Scoring:
 
 def score_batch(df: DataFrame, scoring: Scoring, logged_at) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, anomalies with explanation and impact, prediction log rows)."""
-    scored = scoring.score(df)
+    return tell_batch(scoring.score(df), scoring, logged_at)
+
+
+def tell_batch(scored: DataFrame, scoring: Scoring, logged_at) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of rows that have their score."""
     hits = scored.filter(F.col("is_anomaly") == 1)
     told = attach_impact(explain(hits, scoring.stats, scoring.importance), scoring.rule_rows)
     anomalies = told.select(
@@ -58,9 +62,9 @@ def run_scoring_stream(
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
+        df = scoring.score(df).persist()  # three tables are made of it
         at = df.agg(F.max("ts")).first()[0]
-        counts, anomalies, log = score_batch(df, scoring, at)
+        counts, anomalies, log = tell_batch(df, scoring, at)
         for name, table in (("counts", counts), ("anomalies", anomalies), ("predictions", log)):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
         df.unpersist()

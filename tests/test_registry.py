@@ -8,7 +8,7 @@ from registry.catalog import CHECKS, QUERIES
 # Queries without SQL: models and what they score, explanations, schemas.
 NO_SQL = {
     "schema_report", "train_model", "predict", "feature_importance", "explain_predictions", "global_importance",
-    "evidence_pack", "stream_score", "stream_run", "training_report", "stored_model",
+    "evidence_pack", "stream_score", "training_report", "stored_model",
 }
 
 

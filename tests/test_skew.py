@@ -74,6 +74,17 @@ def test_sample_widens_when_copies_crowd_the_cut(spark, monkeypatch):
     assert sampling.sample_per_group(df, ["g"], 100).count() == 100
 
 
+def test_large_samples_are_filtered_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "DIRECT_LIMIT", 20)
+    df = spark.range(40_000).select(F.col("id").cast("string").alias("event_id"), "id")
+    want = {r[0] for r in df.orderBy(F.md5("event_id"), "event_id").limit(25_000).collect()}
+    out = sampling.sample_rows(df, 25_000)
+    assert {r[0] for r in out.select("event_id").collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and "TakeOrderedAndProject(limit=" in plan
+    assert int(plan.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= 20
+
+
 def test_top_per_group_beyond_the_group_limit(spark):
     df = spark.range(6000).select("id", (F.col("id") % 2).alias("g"))
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "50")
