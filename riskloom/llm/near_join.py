@@ -174,13 +174,14 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def shared_signatures(members: DataFrame) -> DataFrame:
-    """(sig, key) -> (sig, key, pivot) of the signatures with several classes; pivot is the smallest of them.
+    """(sig, key) -> (sig, key, pivot, nth) of the signatures with several classes, which are numbered; the smallest is the pivot.
 
     One exchange, sorted; a task walks through its rows and holds no more than a batch of them.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = last = pivot = None  # the run the last batch ended in
+        reached = 0  # the number of its last class
         shown = True  # whether its pivot has been given out
         for batch in batches:
             sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -194,19 +195,21 @@ def shared_signatures(members: DataFrame) -> DataFrame:
             first = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), -1))
             own = np.where(first >= 0, key[np.maximum(first, 0)], pivot if pivot is not None else 0)
             more = new & ~starts  # members beside the pivot
+            seen = np.cumsum(more)
+            nth = seen - np.where(first >= 0, seen[np.maximum(first, 0)], -reached)
             held = np.zeros(len(sig), bool)
             held[first[more & (first >= 0)]] = True
             out = more | held
-            out_sig, out_key, out_pivot = sig[out], key[out], own[out]
+            found = [sig[out], key[out], own[out], nth[out]]
             if not shown and (more & (first < 0)).any():
-                out_sig, out_key, out_pivot = (np.concatenate([[v], c]) for v, c in ((at, out_sig), (pivot, out_key), (pivot, out_pivot)))
+                found = [np.concatenate([[v], c]) for v, c in zip((at, pivot, pivot, 0), found, strict=True)]
                 shown = True
             if first[-1] >= 0:
                 pivot, shown = key[first[-1]], bool(held[first[-1]])
-            at, last = sig[-1], key[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_sig, out_key, out_pivot)], names=["sig", "key", "pivot"])
+            at, last, reached = sig[-1], key[-1], nth[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["sig", "key", "pivot", "nth"])
 
-    return members.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(runs, "sig long, key long, pivot long")
+    return members.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(runs, "sig long, key long, pivot long, nth long")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -362,11 +365,15 @@ def _components_of(docs: DataFrame, words: int, percent: int, mine: Scratch) ->
         links = written(links.union(more), "near-links")
         roots = components(links)
 
-    known = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # a signature of two classes is settled by its one pair
+    several = shared.filter("nth = 2").select("sig")
+    several = written(shared.join(several, "sig", "left_semi").select("sig", "key", "pivot"), "near-several")
+    mine.drop(shared)
+    known = several.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_sigs = (
         known.groupBy("sig")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held"))
-        .filter((F.col("lo") != F.col("hi")) & (F.col("held") > 2))
+        .filter(F.col("lo") != F.col("hi"))
         .select("sig", "held")
     )
     left = written(known.join(written(open_sigs, "near-open-sigs"), "sig").select("sig", "key", "pivot", "root", "held"), "near-open")
