@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain, features, impact
+from riskloom.plans.hotkeys import SkewLimits
 from riskloom.schema import RAW_EVENTS
 from riskloom.streaming import counts
 from riskloom.streaming.features import FeatureStream, run_feature_stream
@@ -69,24 +71,37 @@ def test_only_rows_a_late_one_reaches_are_corrected(spark, tmp_path):
 
 
 def test_any_order_of_arrival_equals_batch(spark, tmp_path, monkeypatch):
-    from riskloom.plans.hotkeys import SkewLimits
     from riskloom.streaming import features as sf
 
-    monkeypatch.setattr(sf, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(sf, "COMPACT_EVERY", 1)
     monkeypatch.setattr(sf, "NAMED_DAYS", 3)
-    ev = _series(spark)
+    ev = _series(spark, 24)
     lb = labels(spark, [("u", 500, None, "fraud", 1)])
-    ids = [f"e{i:03d}" for i in range(60)]
+    ids = [f"e{i:03d}" for i in range(24)]
     random.Random(1).shuffle(ids)
-    parts = [ids[:25], ids[25:58], ids[58:]]
-    worker = FeatureStream(str(tmp_path / "s"), str(tmp_path / "o"), lb, limits=SkewLimits(window_rows=2, segment_rows=5))
+    parts = [ids[:9], ids[9:22], ids[22:]]
+    worker = FeatureStream(str(tmp_path / "s"), str(tmp_path / "o"), lb)
     _arrive(worker, ev, parts)
-    want = features.build_features(ev, lb)
-    same_rows(worker.current(spark).select(*want.columns), want)
     _arrive(worker, ev, parts[-1:], 2)  # the last batch again
+    want = features.build_features(ev, lb)
     same_rows(worker.current(spark).select(*want.columns), want)
 
 
+@pytest.mark.parametrize("segment_rows", [200_000, 4])
+def test_rows_that_late_ones_change(spark, segment_rows):
+    """Against the definition, with an entity in one segment and in many."""
+    rng, day = random.Random(7), 86_400
+    at_ = sorted(rng.randrange(0, 20 * day) for _ in range(40))
+    late = {rng.randrange(40) for _ in range(5)}
+    rows = events(spark, [(f"e{i:02d}", "u", t, 1) for i, t in enumerate(at_)])
+    names = [f"e{i:02d}" for i in late]
+    rows = rows.select("source_dataset", "event_id", "entity_id", "ts", F.col("event_id").isin(names).alias("_late"), (~F.col("event_id").isin(names)).alias("_stored"))
+    worker = FeatureStream("unused", "unused", limits=SkewLimits(window_rows=2_000, segment_rows=segment_rows))
+    got = {r["event_id"] for r in worker._changed(rows).collect()}
+    reached = {i for i, t in enumerate(at_) if any(k <= i <= k + 2 or k < i and t - at_[k] <= day for k in late)}
+    assert got == {f"e{i:02d}" for i in reached - late}
+
+
 def test_compacted_tails_serve_later_batches(spark, tmp_path):
     worker = FeatureStream(str(tmp_path / "state"), str(tmp_path / "out"))
     worker.process(events(spark, [("a", "u", 0, 1), ("b", "u", 10, 4)]), 49)
