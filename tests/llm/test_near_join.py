@@ -135,20 +135,6 @@ def test_signatures_never_miss_a_linked_pair():
             assert any(len([s for s in both if s % 2 == i]) > max(sa[1][i], sb[1][i]) for i in (0, 1))
 
 
-@pytest.mark.parametrize("batch", [10_000, 3, 1])
-def test_members_of_signatures_are_numbered(spark, batch):
-    r = random.Random(3)
-    rows = [(s, r.randrange(40)) for s in range(60) for _ in range(r.choice([1, 1, 2, 3, 9]))]
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    try:
-        got = near_join.shared_signatures(spark.createDataFrame(rows, "sig long, key long")).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    keys = {s: sorted({k for t, k in rows if t == s}) for s, _ in rows}
-    assert sorted(map(tuple, got)) == [(s, k, own[0], n) for s, own in sorted(keys.items()) if len(own) > 1 for n, k in enumerate(own)]
-
-
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "A b"), (5, "a  B"), (5, "a b"), (None, "a b"), (6, "one"), (7, "x " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
