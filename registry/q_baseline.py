@@ -75,7 +75,7 @@ def _part_sql(expr: str, name: str) -> str:
 
 
 def _parts(spark, d, suffix, name):
-    s = scores(spark, d, parts=True)
+    s = scores(spark, d, parts=True, every_feature=False)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_{suffix}").alias(name)) for c in C.BASELINE_FEATURES])
     out = s.select("event_id", F.explode(pairs).alias("p")).select("event_id", "p.*").filter(F.col(name).isNotNull())
     return rounded(out, [name])
@@ -117,7 +117,7 @@ def percentile_score(spark, d):
 
 @query("baseline_score", with_scores(f"select event_id, {r6('baseline_score')} as baseline_score from scored"))
 def baseline_score(spark, d):
-    return rounded(scores(spark, d).select("event_id", F.round("baseline_score", SCORE_DIGITS).alias("baseline_score")), ["baseline_score"])
+    return rounded(scores(spark, d, every_feature=False).select("event_id", F.round("baseline_score", SCORE_DIGITS).alias("baseline_score")), ["baseline_score"])
 
 
 @query("profile_join", with_scores("select source_dataset, entity_type, count(*) as events, count(*) filter (baseline_score > 0) as scored from scored group by all"))

@@ -32,12 +32,6 @@ def scoring_features(spark, d):
     return f.withColumns({c: F.round(F.col(c).cast("double"), SCORE_DIGITS) for c in C.BASELINE_FEATURES})
 
 
-def scores(spark, d, parts=False):
-    """Events scored against profiles learnt from the same, once written, feature table."""
-    f = cut_lineage(scoring_features(spark, d), "features")
-    return baseline.score_events(f, baseline.learn_profile(f), parts=parts)
-
-
 # What consumers of scores read: written once, so that filtering and ranking by a score neither
 # recompute it nor carry its long expression through the optimizer.
 SCORED_COLUMNS = [
@@ -45,9 +39,19 @@ SCORED_COLUMNS = [
 ]
 
 
+def scores(spark, d, parts=False, every_feature=True):
+    """Events scored against profiles learnt from the same, once written, feature table: of all its columns, or
+    of those that scores and their consumers read."""
+    f = scoring_features(spark, d)
+    if not every_feature:
+        f = f.select(*dict.fromkeys([*SCORED_COLUMNS, *C.BASELINE_FEATURES]))
+    f = cut_lineage(f, "features")
+    return baseline.score_events(f, baseline.learn_profile(f, stored=True), parts=parts)
+
+
 def scored(spark, d, every_feature=False):
     """Score table, the score cut to the digits the checks use."""
-    s = scores(spark, d).withColumn("baseline_score", F.round("baseline_score", SCORE_DIGITS))
+    s = scores(spark, d, every_feature=every_feature).withColumn("baseline_score", F.round("baseline_score", SCORE_DIGITS))
     return cut_lineage(s if every_feature else s.select(*SCORED_COLUMNS, "baseline_score"), "scored")
 
 

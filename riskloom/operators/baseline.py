@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom import config as C
 from riskloom.functions.expressions import day_of_week, hour_of_day
-from riskloom.operators.reports import top_anomalies, unpivot_numeric
-from riskloom.plans.ranks import counted, counted_quantiles, summary
+from riskloom.operators.reports import top_anomalies
+from riskloom.plans.ranks import statistics
 from riskloom.plans.sampling import sample_per_group
 from riskloom.plans.small import broadcast_if_small
 
@@ -25,24 +25,19 @@ def learn_profile(
     features: DataFrame,
     sample_size: int | None = None,
     columns: Sequence[str] = tuple(C.BASELINE_FEATURES),
+    stored: bool = False,
 ) -> DataFrame:
     """One row per (signal, feature) with more than ten values.
 
-    All rows count; quantiles come from distributed ranks. Only a caller that asks for a sample gets one:
+    All rows count; quantiles come from distributed ranks. `stored` features are read as they are, others are written first. Only a caller that asks for a sample gets one:
     at most `sample_size` rows of each signal (smallest event-id hash), learnt from in the same way.
     """
     present = [c for c in columns if c in features.columns]
     known = features.filter(F.col("source_dataset").isNotNull())
     if sample_size is not None:
         known = sample_per_group(known, SIGNAL, sample_size)
-    long = unpivot_numeric(known, present, SIGNAL)
-    group = [*SIGNAL, "feature"]
-    counts = counted(long, group, "value")  # each value of a signal's feature once: every statistic is read off it
-    ranks = counted_quantiles(counts, group, list(PERCENTILES.values()))
-    wide = ranks.groupBy(*group).agg(*[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for n, p in PERCENTILES.items()])
     return (
-        summary(counts, group)
-        .join(wide, group)
+        statistics(known, SIGNAL, present, PERCENTILES, stored and sample_size is None)
         .filter(F.col("n") > MIN_VALUES)
         .withColumn("iqr", F.col("p75") - F.col("p25"))
         .select(F.concat_ws("::", *SIGNAL).alias("signal_id"), *SIGNAL, "feature", "n", *STATS)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import config as C
-from riskloom.plans.ranks import counted, counted_quantiles, summary
+from riskloom.plans.ranks import statistics
 
 # A column shows its distinct count below the first, its values up to the second.
 SHOW_COUNT_BELOW = 20
 SHOW_VALUES_UPTO = 10
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def source_summary(df: DataFrame) -> DataFrame:
@@ -113,15 +114,8 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum of every feature column."""
     columns = list(columns or feature_columns(df))
-    long = unpivot_numeric(df, columns)
-    counts = counted(long, ["feature"], "value")
-    basics = summary(counts, ["feature"])
-    q = counted_quantiles(counts, ["feature"], [0.25, 0.5, 0.75])
-    quartiles = q.groupBy("feature").agg(
-        *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    )
-    stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return basics.join(quartiles, "feature").select("feature", "n", *[F.round(s, digits).alias(s) for s in stats])
+    stats = ["mean", "std", "min", *QUARTILES, "max"]
+    return statistics(df, [], columns, QUARTILES).select("feature", "n", *[F.round(s, digits).alias(s) for s in stats])
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
@@ -162,13 +156,7 @@ def score_histogram(df: DataFrame, score: str = "baseline_score", bins: int = 50
 
 def score_quartiles(df: DataFrame, score: str, by: str) -> DataFrame:
     """Box-plot numbers of a score per group, exact."""
-    counts = counted(df, [by], score)
-    basics = summary(counts, [by]).select(by, "n", "min", "max", "mean")
-    q = counted_quantiles(counts, [by], [0.25, 0.5, 0.75])
-    quartiles = q.groupBy(by).agg(
-        *[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    )
-    return basics.join(quartiles, by)
+    return statistics(df, [by], [score], QUARTILES).select(by, "n", "min", "max", "mean", *QUARTILES)
 
 
 def anomaly_rate(df: DataFrame, score: str = "baseline_score", threshold: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.plans.lineage import cut_lineage
-from riskloom.plans.small import broadcast_if_small
+from riskloom.plans.small import broadcast_if_small, has_rows
 
 
 # A group of at most so many rows is ranked in one task; larger ones are cut into ranges of about as many.
@@ -94,6 +94,11 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
 def counted_quantiles(counts: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """exact_quantiles of `counted` values."""
     group = list(group)
+    return _interpolated(_hits(counts, group, probs), group)
+
+
+def _hits(counts: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Rows of `counts` that hold a rank next to a probability `q`, with the size of their group."""
     ranked = running_totals(counts, group, ["_v"], ["_n"], stored=True)
     if group:
         sizes = ranked.groupBy(*[F.col(g).alias(f"_s_{g}") for g in group]).agg(F.max("cum__n").alias("_size"))
@@ -103,33 +108,92 @@ def counted_quantiles(counts: DataFrame, group: Sequence[str], probs: Sequence[f
         ranked = ranked.join(sizes, on)
     else:
         ranked = ranked.withColumn("_size", F.lit(ranked.agg(F.max("cum__n")).first()[0]).cast("long"))
-    first, last = F.col("cum__n") - F.col("_n"), F.col("cum__n")
-
-    def covers(rank):
-        return (rank >= first) & (rank < last)
-
-    def pos(q):
-        return q * (F.col("_size") - 1)
-
-    hits = ranked.select(
-        *group,
-        "_v",
-        "_n",
-        "cum__n",
-        "_size",
-        F.explode(
-            F.filter(
-                F.array(*[F.lit(float(p)) for p in probs]),
-                lambda q: covers(F.floor(pos(q))) | covers(F.ceil(pos(q))),
-            )
-        ).alias("q"),
-    )
-    at = pos(F.col("q"))
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    near = F.filter(at, lambda q: _covers(F.floor(_place(q))) | _covers(F.ceil(_place(q))))
+    return ranked.select(*counts.columns, "cum__n", "_size", F.explode(near).alias("q"))
+
+
+def _place(q: Column) -> Column:
+    return q * (F.col("_size") - 1)
+
+
+def _covers(rank: Column) -> Column:
+    return (rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n"))
+
+
+def _interpolated(hits: DataFrame, group: Sequence[str]) -> DataFrame:
+    at = _place(F.col("q"))
     picked = hits.groupBy(*group, "q").agg(
-        F.max(F.when(covers(F.floor(at)), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(F.ceil(at)), F.col("_v"))).alias("_b"),
+        F.max(F.when(_covers(F.floor(at)), F.col("_v"))).alias("_a"),
+        F.max(F.when(_covers(F.ceil(at)), F.col("_v"))).alias("_b"),
         F.max(at - F.floor(at)).alias("_f"),
     )
     return picked.select(
         *group, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile")
     )
+
+
+# A sketch names a value whose rank is off by at most this share of the rows, or so; what it names is only where to look.
+SKETCH_ERROR = 1 / 2_000
+# Errors that a bracket takes in on either side of its quantile.
+BRACKET = 2
+
+
+def statistics(
+    df: DataFrame, group: Sequence[str], columns: Sequence[str], probs: dict[str, float], stored: bool = False
+) -> DataFrame:
+    """n, mean, std, min, max and exact quantiles (named by `probs`) of every column that has values in a group.
+
+    Sketches give a narrow bracket around each quantile. The next pass counts each value inside a bracket by
+    itself and the values of every gap between brackets together, so ranks stay exact and few values are
+    shuffled. A rank that falls into a gap after all has that gap counted value by value as well. Rows are
+    written first, unless they are `stored` already; groups with a null name are left out.
+    """
+    group, key = list(group), [*group, "feature"]
+    known = df
+    for g in group:
+        known = known.filter(F.col(g).isNotNull())
+    rows = known.select(*group, *[(F.col(c).cast("double") + F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    if not stored:
+        rows = cut_lineage(rows, "values")
+    around = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-BRACKET * SKETCH_ERROR, BRACKET * SKETCH_ERROR)]
+
+    def of(i: int, c: str) -> Column:
+        v = F.col(f"_v{i}")
+        n, low, high = F.count(v), F.min(v), F.max(v)
+        # sums of equal values may be off by a digit
+        mean = F.when(low < high, F.avg(v)).otherwise(low).alias("mean")
+        std = F.when(n > 1, F.when(low < high, F.stddev_samp(v)).otherwise(0.0)).alias("std")
+        edges = F.percentile_approx(v, around, round(1 / SKETCH_ERROR)).alias("_e")
+        return F.struct(F.lit(c).alias("feature"), n.alias("n"), mean, std, low.alias("min"), high.alias("max"), edges)
+
+    wide = rows.groupBy(*group).agg(*[of(i, c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    each = F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(columns))])).alias("s")
+    basics = cut_lineage(wide.select(*group, each).select(*group, "s.*").filter("n > 0"), "sketches")
+
+    def hits(edges: DataFrame, pairs: int) -> DataFrame:
+        side = edges.groupBy(*group).agg(*[F.max(F.when(F.col("feature") == c, F.col("_e"))).alias(f"_e{i}") for i, c in enumerate(columns)])
+        side = broadcast_if_small(side)
+        beside = rows.join(side, group) if group else rows.crossJoin(side)
+        values = [F.struct(F.lit(c).alias("feature"), F.col(f"_v{i}").alias("_v"), F.col(f"_e{i}").alias("_e")) for i, c in enumerate(columns)]
+        long = beside.select(*group, F.explode(F.array(*values)).alias("p")).select(*group, "p.*").filter("_v IS NOT NULL")
+        inside = " OR ".join(f"(_e[{2 * i}] <= _v AND _v <= _e[{2 * i + 1}])" for i in range(pairs))
+        cell = " + ".join(f"if(_e[{i}] < _v, 1, 0)" for i in range(2 * pairs))
+        counts = long.groupBy(*key, F.expr(cell).alias("_cell"), F.when(F.expr(inside), F.col("_v")).alias("_own")).agg(
+            F.min("_v").alias("_v"), F.max("_v").alias("_most"), F.count("*").alias("_n")
+        )
+        counts = cut_lineage(counts.drop("_cell", "_own"), "counts")
+        return cut_lineage(_hits(counts, key, list(probs.values())), "hits")
+
+    found = hits(basics, len(probs))
+    gaps = found.filter(F.col("_v") < F.col("_most"))
+    if has_rows(gaps):
+        more = gaps.groupBy(*key).agg(
+            F.flatten(F.array(*[F.array(F.min(F.when(F.col("q") == p, F.col("_v"))), F.max(F.when(F.col("q") == p, F.col("_most")))) for p in probs.values()])).alias("_more")
+        )
+        none = F.array(*[F.lit(None).cast("double")] * (2 * len(probs)))
+        wider = basics.join(more, key, "left").select(*key, F.concat("_e", F.coalesce("_more", none)).alias("_e"))
+        found = hits(wider, 2 * len(probs))
+    ranks = _interpolated(found, key)
+    quantiles = ranks.groupBy(*key).agg(*[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
+    return basics.drop("_e").join(quantiles, key)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import alerts, asof, labels as lab, narrate, timeseries
+from riskloom.operators import alerts, asof, baseline, labels as lab, narrate, timeseries
 from riskloom.operators.entity_windows import entity_windows
 from riskloom.plans import ranks, sampling
 from riskloom.plans.hotkeys import SkewLimits, find_hot
@@ -55,6 +55,50 @@ def test_running_totals_and_quantiles_are_exact(spark, monkeypatch, range_rows):
     assert all(r["cum_n"] == 1000 - r["id"] for r in cum)
 
 
+def _kept_writes(monkeypatch):
+    """Tables that `ranks` writes from now on, by name."""
+    written, cut = {}, ranks.cut_lineage
+
+    def keep(df, name="step"):
+        written.setdefault(name, []).append(cut(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(ranks, "cut_lineage", keep)
+    return written
+
+
+@pytest.mark.parametrize("bracket", [2, 0])
+def test_statistics_are_exact_and_count_few_values(spark, monkeypatch, bracket):
+    monkeypatch.setattr(ranks, "BRACKET", bracket)  # without any width, ranks fall into gaps and a second pass counts those
+    written = _kept_writes(monkeypatch)
+    rng = random.Random(5)
+    rows = [("a", rng.gauss(0, 10), 1.5 if rng.random() < 0.4 else float(rng.randrange(9))) for _ in range(6000)]
+    rows += [("b", 2.0, None), ("b", 3.0, None), ("c", 0.1, -0.0), ("c", 0.1, 0.0), ("c", 0.1, None), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    probs = {"p1": 0.01, "p50": 0.5, "p77": 0.77, "p100": 1.0}
+    got = {(r["g"], r["feature"]): r for r in ranks.statistics(df, ["g"], ["v", "w"], probs).collect()}
+    assert set(got) == {("a", "v"), ("a", "w"), ("b", "v"), ("c", "v"), ("c", "w")}
+    for (g, c), row in got.items():
+        data = [r[1 if c == "v" else 2] for r in rows if r[0] == g and r[1 if c == "v" else 2] is not None]
+        assert row["n"] == len(data) and (row["min"], row["max"]) == (min(data), max(data))
+        assert row["mean"] == pytest.approx(np.mean(data), rel=1e-9, abs=1e-9)
+        assert row["std"] == pytest.approx(np.std(data, ddof=1), rel=1e-9, abs=1e-12)
+        for name, p in probs.items():
+            assert row[name] == pytest.approx(np.quantile(data, p), abs=1e-12)
+    assert got[("c", "v")]["std"] == 0.0
+    assert len(written["counts"]) == (1 if bracket else 2)
+    assert written["counts"][0].count() < 600  # of more than 6,000 distinct values
+    assert ranks.statistics(df.filter("false"), [], ["v", "w"], probs).count() == 0
+
+
+def test_profile_keeps_no_row_a_value(spark, monkeypatch):
+    written = _kept_writes(monkeypatch)
+    df = spark.range(30_000).select(F.lit("s").alias("source_dataset"), F.lit("user").alias("entity_type"), F.sqrt(F.col("id")).alias("amount"))
+    row = baseline.learn_profile(df).first()
+    assert row["p50"] == pytest.approx((np.sqrt(14_999) + np.sqrt(15_000)) / 2, rel=1e-12)
+    assert written["counts"][0].count() < 2_000  # one for each of the 30,000 distinct values before
+
+
 def test_sampling_paths_agree(spark, monkeypatch):
     df = spark.range(3000).select(F.col("id").cast("string").alias("event_id"), (F.col("id") % 3 == 0).cast("int").alias("g"))
     want = {r[0] for r in df.orderBy(F.md5("event_id"), "event_id").limit(400).collect()}
