@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import MICROS
+from riskloom.plans.lineage import cut_lineage
 from riskloom.plans.small import has_rows, local_if_small
 
 WHOLE_KEY = 4 * 10**18
@@ -116,7 +117,8 @@ def find_hot(
 
     local = local_if_small(table, limits.local_table_rows)
     if local is None:
-        return HotKeys(key, table.persist(), False)
+        # written, not persisted: the joins of one query then share what they broadcast of it, if it is broadcast at all
+        return HotKeys(key, cut_lineage(table, "hot-keys"), False)
     return HotKeys(key, local, True) if has_rows(local) else None
 
 

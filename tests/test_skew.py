@@ -29,6 +29,19 @@ def test_segment_length_follows_density(spark):
     assert find_hot(df, ["k"], "t", 86_400) is None
 
 
+def test_joins_share_the_broadcast_of_many_dense_keys(spark):
+    df = spark.createDataFrame([(f"k{i % 3}", i) for i in range(60)], "k string, t long")
+    hot = find_hot(df, ["k"], "t", 86_400, SkewLimits(2, 8, local_table_rows=0))
+    assert not hot.small
+    out = hot.tag(df, "t").unionByName(hot.tag(df.withColumn("t", F.col("t") + 1), "t"))
+    assert out.count() == 120 and out.filter("_hot").count() == 120
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") == 2
+    assert len([line for line in plan.splitlines() if " BroadcastExchange" in line and "ReusedExchange" not in line]) == 1
+    assert "InMemoryTableScan" not in plan
+
+
 @pytest.mark.parametrize("range_rows", [250_000, 7])
 def test_running_totals_and_quantiles_are_exact(spark, monkeypatch, range_rows):
     monkeypatch.setattr(ranks, "RANGE_ROWS", range_rows)
