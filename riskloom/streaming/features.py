@@ -50,10 +50,16 @@ def _last_rows(rows: DataFrame) -> DataFrame:
     return top_per_group(rows, ["entity_id"], [F.desc("ts"), F.desc("event_id")], LOOKBACK_ROWS)
 
 
-def _edge_rows(rows: DataFrame) -> DataFrame:
-    """First and last rows of each entity and day."""
+def _edge_rows(rows: DataFrame, in_tasks: bool = False) -> DataFrame:
+    """First and last rows of each entity and day; by one sort if the days of an entity fit in a task (`in_tasks`)."""
     by_day = ["entity_id", "day"]
     dated = rows.withColumn("day", F.to_date("ts"))
+    if in_tasks:
+        w = Window.partitionBy(*by_day)
+        placed = dated.withColumns({"_rn": F.row_number().over(w.orderBy("ts", "event_id")), "_n": F.count("*").over(w)})
+        ends = placed.filter((F.col("_rn") <= LOOKBACK_ROWS) | (F.col("_rn") > F.col("_n") - LOOKBACK_ROWS)).drop("_rn", "_n")
+        # an event is of one entity and day, so copies lie in one task already
+        return ends.dropDuplicates([*by_day, *EVENT_KEY])
     ends = [top_per_group(dated, by_day, [f("ts"), f("event_id")], LOOKBACK_ROWS) for f in (F.asc, F.desc)]
     return ends[0].unionByName(ends[1]).dropDuplicates(EVENT_KEY)
 
@@ -168,7 +174,8 @@ class FeatureStream:
         batch = batch.select(*EVENT_COLUMNS).persist()
         self._held: list[DataFrame] = [batch]
         try:
-            if not has_rows(batch):
+            most = batch.groupBy("entity_id").count().agg(F.max("count")).first()[0]
+            if not most:
                 return batch
             past, changed = self._earlier(batch, batch_id)
             marked = batch.withColumn("_new", F.lit(True))
@@ -186,7 +193,7 @@ class FeatureStream:
                 features = features.drop("_fix")
             features.filter("_new").drop("_new").write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
             _last_rows(batch).write.mode("overwrite").parquet(f"{self.state}/tails/batch_id={batch_id}")
-            _edge_rows(batch).select(*self.edge_columns).write.mode("overwrite").parquet(f"{self.state}/edges/batch_id={batch_id}")
+            _edge_rows(batch, most <= self.limits.segment_rows).select(*self.edge_columns).write.mode("overwrite").parquet(f"{self.state}/edges/batch_id={batch_id}")
             (
                 batch.withColumns({"day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
                 .write.mode("overwrite")

@@ -9,6 +9,7 @@ from riskloom.operators import explain, features, impact
 from riskloom.plans.hotkeys import SkewLimits
 from riskloom.schema import RAW_EVENTS
 from riskloom.streaming import counts
+from riskloom.streaming import features as stream_features
 from riskloom.streaming.features import FeatureStream, run_feature_stream
 from riskloom.streaming.score import Scoring, run_scoring_stream, stream_totals
 from riskloom.streaming.source import deduplicated, stream_events
@@ -102,6 +103,20 @@ def test_rows_that_late_ones_change(spark, segment_rows):
     assert got == {f"e{i:02d}" for i in reached - late}
 
 
+def test_edges_of_days_by_one_sort(spark):
+    day = 86_400
+    sizes = (1, 6, 3)
+    ids = [(e, d, i) for e in ("u", "v", None) for d, n in enumerate(sizes) for i in range(n)]
+    rows = events(spark, [(f"{e}{d}{i}", e, d * day + (i // 2) * 60, i) for e, d, i in ids])
+    plain = lambda df: sorted((str(r["entity_id"]), r["event_id"]) for r in df.collect())
+    ends = stream_features._edge_rows(rows.repartition(4), in_tasks=True)
+    assert plain(ends) == plain(stream_features._edge_rows(rows)) == sorted((str(e), f"{e}{d}{i}") for e, d, i in ids if min(i, sizes[d] - 1 - i) < 2)
+    twice = rows.unionByName(rows)
+    assert plain(stream_features._edge_rows(twice, in_tasks=True)) == plain(stream_features._edge_rows(twice))
+    plan = ends._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_compacted_tails_serve_later_batches(spark, tmp_path):
     worker = FeatureStream(str(tmp_path / "state"), str(tmp_path / "out"))
     worker.process(events(spark, [("a", "u", 0, 1), ("b", "u", 10, 4)]), 49)
