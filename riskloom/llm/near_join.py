@@ -22,7 +22,10 @@ by which they differ from what most of their group has in common (prefix, length
 which is exact too, and does not list all pairs of a group of near copies that are too far apart to link.
 
 Candidates first compare histograms: how many features fall to each of BINS bins. The bins differ by no
-more than the sets, so a larger difference rules a link out. What passes is checked on the whole sets.
+more than the sets, so a larger difference rules a link out. The bins of unlike sets differ by about the root
+of the features in each, so BINS bins part unlike sets of up to some 3,000 features only; sets of more than
+LEAST_PER_BIN * BINS also have a finer histogram, whose bins grow with the set, and what passes the first is
+compared by that. What passes both is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from riskloom.plans.small import broadcast_if_small
 SPARE_PERCENT = 20
 SMALL_BUCKET = 16
 BINS = 128
+LEAST_PER_BIN = 8
 LOCAL_IDS = 500_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -134,11 +138,24 @@ def signatures(features: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[int]]
     return np.concatenate(out), slack
 
 
-def histogram(features: np.ndarray) -> bytes:
-    counts = np.bincount((mix(features + M3) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+def histogram(features: np.ndarray, bins: int = BINS) -> bytes:
+    counts = np.bincount((mix(features + M3) >> np.uint64(40)).astype(np.int64) % bins, minlength=bins)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def fine_histogram(features: np.ndarray) -> bytes | None:
+    """A histogram of BINS * 2^i bins with at most LEAST_PER_BIN features each on average; None where BINS are enough."""
+    if len(features) <= LEAST_PER_BIN * BINS:
+        return None
+    return histogram(features, 1 << (-(-len(features) // LEAST_PER_BIN) - 1).bit_length())
+
+
+def bins_apart(a: bytes, b: bytes) -> int:
+    """By how much two histograms differ in all; the longer one is folded to the bins of the other."""
+    x, y = sorted((np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b)), key=len)
+    return int(np.abs(x - np.minimum(y.reshape(-1, len(x)).sum(0), 255)).sum())
+
+
 def lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -151,11 +168,11 @@ def set_key(features: np.ndarray) -> int:
 
 
 def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, sigs, slack, bins): key names the set; sigs only at the first copy a slice meets."""
+    """(doc_id, n_shingles, key, sigs, slack, bins, fine): key names the set; sigs only at the first copy a slice meets."""
     plan = Plan(percent)
 
     def sign(batch: pa.RecordBatch):
-        sizes, keys, sigs, slacks, bins, seen = [], [], [], [], [], set()
+        sizes, keys, sigs, slacks, bins, fine, seen = [], [], [], [], [], [], set()
         for text in batch.column(1).to_pylist():
             features = feature_set(text, words)
             key = set_key(features) if len(features) else None
@@ -163,14 +180,18 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for to, value in zip((sizes, keys, sigs, slacks), (len(features), key, *signed), strict=True):
                 to.append(value)
             bins.append(histogram(features) if len(signed[0]) else None)
+            fine.append(fine_histogram(features) if len(signed[0]) else None)
             seen.add(key)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists(sigs), pa.array(slacks, pa.list_(pa.int32())), pa.array(bins, pa.binary())],
-            names=["doc_id", "n_shingles", "key", "sigs", "slack", "bins"],
+            [
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists(sigs), pa.array(slacks, pa.list_(pa.int32())),
+                pa.array(bins, pa.binary()), pa.array(fine, pa.binary()),
+            ],
+            names=["doc_id", "n_shingles", "key", "sigs", "slack", "bins", "fine"],
         )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, sign, "doc_id long, n_shingles long, key long, sigs array<long>, slack array<int>, bins binary")
+    return arrow_map(source, sign, "doc_id long, n_shingles long, key long, sigs array<long>, slack array<int>, bins binary, fine binary")
 
 
 def shared_signatures(members: DataFrame) -> DataFrame:
@@ -235,18 +256,30 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that sizes and histograms do not rule out."""
+    """Of the pairs (a, b), those that sizes and histograms do not rule out.
+
+    Few pass the first histograms, so few carry their finer ones.
+    """
 
     def compare(batch: pa.RecordBatch):
         n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
         bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 5)]
         apart = np.abs(bins[0] - bins[1]).sum(1)
         near = pa.array(apart * (100 + percent) <= n * (100 - percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(n).filter(near)], names=["a", "b", "n"])
+
+    def compare_fine(batch: pa.RecordBatch):
+        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+        near = pa.array([None in (a, b) or bins_apart(a, b) * (100 + percent) <= n * (100 - percent) for n, a, b in rows], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(fits("na", "nb", percent))
-    return arrow_map(joined.select("a", "b", "na", "bins_a", "nb", "bins_b"), compare, "a long, b long")
+    rough = arrow_map(joined.select("a", "b", "na", "bins_a", "nb", "bins_b"), compare, "a long, b long, n long")
+    large = classes.filter(F.col("fine").isNotNull())
+    fine = lambda x: large.select(F.col("key").alias(x), F.col("fine").alias(f"fine_{x}"))
+    closer = rough.join(fine("b"), "b", "left").join(fine("a"), "a", "left")
+    return arrow_map(closer.select("a", "b", "n", "fine_a", "fine_b"), compare_fine, "a long, b long")
 
 
 def fits(a: str, b: str, percent: int) -> F.Column:
@@ -338,7 +371,8 @@ def _components_of(docs: DataFrame, words: int, percent: int, mine: Scratch) ->
     """near_components, reading tables that belong to `mine`."""
     signed = written(signed_sets(docs, words, percent), "near-sets")
     classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.max("slack").alias("slack"), F.max("bins").alias("bins")
+        F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.max("slack").alias("slack"),
+        F.max("bins").alias("bins"), F.max("fine").alias("fine"),
     )
     classes = written(classes, "near-classes")
     shared = written(shared_signatures(signed.select(F.explode("sigs").alias("sig"), "key")), "near-shared")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,34 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(50)] + [(200, 100), (300, 200), (77, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 200: 77, 100: 77, 300: 77, 77: 77}
+
+
+def test_long_unlike_texts_are_ruled_out_before_their_sets_travel(spark):
+    """Histograms of 128 bins let any two texts of some thousand words pass; whole sets were then shuffled for the pair."""
+    r = random.Random(3)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    one, two, short = prose(6_000), prose(6_000), prose(300)
+    near = one + prose(400)  # on the other side of 2^n bins
+    longer = two + prose(2_500)  # under the threshold
+    worn = [w if i % 100 else f"x{w}" for i, w in enumerate(short)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((one, two, near, longer, short, worn))], "doc_id long, text string")
+    signed = {x.doc_id: x for x in near_join.signed_sets(df, 5, 80).collect()}
+    classes = spark.createDataFrame(
+        [(x.key, x.n_shingles, x.bins, x.fine) for x in signed.values()], "key long, n long, bins binary, fine binary"
+    ).persist()
+    ids = {x.key: i for i, x in signed.items()}
+    pairs = spark.createDataFrame([(signed[a].key, signed[b].key) for a, b in ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (1, 3), (4, 5))], "a long, b long")
+    got = sorted((ids[x.a], ids[x.b]) for x in near_join.plausible(pairs, classes, 80).collect())
+    assert got == [(0, 2), (2, 0), (4, 5)]
+    assert [signed[i].fine is None for i in range(6)] == [False] * 4 + [True] * 2
+    assert {len(signed[i].fine) for i in (0, 3)} == {1024, 2048}
+
+
+def test_histograms_never_differ_by_more_than_the_sets():
+    r = np.random.default_rng(2)
+    for n, more, less in ((1_025, 30, 0), (2_040, 60, 10), (8_100, 200, 300), (9_000, 9_000, 4_000)):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.concatenate([a[less:], np.unique(r.integers(0, 2**63, more, dtype=np.uint64))])
+        assert near_join.bins_apart(near_join.fine_histogram(a), near_join.fine_histogram(b)) <= less + more
+    full = np.zeros(700, np.uint64)  # more than a bin can count
+    assert near_join.bins_apart(near_join.histogram(full, 256), near_join.histogram(full[:600], 128)) == 0
