@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from riskloom.plans.lineage import drop_scratch, write_scratch
 
 ROWS_PER_STEP = 512
+BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,7 +29,14 @@ def ascii_lower(column: str) -> F.Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Apply `fn` to slices of at most ROWS_PER_STEP rows; what it yields is the result."""
+    """Apply `fn` to slices of at most ROWS_PER_STEP rows; what it yields is the result.
+
+    A batch of whole texts is held by the executor and by its Python worker at once, so the session bounds its
+    bytes from here on (Spark's default is 64 MB), unless it has a bound of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BYTES_PER_BATCH, None) is None:
+        conf.set(BYTES_PER_BATCH, "4m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -258,7 +258,8 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that sizes and histograms do not rule out.
 
-    Few pass the first histograms, so few carry their finer ones.
+    Few pass the first histograms, so few carry their finer ones. They are written in between: with small
+    sides both comparisons would else fall into one stage, with two Python workers for each of its tasks.
     """
 
     def compare(batch: pa.RecordBatch):
@@ -275,7 +276,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(fits("na", "nb", percent))
-    rough = arrow_map(joined.select("a", "b", "na", "bins_a", "nb", "bins_b"), compare, "a long, b long, n long")
+    rough = written(arrow_map(joined.select("a", "b", "na", "bins_a", "nb", "bins_b"), compare, "a long, b long, n long"), "near-rough")
     large = classes.filter(F.col("fine").isNotNull())
     fine = lambda x: large.select(F.col("key").alias(x), F.col("fine").alias(f"fine_{x}"))
     closer = rough.join(fine("b"), "b", "left").join(fine("a"), "a", "left")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import near_join
-from riskloom.llm.common import components
+from riskloom.llm.common import arrow_map, components
 
 
 def sets_of(text, words):
@@ -185,3 +186,24 @@ def test_histograms_never_differ_by_more_than_the_sets():
         assert near_join.bins_apart(near_join.fine_histogram(a), near_join.fine_histogram(b)) <= less + more
     full = np.zeros(700, np.uint64)  # more than a bin can count
     assert near_join.bins_apart(near_join.histogram(full, 256), near_join.histogram(full[:600], 128)) == 0
+
+
+def test_histograms_are_compared_by_one_python_worker_a_task(spark):
+    """The first and the finer comparison do not fall into one stage, however small the sides are."""
+    classes = spark.createDataFrame([(1, 2, bytes(near_join.BINS), None)], "key long, n long, bins binary, fine binary")
+    pairs = spark.createDataFrame([(1, 1)], "a long, b long")
+    found = near_join.plausible(pairs, classes, 80)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.collect() == [(1, 1)]
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Whole texts reach a worker by about 4 MB at a time, however many rows of them there are."""
+
+    def told(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("0123456789"), 4000).alias("text"))
+    rows = arrow_map(texts, told, "n long, size long").collect()
+    assert sum(r["n"] for r in rows) == 1000
+    assert max(r["size"] for r in rows) < 5_000_000
